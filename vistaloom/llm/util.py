@@ -66,6 +66,26 @@ def bits(rows: DataFrame, key: str, log2: int = 23) -> np.ndarray:
     return out
 
 
+def slots(rows: DataFrame, key: str, log2: int = 23) -> DataFrame:
+    """A filter over the longs in column key, as a small table: block, bits (4 KB each, 2**(log2 - 15) rows at most).
+
+    Like bits(), its size is fixed whatever the input, so it can be broadcast; what passes is still treated exactly.
+    """
+    slot = F.shiftrightunsigned(F.col(key), 64 - log2)
+    return rows.groupBy(F.shiftrightunsigned(slot, 15).alias("_block")).agg(
+        F.expr(f"bitmap_construct_agg(bitmap_bit_position((shiftrightunsigned({key}, {64 - log2}) & 32767) + 1))").alias("_bits"))
+
+
+def maybe_in(df: DataFrame, key: str, filter_rows: DataFrame, log2: int = 23) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose long in key may be in the filter made by slots(), and those where it surely isn't."""
+    slot = F.shiftrightunsigned(F.col(key), 64 - log2)
+    joined = df.withColumn("_block", F.shiftrightunsigned(slot, 15)).join(F.broadcast(filter_rows), "_block", "left")
+    place = slot.bitwiseAND(32767)
+    byte = F.conv(F.hex(F.expr(f"substring(_bits, int((shiftrightunsigned(`{key}`, {64 - log2}) & 32767) div 8) + 1, 1)")), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
+    return joined.where(hit).drop("_block", "_bits"), joined.where(~hit).drop("_block", "_bits")
+
+
 # ---- hashing -------------------------------------------------------------------------------------------------
 
 _U = np.uint64
