@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vistaloom.llm import decontaminate, exact_dedup, ngram_join
+from vistaloom.llm import decontaminate, exact_dedup, ngram_join, sharding, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,17 +22,28 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_sharding": op4_sharding,
     "op6_decontaminate": op6_decontaminate,
+    "op8_substring_dedup": op8_substring_dedup,
 }
 
 ORACLE: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op6_decontaminate": decontaminate.ORACLE,
+    "op8_substring_dedup": substring_dedup.ORACLE,
 }
