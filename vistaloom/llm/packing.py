@@ -28,7 +28,7 @@ from vistaloom.llm.util import saved, slices
 
 CAPACITY = 2048
 #: Column generation ends at this relative distance from its lower bound, or after so many columns.
-GAP, COLUMNS = 0.0005, 400
+GAP, COLUMNS = 0.001, 120
 END_OF_TEXT = 1
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, part int, local long"
 _RANK_BITS = 48
@@ -119,7 +119,7 @@ def solve(demand: np.ndarray, capacity: int = CAPACITY, gap: float = GAP, column
             exhausted.append(int(other))
     matrix = np.array(basis)[:, lengths].T.astype(float)
     inverse = np.linalg.inv(matrix)
-    amount = np.maximum(inverse @ demand[lengths], 0)
+    amount = np.maximum((inverse * demand[lengths]).sum(axis=1), 0)
     bound = float((demand * np.arange(capacity + 1)).sum()) / capacity
     for _ in range(columns):
         total = amount.sum()
@@ -131,7 +131,8 @@ def solve(demand: np.ndarray, capacity: int = CAPACITY, gap: float = GAP, column
         bound = max(bound, total / max(worth, 1.0))
         if worth <= 1 + 1e-9:
             break
-        column = inverse @ pattern[lengths]
+        own = np.flatnonzero(pattern[lengths])
+        column = (inverse[:, own] * pattern[lengths[own]]).sum(axis=1)
         falls = np.flatnonzero(column > 1e-9)
         if not len(falls):
             break

@@ -92,6 +92,7 @@ _U = np.uint64
 _MASK = (1 << 64) - 1
 _BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
 _powers: dict[int, np.ndarray] = {}
+BLOCK = 1 << 18
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -143,8 +144,12 @@ class Words:
         self.counts = np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        """64 bits of each word."""
-        h = _spans(self.data.astype(_U) + _U(1), _BYTE_BASE, self.starts, self.ends)
+        """64 bits of each word. Bytes are widened to 64 bits in blocks of about BLOCK, which bounds the memory."""
+        h = np.empty(len(self.starts), _U)
+        cuts = np.flatnonzero(np.r_[True, np.diff(self.starts // BLOCK) > 0, True]) if len(h) else np.zeros(1, int)
+        for a, b in zip(cuts, cuts[1:]):
+            low, high = self.starts[a], self.ends[b - 1]
+            h[a:b] = _spans(self.data[low:high].astype(_U) + _U(1), _BYTE_BASE, self.starts[a:b] - low, self.ends[a:b] - low)
         return mix(h ^ ((self.ends - self.starts).astype(_U) << _U(40)))
 
     def grams(self, k: int, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
