@@ -277,10 +277,10 @@ def identify(docs: DataFrame, learnable: Column, held_out: Column, per_language:
 
 TOXIC_GRAMS = Grams((4, 5, 6), 20, inside=True)
 #: Labelled rows of each class that the classifier is fitted on at most; the log-count ratios count all of them.
-PER_CLASS, PASSES = 4000, 10
-RATE, PENALTY, SMOOTHING = 0.3, 0.0001, 0.5
+PER_CLASS, PASSES = 4000, 20
+RATE, PENALTY, SMOOTHING = 0.1, 0.00001, 0.5
 #: A slot is a feature if its log-count ratio is so many standard errors from 0.
-SURE = 4.0
+SURE = 3.5
 
 
 def log_count_ratios(texts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -303,20 +303,26 @@ def train_toxicity(labelled: DataFrame, per_class: int = PER_CLASS) -> tuple[np.
         return np.zeros(size, np.float32), 0.0 if not texts.any() else (4.0 if texts[1] else -4.0)
     ratio = log_count_ratios(texts, counts)
     sample = [(g, s[ratio[s] != 0]) for g, s, _ in features(bounded_sample(rows, "grp", per_class, 4), TOXIC_GRAMS)]
-    share = texts[1] / texts.sum()
-    weight = {1: share * len(sample) / max(1, sum(g for g, _ in sample)), 0: (1 - share) * len(sample) / max(1, sum(1 - g for g, _ in sample))}
-    w, b = np.zeros(size), 0.0
-    squares, bsquare = np.full(size, 1e-8), 1e-8
-    for _ in range(PASSES):
+    w, b = fit(sample, ratio, float(texts[1] / texts.sum()))
+    return (w * ratio).astype(np.float32), b
+
+
+def fit(sample: list[tuple[int, np.ndarray]], ratio: np.ndarray, share: float, passes: int = PASSES, rate: float = RATE, penalty: float = PENALTY) -> tuple[np.ndarray, float]:
+    """Weights of the scaled features, and intercept. Rows are weighted so that class 1 has the share it has in all rows."""
+    ones = sum(g for g, _ in sample)
+    weight = {1: share * len(sample) / max(1, ones), 0: (1 - share) * len(sample) / max(1, len(sample) - ones)}
+    w, b = np.zeros(len(ratio)), 0.0
+    squares, bsquare = np.full(len(ratio), 1e-8), 1e-8
+    for _ in range(passes):
         for label, slots in sample:
             x = ratio[slots]
             error = (1 / (1 + np.exp(-np.clip(x @ w[slots] + b, -30, 30))) - label) * weight[label]
-            g = error * x + PENALTY * w[slots]
+            g = error * x + penalty * w[slots]
             squares[slots] += g * g
-            w[slots] -= RATE * 0.1 * g / np.sqrt(squares[slots])
+            w[slots] -= rate * g / np.sqrt(squares[slots])
             bsquare += error * error
-            b -= RATE * error / np.sqrt(bsquare)
-    return (w * ratio).astype(np.float32), float(b)
+            b -= 3 * rate * error / np.sqrt(bsquare)
+    return w, float(b)
 
 
 def _toxicity(shared):
@@ -337,6 +343,34 @@ def _toxicity(shared):
     return run
 
 
+def _clean(shared, names: list[str]):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = _toxicity(shared)
+        for batch in slices(batches, column="_text", limit=2 << 20):
+            texts = pa.record_batch([batch.column("_text")], ["text"])
+            found = pa.concat_arrays([x.column("predicted") for x in score([texts])])
+            yield batch.select(names).filter(pc.equal(found, 0))
+
+    return run
+
+
+def _model(texts: DataFrame, labels: DataFrame, per_class: int):
+    """The broadcast model, learnt from texts (doc_id, text) that labels covers."""
+    marks = labels.where(F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
+    labelled = saved(texts.where(F.col("text").isNotNull()).join(marks, "doc_id"), "labelled")
+    return texts.sparkSession.sparkContext.broadcast(train_toxicity(labelled, per_class))
+
+
+def _texts(docs: DataFrame) -> list[Column]:
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, learnable: Column, per_class: int = PER_CLASS) -> DataFrame:
+    """The rows of docs that toxicity() predicts 0 for, all columns unchanged."""
+    shared = _model(docs.where(learnable).select(*_texts(docs)), labels, per_class)
+    return docs.withColumn("_text", F.col("text").cast("string")).mapInArrow(_clean(shared, docs.columns), docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, learnable: Column, held_out: Column, per_class: int = PER_CLASS) -> DataFrame:
     """doc_id, held_out, score, predicted of each row of docs (doc_id, text; further columns are left out).
 
@@ -345,8 +379,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, learnable: Column, held_out: Co
     there are no features. Rows repeated in docs or labels count as often as they stand; an empty table gives an
     empty result.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), learnable.alias("_learn"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    marks = labels.where(F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
-    labelled = saved(own.where(F.col("_learn") & F.col("text").isNotNull()).select("doc_id", "text").join(marks, "doc_id"), "labelled")
-    shared = docs.sparkSession.sparkContext.broadcast(train_toxicity(labelled, per_class))
+    shared = _model(docs.where(learnable).select(*_texts(docs)), labels, per_class)
+    own = docs.select(*_texts(docs), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     return own.select("doc_id", "held_out", "text").mapInArrow(_toxicity(shared), "doc_id long, held_out boolean, score double, predicted int")

@@ -17,13 +17,14 @@ A document is named by 64 bits of its text in between: what repeats depends on i
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vistaloom.llm.util import Words, bucket_of, buckets_for, maybe_in, saved, slices, slots
+from vistaloom.llm.util import Words, bucket_of, buckets_for, maybe_in, mix, saved, slices, slots
 
 _U = np.uint64
 #: Bytes of text in a chunk, and entries in a bucket.
@@ -31,7 +32,6 @@ CHUNK, BUCKET = 8 << 20, 1 << 21
 #: Average bytes of a word with its separator, to lay out buckets by (their number isn't critical).
 WORD_BYTES = 6
 EXCHANGE = "bucket int, probes binary, hashes binary, names binary, places binary"
-MARKS = "name long, places binary"
 
 
 def _grouped(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -42,24 +42,26 @@ def _grouped(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, starts, np.diff(np.r_[starts, len(h)])
 
 
-def _lists(names: np.ndarray, places: np.ndarray) -> tuple[list[int], list[bytes]]:
-    """Of (name, place): each name with its places, sorted, as bytes."""
-    order = np.lexsort((places, names))
-    names, places = names[order], places[order].astype("<i4")
-    cuts = np.flatnonzero(np.r_[True, names[1:] != names[:-1], True]) if len(names) else np.zeros(1, np.int64)
-    return names[cuts[:-1]].tolist() if len(names) else [], [places[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+def _packed(names: np.ndarray, places: np.ndarray, groups: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """(group, names, places) for each group of names that has some."""
+    group = bucket_of(mix(names.view(_U), 3), groups)
+    order = np.argsort(group, kind="stable")
+    group, names, places = group[order], names[order].astype("<i8"), places[order].astype("<i4")
+    cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True]) if len(group) else np.zeros(1, np.int64)
+    for x, y in zip(cuts, cuts[1:]):
+        yield int(group[x]), names[x:y].tobytes(), places[x:y].tobytes()
 
 
 def _send(hashes: np.ndarray, wanted: np.ndarray, names: np.ndarray, places: np.ndarray, buckets: int, width: str) -> Iterator[pa.RecordBatch]:
     """Entries of a chunk for the exchange. wanted: those that need a verdict, if they stand alone in the chunk; places that
-    are known to repeat inside the chunk go as marks, in rows of bucket -1 - x."""
+    are known to repeat inside the chunk go as marks, in rows of bucket -1 - group."""
     order, starts, lengths = _grouped(hashes)
     alone = np.repeat(lengths == 1, lengths)
     settled = order[~alone]
     settled = settled[wanted[settled]]
     rows: dict[str, list] = {c: [] for c in ("bucket", "probes", "hashes", "names", "places")}
-    for name, own in zip(*_lists(names[settled], places[settled])):
-        for column, value in zip(rows, (-1 - (name & 0x3FFF), b"", b"", np.array([name], "<i8").tobytes(), own)):
+    for group, *own in _packed(names[settled], places[settled], buckets):
+        for column, value in zip(rows, (-1 - group, b"", b"", *own)):
             rows[column].append(value)
     single = order[alone]
     blocks = np.sort(single[wanted[single]])
@@ -105,8 +107,8 @@ def _windows(span: int, block: int, buckets: int):
             words = Words(batch.column("text"), lower=False)
             at, grams = words.grams(span)
             chosen = np.zeros(len(words.starts) + 1, np.int32)
-            for row, lists in enumerate(batch.column("hits")):
-                own = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), "<i4") for x in lists.values])) * block
+            for row, places in enumerate(batch.column("hits")):
+                own = np.frombuffer(places.as_buffer(), "<i4").astype(np.int64) * block
                 first, last = int(words.first[row]), int(words.first[row + 1])
                 np.add.at(chosen, np.maximum(own + first + block - span, first), 1)
                 np.add.at(chosen, np.minimum(own + first + 1, last), -1)
@@ -119,39 +121,59 @@ def _windows(span: int, block: int, buckets: int):
     return run
 
 
-def _verdicts(width: str):
+def _by_key(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple]]]:
+    """(first column, the rest of its rows) of sorted rows."""
+    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+    for key, own in groupby(rows, key=lambda row: row[0]):
+        yield key, (row[1:] for row in own)
+
+
+def _verdicts(width: str, groups: int):
     """Of sorted buckets: the places whose hash is among the probes, or among the places of another text or chunk."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(parts: list[tuple]) -> pa.RecordBatch:
-            probes, hashes, names, places = (np.concatenate([np.frombuffer(p[i], kind) for p in parts]) for i, kind in enumerate((width, width, "<i8", "<i4")))
-            probes = np.unique(probes)
-            hit = probes[np.minimum(np.searchsorted(probes, hashes), len(probes) - 1)] == hashes if len(probes) else np.zeros(len(hashes), bool)
-            order, _, lengths = _grouped(hashes)
-            hit[order] |= np.repeat(lengths > 1, lengths)
-            return pa.record_batch([pa.array(x, t) for x, t in zip(_lists(names[hit], places[hit]), (pa.int64(), pa.binary()))], ["name", "places"])
-
-        current, parts = None, []
-        for batch in batches:
-            for bucket, *part in zip(*(c.to_pylist() for c in batch.columns)):
-                if bucket < 0:
-                    yield pa.record_batch([pa.array(np.frombuffer(part[2], "<i8")), pa.array([part[3]], pa.binary())], ["name", "places"])
-                    continue
-                if bucket != current and parts:
-                    yield done(parts)
-                    parts = []
-                current = bucket
-                parts.append(part)
-        if parts:
-            yield done(parts)
+        for bucket, parts in _by_key(batches):
+            if bucket < 0:
+                out = [(-1 - bucket, names, places) for _, _, names, places in parts]
+            else:
+                parts = list(parts)
+                probes, hashes, names, places = (np.concatenate([np.frombuffer(p[i], kind) for p in parts]) for i, kind in enumerate((width, width, "<i8", "<i4")))
+                probes = np.unique(probes)
+                hit = probes[np.minimum(np.searchsorted(probes, hashes), len(probes) - 1)] == hashes if len(probes) else np.zeros(len(hashes), bool)
+                order, _, lengths = _grouped(hashes)
+                hit[order] |= np.repeat(lengths > 1, lengths)
+                out = list(_packed(names[hit], places[hit], groups))
+            if out:
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary()))], ["grp", "names", "places"])
 
     return run
 
 
-def _settle(sent: DataFrame, width: str, name: str) -> DataFrame:
-    """name, places (a set of lists) of what repeats."""
-    marks = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_verdicts(width), MARKS)
-    return saved(marks, name).groupBy("name").agg(F.collect_set("places").alias("hits"))
+def _collected(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted groups: each name with its places, each once. Repeats are dropped on the way, so they don't add up in memory."""
+    for _, parts in _by_key(batches):
+        held, size = [], 0
+
+        def once() -> np.ndarray:
+            return np.unique(np.concatenate(held))
+
+        for names, places in parts:
+            own = np.empty(len(places) // 4, [("name", "<i8"), ("place", "<i4")])
+            own["name"], own["place"] = np.frombuffer(names, "<i8"), np.frombuffer(places, "<i4")
+            held.append(own)
+            size += len(own)
+            if size > 4 * BUCKET:
+                held = [once()]
+                size = 2 * len(held[0])
+        marks = once()
+        cuts = np.flatnonzero(np.r_[True, marks["name"][1:] != marks["name"][:-1], True])
+        yield pa.record_batch([pa.array(marks["name"][cuts[:-1]]), pa.array([marks["place"][a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], ["name", "hits"])
+
+
+def _settle(sent: DataFrame, width: str, groups: int, name: str) -> DataFrame:
+    """name, hits (its places, sorted) of what repeats."""
+    marks = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_verdicts(width, groups), "grp int, names binary, places binary")
+    return saved(marks.repartition("grp").sortWithinPartitions("grp").mapInArrow(_collected, "name long, hits binary"), name)
 
 
 def _cut(span: int):
@@ -161,9 +183,9 @@ def _cut(span: int):
         for batch in slices(batches, limit=CHUNK):
             words = Words(batch.column("text"), lower=False)
             cover = np.zeros(len(words.starts) + 1, np.int32)
-            for row, lists in enumerate(batch.column("hits")):
-                if lists.is_valid:
-                    at = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), "<i4") for x in lists.values])) + words.first[row]
+            for row, places in enumerate(batch.column("hits")):
+                if places.is_valid:
+                    at = np.frombuffer(places.as_buffer(), "<i4") + words.first[row]
                     np.add.at(cover, at, 1)
                     np.add.at(cover, np.minimum(at + span, len(words.starts)), -1)
             gone = np.cumsum(cover)[:-1] > 0
@@ -202,13 +224,13 @@ def remove_repeats(docs: DataFrame, span: int = 35) -> DataFrame:
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = buckets_for(total // WORD_BYTES, BUCKET)
     sent = named.select("name", "text").mapInArrow(_anchors(span, block, buckets), EXCHANGE)
-    hits = saved(_settle(sent, "<u4", "block-hits"), "hit-texts")
+    hits = _settle(sent, "<u4", buckets, "block-hits")
     maybe, _ = maybe_in(named, "name", slots(hits, "name"))
     around = maybe.select("name", "text").join(hits, "name").mapInArrow(_windows(span, block, buckets), EXCHANGE)
-    repeats = saved(_settle(around, "<u8", "window-hits"), "repeats")
+    repeats = _settle(around, "<u8", buckets, "window-hits")
     maybe, rest = maybe_in(named, "name", slots(repeats, "name"))
     marked = maybe.join(repeats, "name", "left").select("doc_id", "text", "hits")
-    both = marked.unionByName(rest.select("doc_id", "text", F.lit(None).cast("array<binary>").alias("hits")))
+    both = marked.unionByName(rest.select("doc_id", "text", F.lit(None).cast("binary").alias("hits")))
     return both.mapInArrow(_cut(span), "doc_id long, n_words long, n_removed long, text string")
 
 

@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,20 @@ def shared_dir(spark: SparkSession) -> str:
     return given.rstrip("/")
 
 
+_written: list[str] = []
+
+
+@contextmanager
+def intermediate(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables that saved() wrote inside it, but for the last one."""
+    known = len(_written)
+    yield
+    for path in _written[known:-1]:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    _written[known:-1] = []
+
+
 def saved(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: it cuts the lineage and survives lost executors."""
     spark = df.sparkSession
@@ -43,6 +58,7 @@ def saved(df: DataFrame, name: str, **options: str) -> DataFrame:
     for key, value in options.items():
         writer = writer.option(key, value)
     writer.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
