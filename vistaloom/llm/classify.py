@@ -186,7 +186,7 @@ def follow_regularised_leader(rows: list[tuple[int, np.ndarray, np.ndarray]], cl
     for _ in range(epochs):
         for label, slots, x in rows:
             w = weights(slots)
-            p = _softmax(x @ w)
+            p = _softmax((x[:, None] * w).sum(axis=0))
             p[label] -= 1
             g = x[:, None] * p[None, :]
             grown = n[slots] + g * g
@@ -255,7 +255,7 @@ def train_languages(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tu
     sample = [(g, s, _tfidf(c, idf[s])) for g, s, c in features(bounded_sample(rows, "grp", per_language, 3), LANGUAGE_GRAMS) if len(s)]
     apart = max(1, len(sample) // 10)
     weights = follow_regularised_leader(sample[apart:], len(names), 1 << LANGUAGE_GRAMS.log2)
-    scores = np.array([x @ weights[s] for _, s, x in sample[:apart]]).reshape(-1, len(names))
+    scores = np.array([(x[:, None] * weights[s]).sum(axis=0) for _, s, x in sample[:apart]]).reshape(-1, len(names))
     t = temperature(scores, np.array([g for g, _, _ in sample[:apart]], int))
     return names, (weights * idf[:, None] * 10).astype(np.float32), t
 
@@ -316,7 +316,7 @@ def fit(sample: list[tuple[int, np.ndarray]], ratio: np.ndarray, share: float, p
     for _ in range(passes):
         for label, slots in sample:
             x = ratio[slots]
-            error = (1 / (1 + np.exp(-np.clip(x @ w[slots] + b, -30, 30))) - label) * weight[label]
+            error = (1 / (1 + np.exp(-np.clip((x * w[slots]).sum() + b, -30, 30))) - label) * weight[label]
             g = error * x + penalty * w[slots]
             squares[slots] += g * g
             w[slots] -= rate * g / np.sqrt(squares[slots])

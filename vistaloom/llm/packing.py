@@ -117,8 +117,16 @@ def solve(demand: np.ndarray, capacity: int = CAPACITY, gap: float = GAP, column
             single[other] = 1
             basis.append(single)
             exhausted.append(int(other))
-    matrix = np.array(basis)[:, lengths].T.astype(float)
-    inverse = np.linalg.inv(matrix)
+    place = np.searchsorted(lengths, exhausted)
+    rows = np.array(basis, float)[:, exhausted].T  # lower triangular: row i is of the length that pattern i uses up
+    forward = np.zeros((len(lengths), len(lengths)))
+    for i in range(len(lengths)):
+        earlier = np.flatnonzero(rows[i, :i])
+        forward[i] = -(rows[i, earlier, None] * forward[earlier]).sum(axis=0)
+        forward[i, i] += 1
+        forward[i] /= rows[i, i]
+    inverse = np.empty_like(forward)
+    inverse[:, place] = forward
     amount = np.maximum((inverse * demand[lengths]).sum(axis=1), 0)
     bound = float((demand * np.arange(capacity + 1)).sum()) / capacity
     for _ in range(columns):
