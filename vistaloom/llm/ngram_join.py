@@ -1,10 +1,11 @@
 """N-gram Jaccard join by multiple-global-order prefix filtering.
 
 Two documents link when their sets of word shingles have a Jaccard similarity of at least `percent` / 100. For any total
-order of all shingles, two such sets of sizes n share a shingle among the first n - ceil(percent * n / 100) + 1 of
-each. Order 0 puts rare shingles first (by counts in a sketch of fixed size), which keeps common passages out
-of the prefixes; pairs that share a prefix shingle under it are candidates, and stay so only if they also share one
-under two further, hashed orders. What passes all three filters is verified on whole sets.
+order of all shingles and any l, two such sets share at least l shingles among the first n - ceil(percent * n / 100) + l of
+each, n being their sizes. Order 0 puts rare shingles first (by counts in a sketch of fixed size), which keeps common
+passages out of the prefixes. Pairs that share enough prefix shingles under it are candidates, and stay so only if they
+also share enough under two further, hashed orders; l is about a tenth of the smaller set. What passes all three filters
+is verified on whole sets.
 
 Groups of near copies don't become all their pairs. A first round pairs the documents of a shingle's list only with
 the list's most typical document and with their neighbour; the second round pairs only those that are still in
@@ -50,8 +51,16 @@ def _signature(grams: np.ndarray) -> int:
     return int((mix(grams, 5).sum(dtype=_U) ^ mix(np.array([len(grams)], _U), 6)[0]).astype(np.int64))
 
 
+#: A pair must share this much of the smaller set in the prefixes, and one shingle more.
+SHARED = 10
+
+
 def _prefix_length(n: int, percent: int) -> int:
-    return n - (percent * n + 99) // 100 + 1
+    return n - (percent * n + 99) // 100 + 1 + n // SHARED
+
+
+def _least_shared(n: str, m: str):
+    return 1 + F.floor(F.least(n, m) / SHARED)
 
 
 def _statistics(k: int):
@@ -187,7 +196,7 @@ def _lists(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _chosen_sets(k: int, percent: int, wanted):
-    """The sets that some list names, each with its prefixes under the two hashed orders."""
+    """The sets that some pair names, each with its prefixes under the two hashed orders."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen, seen = wanted.value, set()
@@ -225,8 +234,8 @@ def _verify(percent: int):
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of candidate pairs (a, b): those that pass the filters of orders 1 and 2, and whose sets are similar enough."""
     side = lambda name, *columns: sets.select(F.col("sig").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
-    passed = (pairs.join(side("a", "first1", "first2"), "a").join(side("b", "first1", "first2"), "b")
-              .where(F.arrays_overlap("first1_a", "first1_b") & F.arrays_overlap("first2_a", "first2_b")).select("a", "b"))
+    alike = [F.size(F.array_intersect(f"first{order}_a", f"first{order}_b")) >= _least_shared("n_a", "n_b") for order in (1, 2)]
+    passed = pairs.join(side("a", "n", "first1", "first2"), "a").join(side("b", "n", "first1", "first2"), "b").where(alike[0] & alike[1]).select("a", "b")
     whole = (passed.join(side("a", "grams"), "a").join(side("b", "grams"), "b").select("a", "b", F.col("grams_a").alias("x"), F.col("grams_b").alias("y")))
     return whole.mapInArrow(_verify(percent), "a long, b long")
 
@@ -239,6 +248,14 @@ def _pair(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _fetch(texts: DataFrame, k: int, percent: int, pairs: DataFrame, name: str) -> DataFrame:
+    """The sets that pairs name, each once. A filter of fixed size spares the others in the scan; what it lets through by chance finds no pair later."""
+    named = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
+    wanted = texts.sparkSession.sparkContext.broadcast(bits(named, "sig"))
+    found = texts.mapInArrow(_chosen_sets(k, percent, wanted), "sig long, n int, grams binary, first1 array<int>, first2 array<int>")
+    return saved(found.dropDuplicates(["sig"]), name)
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs (doc_id, text; further columns are left out).
 
@@ -266,21 +283,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, hot: int = H
     starred = hot_rows.join(leads, "token").select("sig", "n", F.col("lead.sig").alias("other"), F.col("lead.n").alias("other_n"))
     proposals = (warm.select("sig", "n", F.col("lead").alias("other"), F.col("lead_n").alias("other_n"))
                  .unionByName(warm.select("sig", "n", F.col("prev").alias("other"), F.col("prev_n").alias("other_n"))).unionByName(starred))
-    pairs = saved(proposals.where((F.col("sig") != F.col("other")) & _similar_size("n", "other_n", percent)).select(*_pair("sig", "other")).distinct(), "pairs-1")
-
-    wanted = spark.sparkContext.broadcast(bits(lists.select("sig").distinct(), "sig"))
-    sets = saved(texts.mapInArrow(_chosen_sets(k, percent, wanted), "sig long, n int, grams binary, first1 array<int>, first2 array<int>").dropDuplicates(["sig"]), "shingle-sets")
-    links = saved(_links(pairs, sets, percent), "links-1")
+    pairs = proposals.where((F.col("sig") != F.col("other")) & _similar_size("n", "other_n", percent)).select(*_pair("sig", "other"), F.least("n", "other_n").alias("m")).distinct()
+    own = lists.select("token", "sig")
+    shared_of = pairs.join(own.withColumnRenamed("sig", "a"), "a").join(own.withColumnRenamed("sig", "b"), ["token", "b"])
+    pairs = saved(shared_of.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("m").alias("m")).where(F.col("c") >= _least_shared("m", "m")).select("a", "b"), "pairs-1")
+    links = saved(_links(pairs, _fetch(texts, k, percent, pairs, "sets-1"), percent), "links-1")
     label = components(links, "a", "b")
 
-    members = lists.select("token", "sig", "n").distinct().join(label.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    members = lists.select("token", "sig", "n").join(label.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     members = saved(members, "members")
     mixed = members.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     left = members.join(mixed, "token", "left_semi")
     right = left.select("token", *(F.col(c).alias(f"other_{c}") for c in ("sig", "n", "component")))
     across = (left.join(right, "token").where((F.col("component") < F.col("other_component")) & _similar_size("n", "other_n", percent))
-              .select(*_pair("sig", "other_sig")).distinct())
-    more = saved(_links(across.join(pairs, ["a", "b"], "left_anti"), sets, percent), "links-2")
+              .groupBy(*_pair("sig", "other_sig")).agg(F.count("*").alias("c"), F.first(F.least("n", "other_n")).alias("m")).where(F.col("c") >= _least_shared("m", "m")).select("a", "b"))
+    across = saved(across.join(pairs, ["a", "b"], "left_anti"), "pairs-2")
+    more = saved(_links(across, _fetch(texts, k, percent, across, "sets-2"), percent), "links-2")
     label = components(links.unionByName(more), "a", "b")
 
     first = counted.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id")).join(label.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
