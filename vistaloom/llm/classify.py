@@ -142,22 +142,24 @@ def bounded_sample(rows: DataFrame, group: str, per_group: int, seed: int) -> Da
     return ranked.where(F.col("_n") <= per_group).drop("_n", "_h")
 
 
-def _features(grams: Grams):
+def _features(grams: Grams, shared=None):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=2 << 20):
             found = grams(batch.column("text"))
             own = []
             for i in range(batch.num_rows):
-                slots, counts = np.unique(_of(found, i), return_counts=True)
+                slots = _of(found, i)
+                slots, counts = np.unique(slots if shared is None else slots[shared.value[slots]], return_counts=True)
                 own.append((slots.astype("<i4").tobytes(), counts.astype("<i4").tobytes()))
             yield pa.record_batch([batch.column("grp"), batch.column("h"), pa.array([x[0] for x in own], pa.binary()), pa.array([x[1] for x in own], pa.binary())], ["grp", "h", "slots", "counts"])
 
     return run
 
 
-def features(sample: DataFrame, grams: Grams) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(group, slots, counts) of the rows of a bounded sample, in the order of a hash."""
-    rows = sample.select("grp", F.xxhash64(F.lit(5), "doc_id", "text").alias("h"), "text").mapInArrow(_features(grams), "grp int, h long, slots binary, counts binary").collect()
+def features(sample: DataFrame, grams: Grams, used: np.ndarray | None = None) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(group, slots, counts) of the rows of a bounded sample, in the order of a hash; of the slots in use only, if given."""
+    shared = None if used is None else sample.sparkSession.sparkContext.broadcast(used)
+    rows = sample.select("grp", F.xxhash64(F.lit(5), "doc_id", "text").alias("h"), "text").mapInArrow(_features(grams, shared), "grp int, h long, slots binary, counts binary").collect()
     rows.sort(key=lambda r: (r.h, r.grp))
     return [(r.grp, np.frombuffer(bytes(r.slots), "<i4"), np.frombuffer(bytes(r.counts), "<i4").astype(float)) for r in rows]
 
@@ -302,7 +304,7 @@ def train_toxicity(labelled: DataFrame, per_class: int = PER_CLASS) -> tuple[np.
     if not texts.all():
         return np.zeros(size, np.float32), 0.0 if not texts.any() else (4.0 if texts[1] else -4.0)
     ratio = log_count_ratios(texts, counts)
-    sample = [(g, s[ratio[s] != 0]) for g, s, _ in features(bounded_sample(rows, "grp", per_class, 4), TOXIC_GRAMS)]
+    sample = [(g, s) for g, s, _ in features(bounded_sample(rows, "grp", per_class, 4), TOXIC_GRAMS, ratio != 0)]
     w, b = fit(sample, ratio, float(texts[1] / texts.sum()))
     return (w * ratio).astype(np.float32), b
 
