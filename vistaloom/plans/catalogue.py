@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from vistaloom.plans import evaluation_queries, temporal_queries, text_queries, vector_queries
+
+_ALL = (vector_queries, evaluation_queries, temporal_queries, text_queries)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: q for m in _ALL for name, q in m.QUERIES.items()}
+ORACLE: dict[str, str] = {name: sql for m in _ALL for name, sql in m.ORACLE.items()}
