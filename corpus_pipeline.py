@@ -11,15 +11,15 @@ from pyspark.sql import functions as F
 
 from vistaloom.llm import classify, decontaminate, exact_dedup, ngram_join, packing
 from vistaloom.llm.queries import table
-from vistaloom.llm.util import intermediate, maybe_in, saved, slots
+from vistaloom.llm.util import intermediate, maybe_in, record, saved, slots
 from vistaloom.shipping import ship
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs but those whose doc_id is in ids. Rows that miss a filter of the ids (of fixed size) don't move; the rest is joined."""
-    ids = saved(ids.select("doc_id", F.xxhash64("doc_id").alias("_key")), "dropped")
-    maybe, rest = maybe_in(docs.withColumn("_key", F.xxhash64("doc_id")), "_key", slots(ids, "_key"))
-    return rest.unionByName(maybe.join(ids.select("doc_id"), "doc_id", "left_anti")).select(*docs.columns)
+    ids = saved(ids.select("doc_id", F.xxhash64("doc_id").alias("key")).distinct(), "dropped")
+    maybe, rest = maybe_in(docs.select(record(docs), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long")).alias("key")), "key", slots(ids, "key"))
+    return rest.select("record.*").unionByName(maybe.join(ids.select("doc_id"), "doc_id", "left_anti").select("record.*"))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,8 +15,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vistaloom.llm.util import mix, saved, slices
+from vistaloom.llm.util import mix, record, saved, slices
 
 _U = np.uint64
 BLOCK = 4096
@@ -302,7 +303,7 @@ def train_toxicity(labelled: DataFrame, per_class: int = PER_CLASS) -> tuple[np.
     texts, counts = document_counts(rows, TOXIC_GRAMS, 2)
     size = 1 << TOXIC_GRAMS.log2
     if not texts.all():
-        return np.zeros(size, np.float32), 0.0 if not texts.any() else (4.0 if texts[1] else -4.0)
+        return np.zeros(size, np.float32), 4.0 if texts[1] else -4.0
     ratio = log_count_ratios(texts, counts)
     sample = [(g, s) for g, s, _ in features(bounded_sample(rows, "grp", per_class, 4), TOXIC_GRAMS, ratio != 0)]
     w, b = fit(sample, ratio, float(texts[1] / texts.sum()))
@@ -345,13 +346,12 @@ def _toxicity(shared):
     return run
 
 
-def _clean(shared, names: list[str]):
+def _clean(shared):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = _toxicity(shared)
-        for batch in slices(batches, column="_text", limit=2 << 20):
-            texts = pa.record_batch([batch.column("_text")], ["text"])
-            found = pa.concat_arrays([x.column("predicted") for x in score([texts])])
-            yield batch.select(names).filter(pc.equal(found, 0))
+        for batch in slices(batches, limit=2 << 20):
+            found = pa.concat_arrays([x.column("predicted") for x in score([batch.select(["text"])])])
+            yield batch.select(["record"]).filter(pc.equal(found, 0))
 
     return run
 
@@ -370,7 +370,8 @@ def _texts(docs: DataFrame) -> list[Column]:
 def drop_toxic(docs: DataFrame, labels: DataFrame, learnable: Column, per_class: int = PER_CLASS) -> DataFrame:
     """The rows of docs that toxicity() predicts 0 for, all columns unchanged."""
     shared = _model(docs.where(learnable).select(*_texts(docs)), labels, per_class)
-    return docs.withColumn("_text", F.col("text").cast("string")).mapInArrow(_clean(shared, docs.columns), docs.schema)
+    rows = docs.select(record(docs), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(_clean(shared), T.StructType([rows.schema["record"]])).select("record.*")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, learnable: Column, held_out: Column, per_class: int = PER_CLASS) -> DataFrame:

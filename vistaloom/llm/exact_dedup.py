@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vistaloom.llm.util import LOWER_AZ, UPPER_AZ, maybe_in, saved, slots
+from vistaloom.llm.util import LOWER_AZ, UPPER_AZ, maybe_in, record, saved, slots
 
 #: Rows of a run that its Bloom filter is laid out for (a task of 128 MB has about so many).
 RUN_ROWS = 1 << 16
@@ -45,10 +45,9 @@ def compact(runs: DataFrame, largest: bool = False) -> DataFrame:
     return _run(runs.groupBy("digest").agg(pick(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("size")), "dedup-compacted")
 
 
-def _hits(docs: DataFrame, compacted: DataFrame, digest: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
-    """docs with their digests, parted by the filter of repeated digests: (may be repeated, surely not)."""
-    keyed = docs.withColumn("_digest", digest(normalised()))
-    return maybe_in(keyed, "_digest", slots(compacted.where("size > 1"), "digest"))
+def _hits(keyed: DataFrame, compacted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with their digests, parted by the filter of repeated digests: (may be repeated, surely not)."""
+    return maybe_in(keyed, "digest", slots(compacted.where("size > 1"), "digest"))
 
 
 def mark_duplicates(docs: DataFrame, largest: bool = False, digest: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
@@ -61,9 +60,9 @@ def mark_duplicates(docs: DataFrame, largest: bool = False, digest: Callable[[Co
     pairs = docs.select("doc_id", "text")
     runs = flush(pairs, digest)
     compacted = compact(runs, largest)
-    hits, _ = _hits(pairs, compacted, digest)
-    sides = hits.groupBy("_digest").agg(F.min(normalised()).alias("lo"), F.max(normalised()).alias("hi"))
-    clashes = saved(sides.where("lo <> hi").select(F.col("_digest").alias("digest")), "dedup-clashes")
+    hits, _ = _hits(pairs.select(digest(normalised()).alias("digest"), normalised().alias("bytes")), compacted)
+    sides = hits.groupBy("digest").agg(F.min("bytes").alias("lo"), F.max("bytes").alias("hi"))
+    clashes = saved(sides.where("lo <> hi").select("digest"), "dedup-clashes")
     found = runs.join(compacted, "digest")
     columns = ["doc_id", F.col("keep.doc_id").alias("keep_id"), F.col("size").alias("group_size"), (F.col("row") == F.col("keep.row")).alias("kept"), "text_sha256"]
     if clashes.isEmpty():
@@ -82,10 +81,10 @@ def drop_duplicates(docs: DataFrame, largest: bool = False, digest: Callable[[Co
     Only rows that hit the filter move; they are grouped by their bytes, so a clash of digests can't merge two texts.
     """
     compacted = compact(flush(docs.select("doc_id", "text"), digest), largest)
-    hits, rest = _hits(docs, compacted, digest)
+    hits, rest = _hits(docs.select(record(docs), digest(normalised()).alias("digest"), normalised().alias("bytes")), compacted)
     pick = F.max_by if largest else F.min_by
-    one = hits.groupBy(normalised().alias("_bytes")).agg(pick(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.struct("doc_id")).alias("_row")).select("_row.*")
-    return rest.select(*docs.columns).unionByName(one)
+    one = hits.groupBy("bytes").agg(pick("record", F.struct("record.doc_id")).alias("record"))
+    return rest.select("record.*").unionByName(one.select("record.*"))
 
 
 ORACLE = f"""

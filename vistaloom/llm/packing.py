@@ -28,7 +28,7 @@ from vistaloom.llm.util import saved, slices
 
 CAPACITY = 2048
 #: Column generation ends at this relative distance from its lower bound, or after so many columns.
-GAP, COLUMNS = 0.001, 120
+GAP, COLUMNS = 0.001, 300
 END_OF_TEXT = 1
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, part int, local long"
 _RANK_BITS = 48

@@ -13,7 +13,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The bytes that separate words in the contracts that split on ASCII white space.
@@ -82,6 +82,11 @@ def bits(rows: DataFrame, key: str, log2: int = 23) -> np.ndarray:
     return out
 
 
+def record(df: DataFrame) -> Column:
+    """All columns as one, so that helper columns beside it can't clash with any of them."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("record")
+
+
 def slots(rows: DataFrame, key: str, log2: int = 23) -> DataFrame:
     """A filter over the longs in column key, as a small table: block, bits (4 KB each, 2**(log2 - 15) rows at most).
 
