@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vistaloom.llm.graph import components
-from vistaloom.llm.util import Words, bits, bucket_of, buckets_for, mix, saved, slices
+from vistaloom.llm.util import LOWER_AZ, UPPER_AZ, Words, bits, bucket_of, buckets_for, mix, saved, slices
 
 _U = np.uint64
 SKETCH_LOG2 = 20
@@ -306,3 +306,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, hot: int = H
     named = first.join(least, "component").select("sig", F.lit(True).alias("has"), "component_id")
     out = counted.withColumn("has", F.col("n") > 0).join(named, ["sig", "has"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("has"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+ORACLE = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER_AZ}', '{LOWER_AZ}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 4], ' ')) AS t FROM d, unnest(range(1, greatest(len(w) - 3, 2))) AS r(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (t) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, (SELECT min(b) FROM r WHERE r.a = d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id)
+"""

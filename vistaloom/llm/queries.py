@@ -74,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op1_chat_format": chat_format.ORACLE,
     "op2_exact_dedup": exact_dedup.ORACLE,
+    "op3_ngram_jaccard_join": ngram_join.ORACLE,
     "op6_decontaminate": decontaminate.ORACLE,
     "op8_substring_dedup": substring_dedup.ORACLE,
 }
