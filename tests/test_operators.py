@@ -134,3 +134,31 @@ def test_files_round_trip(spark, tmp_path):
 def test_face_names(spark):
     names = spark.createDataFrame([("a/frame_000012_face_3.jpg",), ("retrieval_frame_000007_mainface_1.jpg",), ("x.png",)], "path string")
     assert [tuple(r) for r in names.select(*files.face_of(F.col("path"))).collect()] == [(12, 3), (7, 1), (-1, -1)]
+
+
+def test_follow_against_a_plain_loop(spark):
+    import random
+
+    from vistaloom.operators.clusters import follow
+
+    rng = random.Random(5)
+    rows = [(v, f, v * 1000 + f * 10 + i, float(rng.randint(0, 200)), float(rng.randint(0, 200))) for v in range(2) for f in range(30) for i in range(rng.randint(0, 3))]
+    want = {}
+    for v in range(2):
+        last, n = {}, 0
+        for _, f, i, x, y in sorted(r for r in rows if r[0] == v):
+            near = [(math.hypot(x - a, y - b), t) for t, (g, a, b) in last.items() if 0 < f - g <= 10 and math.hypot(x - a, y - b) < 50]
+            track = min(near)[1] if near else n
+            n += not near
+            last[track] = (f, x, y)
+            want[i] = track
+    got = follow(spark.createDataFrame(rows, "video int, frame int, id int, x double, y double"), 50, 10)
+    assert {r.id: r.track for r in got.collect()} == want
+
+
+def test_choice_of_method(spark):
+    from vistaloom.operators.clusters import choose_method
+
+    few = spark.createDataFrame([("original", n) for n in (3, 3, 30, 30)] + [("adjusted", n) for n in (20, 22, 24, 26)], "method string, n int")
+    assert choose_method(few).first().chosen == "adjusted"
+    assert choose_method(few.where("method = 'original'")).first().chosen == "original"
