@@ -7,8 +7,8 @@ passages out of the prefixes. Pairs that share enough prefix shingles under it a
 also share enough under two further, hashed orders; l is about a tenth of the smaller set. What passes all three filters
 is verified on whole sets.
 
-Groups of near copies don't become all their pairs. A first round pairs the documents of a shingle's list only with
-the list's most typical document and with their neighbour; the second round pairs only those that are still in
+Groups of near copies don't become all their pairs. In a first round a document is paired only with the most typical
+document and the neighbour that most of its shingles' lists name; the second round pairs only those that are still in
 different components, so each link between components is found and no link inside one is needed.
 
 Shingles are compared by 64-bit hashes: a wrong verdict on a pair of 1,000-shingle sets needs a collision between those
@@ -277,13 +277,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, hot: int = H
     postings = texts.mapInArrow(_postings(k, percent, buckets, shared, int(sketch.mean()) + hot), "bucket int, token binary, sig binary, n binary, score binary, hot binary")
     lists = saved(postings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_lists, LIST_SCHEMA), "shingle-lists")
 
+    # A set with fewer listed prefix shingles than the smallest partner of a similar size needs can't link.
+    able = lists.groupBy("sig").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= 1 + F.floor(F.col("n") * percent / 100 / SHARED))
+    lists = saved(lists.join(able.select("sig"), "sig", "left_semi"), "live-lists")
+
     warm = lists.where("not hot")
     hot_rows = lists.where("hot").select("token", "sig", "n", "score").distinct()
     leads = hot_rows.groupBy("token").agg(F.max(F.struct("score", "sig", "n")).alias("lead"))
     starred = hot_rows.join(leads, "token").select("sig", "n", F.col("lead.sig").alias("other"), F.col("lead.n").alias("other_n"))
-    proposals = (warm.select("sig", "n", F.col("lead").alias("other"), F.col("lead_n").alias("other_n"))
-                 .unionByName(warm.select("sig", "n", F.col("prev").alias("other"), F.col("prev_n").alias("other_n"))).unionByName(starred))
-    pairs = proposals.where((F.col("sig") != F.col("other")) & _similar_size("n", "other_n", percent)).select(*_pair("sig", "other"), F.least("n", "other_n").alias("m")).distinct()
+    kinds = ((warm, "lead", "lead_n"), (warm, "prev", "prev_n"), (starred, "other", "other_n"))
+    offers = [rows.select(F.lit(i).alias("kind"), "sig", "n", F.col(x).alias("other"), F.col(m).alias("other_n")) for i, (rows, x, m) in enumerate(kinds)]
+    offers = offers[0].unionByName(offers[1]).unionByName(offers[2]).where((F.col("sig") != F.col("other")) & _similar_size("n", "other_n", percent))
+    # Of each kind a set takes the partner that most of its lists name; the second round finds what this leaves out.
+    offers = offers.groupBy("kind", "sig", "other").agg(F.count("*").alias("c"), F.first(F.least("n", "other_n")).alias("m"))
+    chosen = offers.groupBy("kind", "sig").agg(F.max(F.struct("c", "other", "m")).alias("x"))
+    pairs = chosen.select(*_pair("sig", "x.other"), "x.m").distinct()
     own = lists.select("token", "sig")
     shared_of = pairs.join(own.withColumnRenamed("sig", "a"), "a").join(own.withColumnRenamed("sig", "b"), ["token", "b"])
     pairs = saved(shared_of.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("m").alias("m")).where(F.col("c") >= _least_shared("m", "m")).select("a", "b"), "pairs-1")
