@@ -272,6 +272,24 @@ def test_query_matches_sql(spark, sf_dir, name):
     assert_same(spark, sf_dir, queries.QUERIES[name], queries.ORACLE[name])
 
 
+def test_toxicity_with_few_labels(spark):
+    """Each toxic word is in two labelled texts only; texts without a label that hold one are flagged all the same."""
+    plain, rude = "river stone garden window bridge candle market forest".split(), "grumblesnark vexwobble mudflinger".split()
+    words = lambda i: " ".join(plain[(i * k + k) % 8] for k in (1, 3, 5))
+    rows = [(i, words(i), 0) for i in range(12)] + [(20 + i, f"{words(i)} {rude[i % 3]}", 1) for i in range(6)]
+    new = [(40 + i, f"{rude[i]} {words(i + 2)}", 1) for i in range(3)] + [(50 + i, f"{words(i + 1)} {words(i)}", 0) for i in range(6)]
+    told = spark.createDataFrame([(a, b) for a, b, _ in rows + new], "doc_id long, text string")
+    labels = spark.createDataFrame([(a, c) for a, _, c in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in classify.toxicity(told, labels, F.lit(True), F.lit(False)).collect()}
+    assert got == {a: c for a, _, c in rows + new}
+
+
+def test_occurrences_keep_all_slots():
+    slots = np.unique(np.random.default_rng(1).integers(0, 1 << 20, 5000)).astype(np.int32)
+    for own in (slots, slots[:0], slots[-1:]):
+        assert classify.Occurrences(*classify.Occurrences.packed(own)).slots().tolist() == own.tolist()
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as pipeline
 

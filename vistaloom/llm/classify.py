@@ -77,6 +77,14 @@ def _of(found: list[tuple[np.ndarray, np.ndarray]], i: int) -> np.ndarray:
     return np.concatenate([slots[first[i] : first[i + 1]] for slots, first in found])
 
 
+def _once(found: list[tuple[np.ndarray, np.ndarray]], i: int, latest: np.ndarray) -> np.ndarray:
+    """Text i's slots, each once. latest, a number a slot, is scratch space."""
+    own = _of(found, i)
+    order = np.arange(len(own), dtype=np.int32)
+    latest[own] = order
+    return own[latest[own] == order]
+
+
 def _document_counts(grams: Grams, groups: int):
     """Rows (group, block, counts): in how many texts of each group a slot occurs, and in an extra block -1 how many texts there are."""
 
@@ -87,10 +95,7 @@ def _document_counts(grams: Grams, groups: int):
         for batch in slices(batches, limit=2 << 20):
             found = grams(batch.column("text"))
             for i, group in enumerate(batch.column("grp").to_pylist()):
-                own = _of(found, i)
-                order = np.arange(len(own), dtype=np.int32)
-                latest[own] = order
-                counts[group][own[latest[own] == order]] += 1  # each slot once
+                counts[group][_once(found, i, latest)] += 1
                 texts[group] += 1
         out = []
         for g in range(groups):
@@ -143,24 +148,22 @@ def bounded_sample(rows: DataFrame, group: str, per_group: int, seed: int) -> Da
     return ranked.where(F.col("_n") <= per_group).drop("_n", "_h")
 
 
-def _features(grams: Grams, shared=None):
+def _features(grams: Grams):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=2 << 20):
             found = grams(batch.column("text"))
             own = []
             for i in range(batch.num_rows):
-                slots = _of(found, i)
-                slots, counts = np.unique(slots if shared is None else slots[shared.value[slots]], return_counts=True)
+                slots, counts = np.unique(_of(found, i), return_counts=True)
                 own.append((slots.astype("<i4").tobytes(), counts.astype("<i4").tobytes()))
             yield pa.record_batch([batch.column("grp"), batch.column("h"), pa.array([x[0] for x in own], pa.binary()), pa.array([x[1] for x in own], pa.binary())], ["grp", "h", "slots", "counts"])
 
     return run
 
 
-def features(sample: DataFrame, grams: Grams, used: np.ndarray | None = None) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(group, slots, counts) of the rows of a bounded sample, in the order of a hash; of the slots in use only, if given."""
-    shared = None if used is None else sample.sparkSession.sparkContext.broadcast(used)
-    rows = sample.select("grp", F.xxhash64(F.lit(5), "doc_id", "text").alias("h"), "text").mapInArrow(_features(grams, shared), "grp int, h long, slots binary, counts binary").collect()
+def features(sample: DataFrame, grams: Grams) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(group, slots, counts) of the rows of a bounded sample, in the order of a hash."""
+    rows = sample.select("grp", F.xxhash64(F.lit(5), "doc_id", "text").alias("h"), "text").mapInArrow(_features(grams), "grp int, h long, slots binary, counts binary").collect()
     rows.sort(key=lambda r: (r.h, r.grp))
     return [(r.grp, np.frombuffer(bytes(r.slots), "<i4"), np.frombuffer(bytes(r.counts), "<i4").astype(float)) for r in rows]
 
@@ -282,16 +285,41 @@ TOXIC_GRAMS = Grams((4, 5, 6), 20, inside=True)
 #: Labelled rows of each class that the classifier is fitted on at most; the log-count ratios count all of them.
 PER_CLASS, PASSES = 4000, 20
 RATE, PENALTY, SMOOTHING = 0.1, 0.00001, 0.5
-#: A slot is a feature if its log-count ratio is so many standard errors from 0.
-SURE = 3.5
 
 
 def log_count_ratios(texts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Of each slot: log of how much more frequent it is in texts of class 1 than of class 0; 0 where that isn't sure."""
+    """Of each slot: log of how much more frequent it is, smoothed, in texts of class 1 than of class 0."""
     p, q = ((counts[c] + SMOOTHING) / (texts[c] + 2 * SMOOTHING) for c in (1, 0))
-    ratio = np.log(p / q)
-    error = np.sqrt(1 / (counts[1] + SMOOTHING) + 1 / (counts[0] + SMOOTHING))
-    return np.where(np.abs(ratio) > SURE * error, ratio, 0.0)
+    return np.log(p / q)
+
+
+class Occurrences:
+    """The slots (under 2**20) of a text, ascending, at two bytes each: the low halves, and how many slots each high half has."""
+
+    def __init__(self, low: bytes, parts: bytes):
+        self.low, self.parts = low, parts
+
+    @staticmethod
+    def packed(slots: np.ndarray) -> tuple[bytes, bytes]:
+        return (slots & 0xFFFF).astype("<u2").tobytes(), np.bincount(slots >> 16, minlength=16).astype("<i4").tobytes()
+
+    def slots(self) -> np.ndarray:
+        high = np.repeat(np.arange(16, dtype=np.int32) << 16, np.frombuffer(self.parts, "<i4"))
+        return high | np.frombuffer(self.low, "<u2")
+
+
+def _occurrences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, limit=2 << 20):
+        found = TOXIC_GRAMS(batch.column("text"))
+        own = [Occurrences.packed(np.unique(_of(found, i))) for i in range(batch.num_rows)]
+        yield pa.record_batch([batch.column("grp"), batch.column("h"), pa.array([x[0] for x in own], pa.binary()), pa.array([x[1] for x in own], pa.binary())], ["grp", "h", "low", "parts"])
+
+
+def occurrences(sample: DataFrame) -> list[tuple[int, Occurrences]]:
+    """(group, all slots) of the rows of a bounded sample, in the order of a hash."""
+    rows = sample.select("grp", F.xxhash64(F.lit(5), "doc_id", "text").alias("h"), "text").mapInArrow(_occurrences, "grp int, h long, low binary, parts binary").collect()
+    rows.sort(key=lambda r: (r.h, r.grp))
+    return [(r.grp, Occurrences(r.low, r.parts)) for r in rows]
 
 
 def train_toxicity(labelled: DataFrame, per_class: int = PER_CLASS) -> tuple[np.ndarray, float]:
@@ -305,19 +333,19 @@ def train_toxicity(labelled: DataFrame, per_class: int = PER_CLASS) -> tuple[np.
     if not texts.all():
         return np.zeros(size, np.float32), 4.0 if texts[1] else -4.0
     ratio = log_count_ratios(texts, counts)
-    sample = [(g, s) for g, s, _ in features(bounded_sample(rows, "grp", per_class, 4), TOXIC_GRAMS, ratio != 0)]
-    w, b = fit(sample, ratio, float(texts[1] / texts.sum()))
+    w, b = fit(occurrences(bounded_sample(rows, "grp", per_class, 4)), ratio, float(texts[1] / texts.sum()))
     return (w * ratio).astype(np.float32), b
 
 
-def fit(sample: list[tuple[int, np.ndarray]], ratio: np.ndarray, share: float, passes: int = PASSES, rate: float = RATE, penalty: float = PENALTY) -> tuple[np.ndarray, float]:
+def fit(sample: list[tuple[int, Occurrences]], ratio: np.ndarray, share: float, passes: int = PASSES, rate: float = RATE, penalty: float = PENALTY) -> tuple[np.ndarray, float]:
     """Weights of the scaled features, and intercept. Rows are weighted so that class 1 has the share it has in all rows."""
     ones = sum(g for g, _ in sample)
     weight = {1: share * len(sample) / max(1, ones), 0: (1 - share) * len(sample) / max(1, len(sample) - ones)}
     w, b = np.zeros(len(ratio)), 0.0
     squares, bsquare = np.full(len(ratio), 1e-8), 1e-8
     for _ in range(passes):
-        for label, slots in sample:
+        for label, own in sample:
+            slots = own.slots()
             x = ratio[slots]
             error = (1 / (1 + np.exp(-np.clip((x * w[slots]).sum() + b, -30, 30))) - label) * weight[label]
             g = error * x + penalty * w[slots]
@@ -331,14 +359,10 @@ def fit(sample: list[tuple[int, np.ndarray]], ratio: np.ndarray, share: float, p
 def _toxicity(shared):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, b = shared.value
-        used = table != 0
+        latest = np.zeros(len(table), np.int32)
         for batch in slices(batches, limit=2 << 20):
-            pairs = []
-            for slots, first in TOXIC_GRAMS(batch.column("text")):
-                at = np.flatnonzero(used[slots])
-                pairs.append(((np.searchsorted(first, at, side="right") - 1).astype(np.int64) << 32) | slots[at])
-            pairs = np.unique(np.concatenate(pairs))  # each slot once a text
-            z = b + np.bincount(pairs >> 32, weights=table[pairs & 0xFFFFFFFF], minlength=batch.num_rows)
+            found = TOXIC_GRAMS(batch.column("text"))
+            z = b + np.array([table[_once(found, i, latest)].sum(dtype=float) for i in range(batch.num_rows)])
             score = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             columns = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "text"]
             yield pa.record_batch([*columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*(x for x in batch.schema.names if x != "text"), "score", "predicted"])
