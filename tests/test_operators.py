@@ -162,3 +162,29 @@ def test_choice_of_method(spark):
     few = spark.createDataFrame([("original", n) for n in (3, 3, 30, 30)] + [("adjusted", n) for n in (20, 22, 24, 26)], "method string, n int")
     assert choose_method(few).first().chosen == "adjusted"
     assert choose_method(few.where("method = 'original'")).first().chosen == "original"
+
+
+def test_queries_reach_rows_of_all_ids(spark, tmp_path):
+    from vistaloom.plans import catalogue
+
+    ids = [5, 480, 520, 2990, 3010, 45678]
+    spark.createDataFrame([(e, e % 3, e * 1000, 1.0, "view") for e in ids], "event_id long, user_id long, ts long, value double, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    turns = [(39, 0, "a" * 30), (39, 1, "b" * 90), (40, 0, "c" * 300), (40, 1, "d" * 62), (900, 0, "e" * 238), (900, 1, "f" * 700), (900, 2, "g" * 10)]
+    spark.createDataFrame([(v, i, "user", x) for v, i, x in turns], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    run = lambda name: catalogue.QUERIES[name](spark, str(tmp_path)).collect()
+    assert sorted(r.id for r in run("previous_track")) == ids
+    assert {r.event_id: r.seconds for r in run("media_info_parse_all")} == {e: e // 100 * 3600 + e % 60 * 60 + e * 7 % 60 + 0.5 for e in ids}
+    begun = [sum(len(y) for w, j, y in turns if w == v and j < i) / 100 for v, i, _ in turns]
+    marks = {t + 0.62 for t, (_, i, _) in zip(begun, turns) if i > 0}
+    score = lambda k: sum(max(0, max(1 - abs(t + k * 0.02 - m) / 0.5 for m in marks)) for t in begun) / len(begun)
+    best, step = max((round(score(k), 9), -k) for k in range(-250, 251))
+    got = run("offset_grid_search_all")
+    assert [r.offset_step for r in got] == [-step] and got[0].score == pytest.approx(best, abs=1e-6)
+
+
+def test_best_offset_counts_equal_starts_and_distant_ones(spark):
+    starts, marks = [0.0, 0.0, 5.49, 100.0, 400.0, None], [1.3, 6.79, 10.99, 101.5]
+    score = lambda k: sum(max(0, max(1 - abs(t + k * 0.02 - m) / 0.5 for m in marks)) for t in starts if t is not None) / len(starts)
+    best, step = max((round(score(k), 9), -k) for k in range(-250, 251))
+    got = T.best_offset(spark.createDataFrame([(t,) for t in starts], "t double"), spark.createDataFrame([(m,) for m in marks], "m double")).first()
+    assert (got.offset_step, got.score) == (-step, pytest.approx(best, abs=1e-8))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vistaloom.functions.vectors import dot
 from vistaloom.operators.vectors import inter_cluster_similarity, intra_cluster_consistency
@@ -64,23 +69,33 @@ def center_summary(matches: DataFrame, least: int = 3) -> DataFrame:
     return matches.groupBy("center_id").agg(F.count("*").alias("n"), F.avg("similarity").alias("mean")).where(F.col("n") >= least)
 
 
+def _follow(radius: float, frames: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        video, seen, n = object(), {}, 0  # seen: track -> frame, x, y
+        for batch in batches:
+            out = []
+            for v, frame, x, y in zip(*(batch.column(c).to_pylist() for c in ("video", "frame", "x", "y"))):
+                if v != video:
+                    video, seen, n = v, {}, 0
+                seen = {t: p for t, p in seen.items() if None not in (frame, p[0]) and frame - p[0] <= frames}
+                near = [(math.hypot(x - p[1], y - p[2]), t) for t, p in seen.items() if frame > p[0] and None not in (x, y, *p)]
+                near = [z for z in near if z[0] < radius]
+                track = min(near)[1] if near else n
+                n += not near
+                seen[track] = (frame, x, y)
+                out.append(track)
+            yield pa.record_batch([batch.column("video"), batch.column("id"), pa.array(out, pa.int32())], ["video", "id", "track"])
+
+    return run
+
+
 def follow(rows: DataFrame, radius: float = 50.0, frames: int = 10) -> DataFrame:
     """rows (video, frame, id, x, y) with track: the closest earlier face within radius, at most `frames` back, lends its track; else a new one starts.
 
-    A face's track depends on those given before, so a video's rows are folded in order; what is kept is each track's last place.
+    A face's track depends on those given before, so a video's rows pass in order through one task; what is kept is the last
+    place of each track seen within `frames`.
     """
-    held = rows.groupBy("video").agg(F.array_sort(F.collect_list(F.struct("frame", "id", "x", "y"))).alias("rows"))
-    track = "array<struct<t:int,frame:int,x:double,y:double>>"
-    start = F.struct(F.array().cast(track).alias("seen"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("outs"))
-
-    def step(state, row):
-        near = F.transform(
-            F.filter(state["seen"], lambda p: (row["frame"] - p["frame"] <= frames) & (row["frame"] > p["frame"]) & (F.hypot(row["x"] - p["x"], row["y"] - p["y"]) < radius)),
-            lambda p: F.struct(F.hypot(row["x"] - p["x"], row["y"] - p["y"]).alias("d"), p["t"].alias("t")))
-        own = F.coalesce(F.array_min(near)["t"], state["n"])
-        last = F.struct(own.cast("int").alias("t"), row["frame"].cast("int").alias("frame"), row["x"].cast("double").alias("x"), row["y"].cast("double").alias("y"))
-        seen = F.concat(F.filter(state["seen"], lambda p: (p["t"] != own) & (row["frame"] - p["frame"] <= frames)), F.array(last))
-        return F.struct(seen.alias("seen"), (state["n"] + F.when(F.size(near) == 0, 1).otherwise(0)).alias("n"), F.concat(state["outs"], F.array(own.cast("int"))).alias("outs"))
-
-    folded = F.aggregate("rows", start, step)
-    return held.select("video", F.explode(F.arrays_zip(F.col("rows.id").alias("id"), folded["outs"].alias("track"))).alias("x")).select("video", "x.*")
+    cast = [F.col("frame").cast("int").alias("frame"), "id", *(F.col(c).cast("double").alias(c) for c in "xy")]
+    dealt = rows.select("video", *cast).repartition("video").sortWithinPartitions("video", "frame", "id", "x", "y")
+    schema = T.StructType([dealt.schema["video"], dealt.schema["id"], T.StructField("track", T.IntegerType())])
+    return dealt.mapInArrow(_follow(radius, frames), schema)

@@ -6,6 +6,8 @@ aggregate() over a sorted array; windows do the rest.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,15 +159,28 @@ def best_offset(starts: DataFrame, marks: DataFrame, steps: int = 500, step: flo
     """offset_step, score of the best shift of starts (seconds t): shifts are steps of `step` from -steps / 2; a start
     scores max(0, 1 - distance / reach) by its nearest mark (seconds m); ties go to the earliest shift.
 
-    Only (start, mark) pairs that can score meet, by a join on the shift that brings them together.
+    Equal starts are taken together, and meet the marks in time bins as wide as the reach of all shifts; there each shift
+    looks up the nearest mark.
     """
     n = starts.count()
     half = steps // 2
-    pairs = starts.withColumn("_k", F.monotonically_increasing_id()).join(marks, F.abs(F.col("m") - F.col("t")) <= half * step + reach)
-    shifts = F.sequence(F.ceil((F.col("m") - F.col("t") - reach) / step).cast("int"), F.floor((F.col("m") - F.col("t") + reach) / step).cast("int"))
-    hit = pairs.select("_k", "t", "m", F.explode(shifts).alias("k")).where(F.abs("k") <= half)
-    score = F.greatest(F.lit(0.0), 1 - F.abs(F.col("t") + F.col("k") * step - F.col("m")) / reach)
-    each = hit.groupBy("_k", "k").agg(F.max(score).alias("s"))
+    width = half * step + reach
+    marked = marks.where("m IS NOT NULL").select(F.floor(F.col("m") / width).alias("_own"), "m").distinct()
+    marked = marked.select(F.explode(F.array(F.col("_own") - 1, F.col("_own"), F.col("_own") + 1)).alias("bin"), "m")
+    begun = starts.where("t IS NOT NULL").groupBy("t").agg(F.count("*").alias("n")).select(F.floor(F.col("t") / width).alias("bin"), F.col("t").cast("double").alias("t"), "n")
+
+    def scores(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        m, t, often, out = np.sort(b["m"].to_numpy(float)), a["t"].to_numpy(float), a["n"].to_numpy(float), []
+        for k in range(-half, half + 1) if len(m) else ():
+            moved = t + k * step
+            at = np.searchsorted(m, moved)
+            off = np.minimum(np.abs(moved - m[np.maximum(at - 1, 0)]), np.abs(moved - m[np.minimum(at, len(m) - 1)]))
+            hit = off <= reach
+            if hit.any():
+                out.append((k, float(((1 - off[hit] / reach) * often[hit]).sum())))
+        return pd.DataFrame(out, columns=["k", "s"])
+
+    each = begun.groupBy("bin").cogroup(marked.groupBy("bin")).applyInPandas(scores, "k int, s double")
     sums = each.groupBy("k").agg((F.sum("s") / n).alias("score"))
     return sums.agg(F.max(F.struct(F.round("score", 9).alias("score"), (-F.col("k")).alias("k"))).alias("b")).select((-F.col("b.k")).alias("offset_step"), F.col("b.score").alias("score"))
 

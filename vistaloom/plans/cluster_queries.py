@@ -24,8 +24,8 @@ def _quality(s, d):
     return observations(s, d).select("event_id", R.face_quality(v, n(17) * 1.2, n(11), (e % 40) * 1000).alias("v1"), R.retrieval_quality(v, n(17) * 1.2, (e % 40) * 500).alias("v2"), R.colour(e % 15 - 1, F.lit(12)).alias("c"))
 
 
-def _media(s, d):
-    rows = observations(s, d).where("event_id < 500")
+def _media(s, d, some="true"):
+    rows = observations(s, d).where(some)
     e = F.col("event_id")
     text = F.format_string("Duration: %02d:%02d:%02d.50, start: 0\n Video: h264, %dx%d, %d fps", (e / 100).cast("int"), e % 60, (e * 7) % 60, e % 50 + 100, e % 30 + 90, e % 30 + 24)
     return rows.select("event_id", R.duration_of(text).alias("seconds"), R.resolution_of(text).alias("size"), R.frame_rate_of(text).alias("fps"), R.area_of(R.resolution_of(text)).alias("area"))
@@ -34,7 +34,7 @@ def _media(s, d):
 def _tracks(s, d):
     e = F.col("event_id")
     rows = observations(s, d).select((F.col("track") % 20).alias("video"), (e / 20).cast("int").alias("frame"), e.alias("id"), ((e * 37) % 200).cast("double").alias("x"), ((e * 53) % 200).cast("double").alias("y"))
-    return C.follow(rows.where("id < 3000"), 50.0, 10)
+    return C.follow(rows, 50.0, 10)
 
 
 def _sizes(s, d):
@@ -53,7 +53,8 @@ QUERIES = {
     "frame_arithmetic": _arithmetic,
     "face_quality_scores": lambda s, d: _round(_quality(s, d).withColumns({"v1": F.col("v1") + 1e-9, "v2": F.col("v2") + 1e-9}), "v1", "v2").drop("c"),
     "color_by_id": lambda s, d: _quality(s, d).select("event_id", F.array_join(F.transform("c", lambda x: x.cast("string")), ",").alias("bgr")),
-    "media_info_parse": _media,
+    "media_info_parse": lambda s, d: _media(s, d, "event_id < 500"),
+    "media_info_parse_all": _media,
     "previous_track": _tracks,
     "cluster_method_choice": lambda s, d: C.choose_method(_sizes(s, d)),
     "merge_safety": lambda s, d: _round(C.merge_safety(faces(s, d), _all_pairs(s, d), threshold=-0.01), "c_union", "cross"),

@@ -42,9 +42,10 @@ def _votes(s, d):
     return out.withColumn("speakers", F.array_join(F.transform("speakers", lambda x: x.cast("string")), ","))
 
 
-def _grid(s, d):
-    starts = subtitles(s, d).where("video < 40").select((F.col("start_ms") / 1000.0).alias("t"))
-    marks = subtitles(s, d).where("video < 40 AND idx > 0").select((F.col("start_ms") / 1000.0 + 0.62).alias("m")).distinct()
+def _grid(s, d, some="true"):
+    rows = subtitles(s, d).where(some)
+    starts = rows.select((F.col("start_ms") / 1000.0).alias("t"))
+    marks = rows.where("idx > 0").select((F.col("start_ms") / 1000.0 + 0.62).alias("m")).distinct()
     return T.best_offset(starts, marks)
 
 
@@ -63,7 +64,8 @@ QUERIES = {
     "movement_variance": lambda s, d: _round(T.movement(observations(s, d), scale=0.0001), "movement", places=4),
     "speech_active_at": lambda s, d: T.inside_segments(observations(s, d), T.segments(observations(s, d), _active()), 600),
     "nearest_onset": lambda s, d: T.nearest(observations(s, d), T.onsets(observations(s, d), _active())),
-    "offset_grid_search": lambda s, d: _round(_grid(s, d), "score"),
+    "offset_grid_search": lambda s, d: _round(_grid(s, d, "video < 40"), "score"),
+    "offset_grid_search_all": lambda s, d: _round(_grid(s, d), "score"),
     "carry_forward": lambda s, d: T.carry_forward(observations(s, d), F.when(F.col("kind") == "click", F.col("value"))),
     "speaker_vote": _votes,
 }
@@ -95,9 +97,10 @@ def _votes(s, d):
     return out.withColumn("speakers", F.array_join(F.transform("speakers", lambda x: x.cast("string")), ","))
 
 
-def _grid(s, d):
-    starts = subtitles(s, d).where("video < 40").select((F.col("start_ms") / 1000.0).alias("t"))
-    marks = subtitles(s, d).where("video < 40 AND idx > 0").select((F.col("start_ms") / 1000.0 + 0.62).alias("m")).distinct()
+def _grid(s, d, some="true"):
+    rows = subtitles(s, d).where(some)
+    starts = rows.select((F.col("start_ms") / 1000.0).alias("t"))
+    marks = rows.where("idx > 0").select((F.col("start_ms") / 1000.0 + 0.62).alias("m")).distinct()
     return T.best_offset(starts, marks)
 
 
@@ -116,7 +119,8 @@ QUERIES = {
     "movement_variance": lambda s, d: _round(T.movement(observations(s, d), scale=0.0001), "movement", places=4),
     "speech_active_at": lambda s, d: T.inside_segments(observations(s, d), T.segments(observations(s, d), _active()), 600),
     "nearest_onset": lambda s, d: T.nearest(observations(s, d), T.onsets(observations(s, d), _active())),
-    "offset_grid_search": lambda s, d: _round(_grid(s, d), "score"),
+    "offset_grid_search": lambda s, d: _round(_grid(s, d, "video < 40"), "score"),
+    "offset_grid_search_all": lambda s, d: _round(_grid(s, d), "score"),
     "carry_forward": lambda s, d: T.carry_forward(observations(s, d), F.when(F.col("kind") == "click", F.col("value"))),
     "speaker_vote": _votes,
 }
