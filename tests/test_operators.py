@@ -188,3 +188,26 @@ def test_best_offset_counts_equal_starts_and_distant_ones(spark):
     best, step = max((round(score(k), 9), -k) for k in range(-250, 251))
     got = T.best_offset(spark.createDataFrame([(t,) for t in starts], "t double"), spark.createDataFrame([(m,) for m in marks], "m double")).first()
     assert (got.offset_step, got.score) == (-step, pytest.approx(best, abs=1e-8))
+
+
+def test_retrieval_with_feedback_against_a_plain_loop(spark):
+    import random
+    from collections import defaultdict, deque
+
+    rng = random.Random(3)
+    unit = lambda: (lambda v: [x / math.sqrt(sum(y * y for y in v)) for x in v])([rng.gauss(0.3, 1) for _ in range(4)])
+    faces = [(v * 100 + i, v, rng.choice([0, i // 3, 30 - i // 3]), rng.random(), unit()) for v in range(2) for i in range(60)]
+    centers = [(c, unit()) for c in range(7)]
+    want = {}
+    for v in range(2):
+        recent = defaultdict(lambda: deque(maxlen=5))
+        for i, _, f, q, e in sorted((r for r in faces if r[1] == v), key=lambda r: (r[2] if r[2] > 0 else math.inf, r[0])):
+            near = sorted(((sum(x * y for x, y in zip(e, c)), -k) for k, c in centers), reverse=True)[:4]
+            near = [(-k, 0.8 * max(0, s) + 0.2 * (sum(recent[-k]) / len(recent[-k]) if recent[-k] else 0), max(0, s)) for s, k in near]
+            for k, a, s in sorted(near, key=lambda x: -x[1])[:2]:
+                if a > 0.4:
+                    recent[k].append(q * s)
+                    want[i, k] = a
+    table = spark.createDataFrame(faces, "face_id long, video int, frame_num int, quality double, enc array<double>")
+    got = V.retrieve_with_feedback(table, spark.createDataFrame(centers, "cluster_id int, center array<double>"), n=2, threshold=0.4, video=F.col("video")).collect()
+    assert {(r.face_id, r.cluster_id): r.adjusted for r in got} == pytest.approx(want) and len(got) == len(want) > 50

@@ -7,12 +7,15 @@ one matrix product. The work is quadratic by definition; memory in a task is two
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vistaloom.functions.vectors import dot, normalised
 
@@ -51,6 +54,46 @@ def match_to_center(faces: DataFrame, centers: DataFrame, threshold: float = 0.5
     return best.select("face_id", F.when(hit, -F.col("b.c")).otherwise(-1).cast("int").alias("match_idx"), F.when(hit | F.lit(keep_below), F.col("b.s")).otherwise(0.0).alias("similarity"))
 
 
+def _feedback(n: int, threshold: float, weight: float, size: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        video, recent = object(), {}
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if row["video"] != video:
+                    video, recent = row["video"], {}
+                adjusted = []
+                for near in row["near"]:
+                    c, s = near["cluster_id"], max(0.0, near["similarity"])
+                    own = recent.get(c)
+                    adjusted.append((c, (1 - weight) * s + weight * (sum(own) / len(own) if own else 0.0), s))
+                adjusted.sort(key=lambda x: -x[1])
+                for rank, (c, a, s) in enumerate(adjusted[:n], 1):
+                    if a > threshold:
+                        recent.setdefault(c, deque(maxlen=size)).append(row["quality"] * s)
+                        out.append((row["video"], row["face_id"], row["frame_num"], c, rank, a, s))
+            if out:
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out), batch.schema.types[:3] + [batch.schema.field("near").type.value_type.field("cluster_id").type, pa.int32(), pa.float64(), pa.float64()])], ["video", "face_id", "frame_num", "cluster_id", "rank", "adjusted", "similarity"])
+
+    return run
+
+
+def retrieve_with_feedback(faces: DataFrame, centers: DataFrame, n: int = 5, threshold: float = 0.5, weight: float = 0.2, size: int = 5, video: Column | None = None) -> DataFrame:
+    """video, face_id, frame_num, cluster_id, rank, adjusted, similarity: of each face's 2n nearest centres the n best above threshold after temporal adjustment.
+
+    adjusted is (1 - weight) * similarity (0 at least) + weight * mean of the centre's last `size` values quality * similarity, 0
+    without any; only accepted faces add theirs. Faces pass in the order of frames (unknown ones, not above 0, last) and ids; a
+    video's (all, without one) through one task, since each decision depends on those before. The state is `size` numbers a centre.
+    """
+    own = faces.select((F.lit(0) if video is None else video).alias("video"), "face_id", "frame_num", F.col("quality").cast("double").alias("quality"), "enc", F.lit(0).alias("cluster_id"))
+    near = ranked_centers(own, centers).where(F.col("rank") <= 2 * n)
+    rows = near.groupBy("video", "face_id", "frame_num", "quality").agg(F.array_sort(F.collect_list(F.struct("rank", "cluster_id", "similarity"))).alias("near"))
+    dealt = rows.select("video", "face_id", "frame_num", "quality", "near", F.when(F.col("frame_num") > 0, F.col("frame_num")).alias("_f")).repartition("video").sortWithinPartitions("video", F.asc_nulls_last("_f"), "face_id").drop("_f")
+    types = dealt.schema
+    schema = T.StructType([types["video"], types["face_id"], types["frame_num"], types["near"].dataType.elementType["cluster_id"], T.StructField("rank", T.IntegerType()), T.StructField("adjusted", T.DoubleType()), T.StructField("similarity", T.DoubleType())])
+    return dealt.mapInArrow(_feedback(n, threshold, weight, size), schema)
+
+
 def similar_pairs(faces: DataFrame, floor: float) -> DataFrame:
     """src, dst, src_frame, dst_frame, similarity of all pairs src < dst with a similarity of at least floor, by blocks."""
     blocks = max(1, math.ceil(faces.count() / BLOCK))
