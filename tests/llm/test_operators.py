@@ -73,8 +73,8 @@ def shingles(t):
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-@pytest.mark.parametrize("hot", [ngram_join.HOT, -(1 << 30)])
-def test_ngram_join(docs, empty, hot):
+@pytest.mark.parametrize(("hot", "rounds"), [(ngram_join.HOT, ngram_join.ROUNDS), (-(1 << 30), 1), (ngram_join.HOT, 0)])
+def test_ngram_join(docs, empty, hot, rounds):
     sets = [(d, shingles(t)) for d, t in table()]
     parent = list(range(len(sets)))
 
@@ -92,10 +92,22 @@ def test_ngram_join(docs, empty, hot):
     for i, (d, _) in enumerate(sets):
         least[root(i)] += [d] if d is not None else []
     want = Counter((d, len(s), (min(least[root(i)], default=None) if s else d)) for i, (d, s) in enumerate(sets))
-    assert Counter(tuple(r) for r in ngram_join.near_duplicates(docs, hot=hot).collect()) == want
+    assert Counter(tuple(r) for r in ngram_join.near_duplicates(docs, hot=hot, rounds=rounds).collect()) == want
     assert ngram_join.near_duplicates(empty).count() == 0
 
 
+def test_ngram_join_bounds():
+    """_needed against all sizes, and its bound by bands."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql("CREATE MACRO div(x, y) AS x // y")
+    sql = lambda text: re.sub(r"([0-9.]+)D\b", r"\1", text.replace(" div ", " // "))
+    needed, bound = sql(ngram_join._needed("n", "m", 80)), sql(ngram_join._needed_in_band("n", "band", 80))
+    low = con.sql(f"SELECT min({needed} - {bound}), min({needed}), count(*) FROM (SELECT n, m, floor(ln(m) / ln({ngram_join.BAND})) AS band FROM range(1, 700) a(n), range(1, 900) b(m) WHERE n * 100 >= m * 80 AND m * 100 >= n * 80)").fetchall()[0]
+    assert low[0] >= 0 and low[1] >= 1 and low[2] > 10_000
+
+
 def test_sharding(docs, empty):
     out = sharding.shard(docs, 4, bucket_bytes=4000)
     rows = out.select("record.doc_id", "record.text", "shard", "slot").collect()
@@ -305,6 +317,9 @@ def test_pipeline(spark, sf_dir):
             if i == 1:
                 last = {t: d for d, t in sorted(was.items())}
                 assert ids == set(last.values())
+            if i == 2:
+                groups = ngram_join.near_duplicates(before).collect()
+                assert ids == {r.component_id for r in groups}
             if i == 3:
                 hit = decontaminate.contamination(before, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
                 assert ids == {r.doc_id for r in hit.where("NOT contaminated").collect()}
@@ -312,3 +327,20 @@ def test_pipeline(spark, sf_dir):
             assert {r.doc_id for r in after.select("doc_id").collect()} == {r.doc_id for r in before.select("doc_id").collect()}
         before = after
     assert pipeline.run(spark, sf_dir).count() == after.count()
+
+
+def test_pipeline_tells_rows_apart(spark, sf_dir):
+    import corpus_pipeline as pipeline
+
+    one, item = words(random.Random(1), 60), spark.read.parquet(f"{sf_dir}/benchmark.parquet").first().text
+    near = one + " end"
+    rows = [(None, item), (None, "clean words"), (1, one), (1, "other words that stay"), (None, near), (2, item), (2, "clean too"), (3, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("record", F.lit(1)).withColumn("row", F.lit(2)).withColumn("component", F.lit("x"))
+    left = Counter((r.doc_id, r.text) for r in pipeline.near_duplicates(spark, docs, sf_dir).collect())
+    assert left == Counter(rows) - Counter([(None, near), (None, item)])
+    clean = pipeline.benchmark_passages(spark, docs, sf_dir)
+    assert clean.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in clean.collect()) == Counter(r for r in rows if r[1] != item)
+    empty = docs.limit(0)
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, empty, sf_dir).count() == 0

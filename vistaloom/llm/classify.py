@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vistaloom.llm.util import maybe_in, mix, record, saved, slices, slots
+from vistaloom.llm.util import maybe_in, mix, record, saved, slices
 
 _U = np.uint64
 BLOCK = 4096
@@ -384,7 +384,7 @@ def _model(texts: DataFrame, labels: DataFrame, per_class: int):
     """The broadcast model, learnt from texts (doc_id, text) that labels covers."""
     marks = labels.where(F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
     marks = marks.withColumn("key", F.xxhash64("doc_id"))
-    known, _ = maybe_in(texts.where(F.col("text").isNotNull()).withColumn("key", F.xxhash64("doc_id")), "key", slots(marks, "key"))
+    known, _ = maybe_in(texts.where(F.col("text").isNotNull()).withColumn("key", F.xxhash64("doc_id")), "key", marks, "key")
     labelled = saved(known.join(marks.drop("key"), "doc_id").drop("key"), "labelled")
     return texts.sparkSession.sparkContext.broadcast(train_toxicity(labelled, per_class))
 

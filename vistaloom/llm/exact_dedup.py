@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vistaloom.llm.util import LOWER_AZ, UPPER_AZ, maybe_in, record, saved, slots
+from vistaloom.llm.util import LOWER_AZ, UPPER_AZ, maybe_in, record, saved
 
 #: Rows of a run that its Bloom filter is laid out for (a task of 128 MB has about so many).
 RUN_ROWS = 1 << 16
@@ -47,7 +47,7 @@ def compact(runs: DataFrame, largest: bool = False) -> DataFrame:
 
 def _hits(keyed: DataFrame, compacted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows with their digests, parted by the filter of repeated digests: (may be repeated, surely not)."""
-    return maybe_in(keyed, "digest", slots(compacted.where("size > 1"), "digest"))
+    return maybe_in(keyed, "digest", compacted.where("size > 1"), "digest")
 
 
 def mark_duplicates(docs: DataFrame, largest: bool = False, digest: Callable[[Column], Column] = F.xxhash64) -> DataFrame:

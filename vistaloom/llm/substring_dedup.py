@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vistaloom.llm.util import Words, bucket_of, buckets_for, maybe_in, mix, saved, slices, slots
+from vistaloom.llm.util import Words, bucket_of, buckets_for, maybe_in, mix, saved, slices
 
 _U = np.uint64
 #: Bytes of text in a chunk, and entries in a bucket.
@@ -225,10 +225,10 @@ def remove_repeats(docs: DataFrame, span: int = 35) -> DataFrame:
     buckets = buckets_for(total // WORD_BYTES, BUCKET)
     sent = named.select("name", "text").mapInArrow(_anchors(span, block, buckets), EXCHANGE)
     hits = _settle(sent, "<u4", buckets, "block-hits")
-    maybe, _ = maybe_in(named, "name", slots(hits, "name"))
+    maybe, _ = maybe_in(named, "name", hits, "name")
     around = maybe.select("name", "text").join(hits, "name").mapInArrow(_windows(span, block, buckets), EXCHANGE)
     repeats = _settle(around, "<u8", buckets, "window-hits")
-    maybe, rest = maybe_in(named, "name", slots(repeats, "name"))
+    maybe, rest = maybe_in(named, "name", repeats, "name")
     marked = maybe.join(repeats, "name", "left").select("doc_id", "text", "hits")
     both = marked.unionByName(rest.select("doc_id", "text", F.lit(None).cast("binary").alias("hits")))
     return both.mapInArrow(_cut(span), "doc_id long, n_words long, n_removed long, text string")

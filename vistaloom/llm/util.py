@@ -62,23 +62,34 @@ def saved(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Filters have 16 bits or more for each key, but 8 MB at most; beyond some millions of keys more rows pass than need to.
+LEAST_LOG2, MOST_LOG2 = 18, 26
 
 
-def bits(rows: DataFrame, key: str, log2: int = 23) -> np.ndarray:
-    """A filter over the longs in column key: a set bit for each one's highest log2 bits.
+def filter_log2(keys: int) -> int:
+    return min(MOST_LOG2, max(LEAST_LOG2, math.ceil(math.log2(16 * max(keys, 1)))))
 
-    Its size is fixed (1 MB at the default), so it can be broadcast at any size of the input; it only
+
+class Bits:
+    """A filter over longs: a set bit for each one's highest log2 bits."""
+
+    def __init__(self, log2: int):
+        self.log2, self.bytes = log2, np.zeros(1 << (log2 - 3), np.uint8)
+
+    def has(self, key: int) -> bool:
+        slot = (key & _MASK) >> (64 - self.log2)
+        return bool(self.bytes[slot >> 3] >> (slot & 7) & 1)
+
+
+def bits(rows: DataFrame, key: str) -> Bits:
+    """A filter over the longs in column key of a saved table.
+
+    Its size follows the number of rows and has a bound (MOST_LOG2), so it can be broadcast at any size of the input; it only
     spares work, since what passes is still joined exactly.
     """
-    slot = F.shiftrightunsigned(F.col(key), 64 - log2)
-    found = rows.groupBy(F.shiftrightunsigned(slot, 15).alias("block")).agg(
-        F.expr(f"bitmap_construct_agg(bitmap_bit_position((shiftrightunsigned({key}, {64 - log2}) & 32767) + 1))").alias("bits"))
-    out = np.zeros(1 << log2, bool)
-    for row in found.collect():
-        one = np.unpackbits(np.frombuffer(bytes(row.bits), np.uint8), bitorder="little")
-        out[row.block << 15 : (row.block + 1) << 15] = one.view(bool)
+    out = Bits(filter_log2(rows.count()))
+    for row in slots(rows, key, out.log2).collect():
+        out.bytes[row["_block"] << 12 : (row["_block"] + 1) << 12] = np.frombuffer(bytes(row["_bits"]), np.uint8)
     return out
 
 
@@ -87,20 +98,21 @@ def record(df: DataFrame) -> Column:
     return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("record")
 
 
-def slots(rows: DataFrame, key: str, log2: int = 23) -> DataFrame:
-    """A filter over the longs in column key, as a small table: block, bits (4 KB each, 2**(log2 - 15) rows at most).
-
-    Like bits(), its size is fixed whatever the input, so it can be broadcast; what passes is still treated exactly.
-    """
+def slots(rows: DataFrame, key: str, log2: int) -> DataFrame:
+    """A filter over the longs in column key, as a small table: block, bits (4 KB each, 2**(log2 - 15) rows at most)."""
     slot = F.shiftrightunsigned(F.col(key), 64 - log2)
     return rows.groupBy(F.shiftrightunsigned(slot, 15).alias("_block")).agg(
         F.expr(f"bitmap_construct_agg(bitmap_bit_position((shiftrightunsigned({key}, {64 - log2}) & 32767) + 1))").alias("_bits"))
 
 
-def maybe_in(df: DataFrame, key: str, filter_rows: DataFrame, log2: int = 23) -> tuple[DataFrame, DataFrame]:
-    """The rows of df whose long in key may be in the filter made by slots(), and those where it surely isn't."""
+def maybe_in(df: DataFrame, key: str, keys: DataFrame, their_key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose long in key may be in column their_key of keys, and those where it surely isn't.
+
+    The filter is broadcast: its size follows the number of keys and has a bound. keys is read twice, so it should be a saved table.
+    """
+    log2 = filter_log2(keys.count())
     slot = F.shiftrightunsigned(F.col(key), 64 - log2)
-    joined = df.withColumn("_block", F.shiftrightunsigned(slot, 15)).join(F.broadcast(filter_rows), "_block", "left")
+    joined = df.withColumn("_block", F.shiftrightunsigned(slot, 15)).join(F.broadcast(slots(keys, their_key, log2)), "_block", "left")
     place = slot.bitwiseAND(32767)
     byte = F.conv(F.hex(F.expr(f"substring(_bits, int((shiftrightunsigned(`{key}`, {64 - log2}) & 32767) div 8) + 1, 1)")), 16, 10).cast("int")
     hit = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
