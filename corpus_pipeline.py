@@ -11,42 +11,60 @@ from pyspark.sql import functions as F
 
 from vistaloom.llm import classify, decontaminate, exact_dedup, ngram_join, packing
 from vistaloom.llm.queries import table
-from vistaloom.llm.util import intermediate, maybe_in, record, saved, slots
+from vistaloom.llm.util import intermediate, maybe_in, record, saved
 from vistaloom.shipping import ship
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs but those whose doc_id is in ids. Rows that miss a filter of the ids (of fixed size) don't move; the rest is joined."""
-    ids = saved(ids.select("doc_id", F.xxhash64("doc_id").alias("key")).distinct(), "dropped")
-    maybe, rest = maybe_in(docs.select(record(docs), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long")).alias("key")), "key", slots(ids, "key"))
-    return rest.select("record.*").unionByName(maybe.join(ids.select("doc_id"), "doc_id", "left_anti").select("record.*"))
+def _numbered(docs: DataFrame) -> DataFrame:
+    """record (all columns of docs) and row (a number of its own for each row); written once, so that numbers stay."""
+    return saved(docs.select(record(docs), F.monotonically_increasing_id().alias("row")), "numbered")
+
+
+def _texts(numbered: DataFrame) -> DataFrame:
+    """The rows for an operator, named by their numbers, so that null and repeated ids can't be mixed up."""
+    return numbered.select(F.col("row").alias("doc_id"), F.col("record.text").cast("string").alias("text"))
+
+
+def _without(numbered: DataFrame, rows: DataFrame) -> DataFrame:
+    """The records but those of `rows` (row). Rows that miss a filter of them (of bounded size) don't move; the rest is joined."""
+    rows = saved(rows.select("row", F.xxhash64("row").alias("key")), "dropped")
+    keyed = numbered.select("record", "row", F.xxhash64("row").alias("key"))
+    maybe, rest = maybe_in(keyed, "key", rows, "key")
+    return rest.select("record.*").unionByName(maybe.join(rows.select("row"), "row", "left_anti").select("record.*"))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below one half stay."""
+    """Documents scored below one half stay, all columns unchanged, whatever their ids; null and empty texts get the score of no features."""
     ship(spark)
     return classify.drop_toxic(docs, table(spark, sf_dir, "labels"), classify.remainder("doc_id", 5) != 0)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (A-Z lower-cased) the largest doc_id stays."""
+    """Of equal texts (A-Z lower-cased, null as empty) one row stays: the one with the largest doc_id (null is the smallest), any one of those that share it."""
     return exact_dedup.drop_duplicates(docs, largest=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that are linked by five-word shingles, the smallest doc_id stays."""
-    groups = ngram_join.near_duplicates(docs)
-    return _without(docs, groups.where("doc_id <> component_id"))
+    """Of each group of documents that are linked by five-word shingles one row stays: the one with the smallest doc_id (null is the largest; of
+    rows that share it, one). Rows are told apart by numbers, so a repeated id takes no other text along. Texts without words all stay."""
+    numbered = _numbered(docs)
+    groups = saved(ngram_join.near_duplicates(_texts(numbered)).select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")), "groups")
+    shared = groups.where("row <> component").select("component").distinct()
+    members = groups.join(shared, "component", "left_semi").join(numbered.select("row", F.col("record.doc_id").cast("long").alias("doc_id")), "row")
+    members = saved(members.select("row", "component", "doc_id"), "group-members")
+    keep = members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("keep"))
+    return _without(numbered, members.join(keep, "component").where("row <> keep.row"))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without ten consecutive words of a benchmark item stay."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where("contaminated"))
+    """Rows whose text holds ten consecutive words of a benchmark item go, whatever their ids; null and empty texts stay."""
+    numbered = _numbered(docs)
+    found = decontaminate.contamination(_texts(numbered), table(spark, sf_dir, "benchmark"))
+    return _without(numbered, found.where("contaminated").select(F.col("doc_id").alias("row")))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 2048 tokens."""
+    """Pieces of sequences of at most 2048 tokens; every row is packed, null and empty texts as their end token alone."""
     return packing.pack(docs)
 
 
