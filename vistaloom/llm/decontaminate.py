@@ -1,16 +1,17 @@
 """Benchmark decontamination by winnowing, in DataFrame operations only.
 
-Fingerprints are the smallest hash of k consecutive words in each sliding window of `span` - k + 1 such hashes, so two
-texts that share `span` words share a fingerprint at the same place of that span. Fingerprints of the benchmark are
-joined with those of the documents, and each hit (document place, item place) is extended along its diagonal, word by
-word; what counts in the end are exact runs of words.
+Of the hashes of k consecutive words, the smallest in each sliding window of `span` - k + 1 such hashes is kept (the rightmost
+of equal ones), so texts that share `span` words keep the same hash at the same place of that span: its fingerprint. Fingerprints of the
+benchmark are joined with those of the documents, and each hit is extended to the windows of `span` words that kept it,
+which are compared word by word. So what counts in the end are exact runs of words, and no shared span is missed.
 
 A Bloom filter of the benchmark's fingerprints (its size follows from their number and has a bound) is tested inside the
-scan, before winnowing and before any row is made, so that the join sees true hits and a few false ones. Documents
-with a hit carry their words on; all others leave the scan as a number. A passage that a third of all documents
-hold makes one row of candidates for each of these documents, whatever their number.
+scan, before winnowing and before any row is made. A document makes one row for each of its windows whose fingerprint
+passes, at most one a word, and a window meets each different text of the benchmark once, however often either side repeats
+it: a text of one word repeated 20,000 times costs 20,000 rows. A passage that a third of all documents hold makes
+rows of these documents only. Items that hold the same window are told by a number of that set of items, listed once a document.
 
-Items of fewer words than `span` are one window each: their whole sequence is looked up among all runs of that length.
+Items of fewer words than `span` are one window each, whose fingerprint is the hash of all its words.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BITS_EACH, MOST_LOG2 = 64, 24
 #: Probes of the filter for each hash: three cuts of its 64 bits.
 PROBES = 3
-#: A table of fingerprints up to so many rows (about 40 bytes each) is broadcast; a larger one is joined by a shuffle.
+#: A table of windows up to so many rows (about 150 bytes each) is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 1 << 18
+WINDOW = ["length", "offset", "fingerprint", "window"]
 
 
 def _words(text: str) -> Column:
@@ -45,14 +47,21 @@ def _grams(hashes: Column, n: Column, k: int) -> Column:
     return F.transform(_range(F.lit(0), n - k), lambda i: F.xxhash64(*(F.get(hashes, i + t) for t in range(k))))
 
 
-def _is_least(grams: Column, n: Column, k: int, span: int):
-    """Of a place of a gram: whether it is the smallest of some window."""
+def _kept(grams: Column, s: Column, k: int, span: int) -> Column:
+    """The place of the gram that the window of `span` words at s keeps: its smallest, the rightmost of equal ones."""
     w = span - k + 1
+    part = F.slice(grams, s + 1, w)
+    return (s + w - F.array_position(F.reverse(part), F.array_min(part))).cast("int")
 
-    def test(i: Column) -> Column:
-        return F.exists(_range(F.greatest(F.lit(0), i - (w - 1)), F.least(i, n - span)), lambda j: F.array_min(F.slice(grams, j + 1, w)) == F.get(grams, i))
 
-    return test
+def _window(s: Column, place: Column, length, fingerprint: Column) -> Column:
+    """A window of words: where it starts, its fingerprint and where in it that is, and its text (words hold no spaces)."""
+    text = F.array_join(F.slice("words", s + 1, length), " ")
+    return F.struct(s.alias("start"), F.lit(length).cast("int").alias("length"), (place - s).cast("int").alias("offset"), fingerprint.alias("fingerprint"), text.alias("window"))
+
+
+def _whole(hashes: Column) -> Column:
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, x: F.xxhash64(a, x))
 
 
 def _numbered(table: DataFrame, key: str) -> DataFrame:
@@ -61,15 +70,18 @@ def _numbered(table: DataFrame, key: str) -> DataFrame:
     return words.withColumn("n", F.size("words")).withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
 
 
-def fingerprints(items: DataFrame, k: int, span: int) -> DataFrame:
-    """item (a row number), q (place in the item), length (words of the gram), fingerprint."""
+def windows(items: DataFrame, k: int, span: int) -> DataFrame:
+    """item_id, start, length, offset, fingerprint, window: all windows of numbered items."""
     long = items.where(F.col("n") >= span).withColumn("g", _grams(F.col("h"), F.col("n"), k))
-    least = _is_least(F.col("g"), F.col("n"), k, span)
-    long = long.select(F.col("row").alias("item"), F.explode(F.filter(_range(F.lit(0), F.col("n") - k), least)).alias("q"), "g")
-    long = long.select("item", "q", F.lit(k).alias("length"), F.get("g", F.col("q")).alias("fingerprint"))
+
+    def one(s: Column) -> Column:
+        place = _kept(F.col("g"), s, k, span)
+        return _window(s, place, span, F.get("g", place))
+
+    long = long.select("item_id", F.explode(F.transform(_range(F.lit(0), F.col("n") - span), one)).alias("w"))
     short = items.where((F.col("n") < span) & (F.col("n") > 0))
-    hashed = F.aggregate("h", F.lit(0).cast("long"), lambda a, x: F.xxhash64(a, x))
-    return long.unionByName(short.select(F.col("row").alias("item"), F.lit(0).alias("q"), F.col("n").alias("length"), hashed.alias("fingerprint")))
+    short = short.select("item_id", F.struct(F.lit(0).alias("start"), F.col("n").alias("length"), F.lit(0).alias("offset"), _whole(F.col("h")).alias("fingerprint"), F.array_join("words", " ").alias("window")).alias("w"))
+    return long.unionByName(short).select("item_id", "w.*")
 
 
 def _slots(h: Column, log2: int) -> list[Column]:
@@ -103,49 +115,51 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int
     Words are lower-cased (A-Z) runs of ASCII letters, digits and all characters beyond ASCII. A window is `span` consecutive words
     of an item (item_id, text), or a shorter item whole; n_hit counts the words of the document inside occurrences of
     windows, n_items the item_ids with one. Null and empty texts have no words, on either side. Items without an id
-    count for hits but are not listed. Repeated rows are each their own; an empty benchmark hits nothing.
+    count for hits but are not listed. Repeated rows are each their own; an empty benchmark hits nothing. Texts of any length
+    are scanned whole; what they add is at most a row for each of their words.
     """
     items = saved(_numbered(benchmark, "item_id"), "items")
-    prints = saved(fingerprints(items, k, span), "item-fingerprints")
-    count = prints.count()
-    short = [r.n for r in items.where((F.col("n") < span) & (F.col("n") > 0)).select("n").distinct().collect()]  # below span: a bounded list
+    told = saved(windows(items, k, span).select(F.col("item_id").cast("string").alias("item_id"), *WINDOW).distinct(), "item-windows")
+    # Different windows, each with a number of the set of items that hold it; and the items of each set, from one of its windows.
+    named = F.col("item_id").isNotNull()
+    xor = [F.coalesce(F.bit_xor(F.when(named, F.xxhash64(F.lit(seed), "item_id"))), F.lit(0).cast("long")).alias(f"x{seed}") for seed in (1, 2)]
+    known = saved(told.groupBy(*WINDOW).agg(F.struct(F.count("item_id").alias("items"), *xor).alias("held")), "windows")
+    shown = known.groupBy("held").agg(F.min(F.struct(*WINDOW)).alias("w")).select("held", "w.*")
+    holders = told.where(named).join(shown, WINDOW).select("held", "item_id")
+    prints = known.select("fingerprint").distinct()
+    count = known.count()
+    short = [r.length for r in known.where(F.col("length") < span).select("length").distinct().collect()]  # below span: a bounded list
     log2 = min(MOST_LOG2, max(16, math.ceil(math.log2(BITS_EACH * max(count, 1)))))
     bits = _constant(_filter(prints, log2).first().bits)
 
     scan = _numbered(docs, "doc_id").withColumn("g", _grams(F.col("h"), F.col("n"), k))
-    least = _is_least(F.col("g"), F.col("n"), k, span)
-    found = F.transform(
-        F.filter(_range(F.lit(0), F.col("n") - k), lambda i: _passes(bits, F.get("g", i), log2) & least(i)),
-        lambda i: F.struct(i.alias("p"), F.lit(k).alias("length"), F.get("g", i).alias("fingerprint")))
+    n = F.col("n")
+
+    def extended(p: Column) -> Column:
+        starts = F.filter(_range(F.greatest(F.lit(0), p - (span - k)), F.least(p, n - span)), lambda s: _kept(F.col("g"), s, k, span) == p)
+        return F.transform(starts, lambda s: _window(s, p, span, F.get("g", p)))
+
+    found = F.flatten(F.transform(F.filter(_range(F.lit(0), n - k), lambda i: _passes(bits, F.get("g", i), log2)), extended))
     for length in short:
         def gram(i: Column, length: int = length) -> Column:
-            return F.aggregate(F.slice("h", i + 1, length), F.lit(0).cast("long"), lambda a, x: F.xxhash64(a, x))
+            return _whole(F.slice("h", i + 1, length))
 
         found = F.concat(found, F.transform(
-            F.filter(_range(F.lit(0), F.col("n") - length), lambda i: _passes(bits, gram(i), log2)),
-            lambda i: F.struct(i.alias("p"), F.lit(length).alias("length"), gram(i).alias("fingerprint"))))
-    scanned = scan.withColumn("found", found).select("row", "doc_id", F.col("n").cast("long").alias("n_words"), "found", F.when(F.size("found") > 0, F.col("words")).alias("words"))
-    scanned = saved(scanned, "scanned")
+            F.filter(_range(F.lit(0), n - length), lambda i: _passes(bits, gram(i), log2)), lambda i: _window(i, i, length, gram(i))))
+    scanned = saved(scan.select("row", "doc_id", n.cast("long").alias("n_words"), found.alias("found")), "scanned")
 
     probes = scanned.where(F.size("found") > 0).select("row", F.explode("found").alias("f")).select("row", "f.*")
-    hits = probes.join(F.broadcast(prints) if count <= BROADCAST_ROWS else prints, ["length", "fingerprint"])
-    diagonals = hits.select("row", "item", (F.col("p") - F.col("q")).alias("shift")).distinct()
-    shape = items.select(F.col("row").alias("item"), "item_id", F.col("words").alias("item_words"), F.col("n").alias("m"))
-    lined = diagonals.join(scanned.select("row", "words"), "row").join(shape, "item")
-    need = F.least(F.col("m"), F.lit(span))
-    same = F.transform(_range(F.lit(0), F.col("m") - 1), lambda q: F.coalesce(F.get("words", q + F.col("shift")) == F.get("item_words", q), F.lit(False)) & (q + F.col("shift") >= 0))
-    starts = F.filter(_range(F.lit(0), F.col("m") - need), lambda s: F.forall(_range(s, s + need - 1), lambda q: F.get("same", q)))
-    words_hit = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s + F.col("shift"), s + F.col("shift") + need - 1))))
-    lined = lined.withColumn("same", same).withColumn("starts", starts).where(F.size("starts") > 0)
-    marked = lined.select("row", "item_id", words_hit.alias("hit"))
-    per_doc = marked.groupBy("row").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("hit")))).cast("long").alias("n_hit"),
-        F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    out = scanned.select("row", "doc_id", "n_words").join(per_doc, "row", "left")
-    listed = F.coalesce("items", F.array().cast("array<string>"))
+    hits = saved(probes.join(F.broadcast(known) if count <= BROADCAST_ROWS else known, WINDOW).select("row", "start", "length", "held"), "hits")
+    covered = F.aggregate(
+        F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end")))), F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("words")),
+        lambda a, x: F.struct(F.greatest(a["end"], x["end"]).alias("end"), (a["words"] + F.greatest(F.lit(0), x["end"] - F.greatest(a["end"], x["start"]))).alias("words")))
+    marked = hits.groupBy("row").agg(covered["words"].alias("n_hit"))
+    listed = hits.select("row", "held").distinct().join(holders, "held").groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    out = scanned.select("row", "doc_id", "n_words").join(marked, "row", "left").join(listed, "row", "left")
+    ids = F.coalesce("items", F.array().cast("array<string>"))
     hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"),
-                      F.sha2(F.array_join(listed, ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+    return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
+                      F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
 _LOWER = f"translate(coalesce(text, ''), '{UPPER_AZ}', '{LOWER_AZ}')"
