@@ -162,6 +162,15 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contamination(docs, bench.where("false")).where("contaminated").count() == 0
 
 
+def test_decontamination_of_repetitive_texts(spark):
+    """Texts of one or two words repeated thousands of times meet items like them in rows that grow with the text, not with its square."""
+    texts = {1: "la " * 20000, 2: "la di " * 3000 + "la la", 3: "la " * 9, 4: "x " * 50 + "la " * 12}
+    items = [(1, "la " * 60), (2, "di la " * 40), (3, "la " * 60)]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {1: (20000, 20000, 2), 2: (6002, 6001, 1), 3: (9, 0, 0), 4: (62, 12, 2)}
+
+
 @pytest.mark.parametrize("span", [35, 6])
 def test_substring_dedup(docs, empty, span):
     seen, texts = Counter(), [(d, re.findall(SPACE, t or "")) for d, t in table()]
@@ -344,3 +353,82 @@ def test_pipeline_tells_rows_apart(spark, sf_dir):
     empty = docs.limit(0)
     for _, stage in pipeline.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
+
+
+SCRIPTS = ["Straße im Wald", "日本語の文章", "привет, мир!", "naïve café 24h", "a", "", None, "  ..  ", "x1y 99 bottles", "𝒳𝒴 emoji 😀😀 end", "ÀÉ İstanbul"]
+
+
+@pytest.mark.parametrize("grams", [classify.LANGUAGE_GRAMS, classify.TOXIC_GRAMS])
+def test_grams_are_characters(grams):
+    """Against plain slicing of strings in several scripts, from the middle of an array too."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    counts = "[^0-9a-z\x80-\U0010ffff]+" if grams.digits else "[^a-z\x80-\U0010ffff]+"
+    found = grams(pa.array(["before", *SCRIPTS]).slice(1))
+    for i, text in enumerate(SCRIPTS):
+        clean = re.sub(counts, " ", f" {pc.utf8_lower(pa.scalar(text or '')).as_py()} ")
+        clean = f" {clean.strip()} " if clean.strip() else " "
+        for order, (slots, first) in zip(grams.orders, found):
+            want = [clean[a : a + order] for a in range(len(clean) - order + 1)]
+            want = [g for g in want if g != " " and not (grams.inside and " " in g[1:-1])]
+            assert Counter(slots[first[i] : first[i + 1]].tolist()) == Counter(grams.slot(g) for g in want), (text, order)
+
+
+def test_follow_regularised_leader():
+    """Against the published per-coordinate steps, one number at a time; then tf-idf and temperature against their definitions."""
+    rng = np.random.default_rng(3)
+    rows = [(int(rng.integers(3)), np.unique(rng.integers(0, 12, 5)), None) for _ in range(40)]
+    rows = [(c, s, rng.random(len(s)) * 3) for c, s, _ in rows]
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.05, 0.01
+    z, n = [[0.0] * 3 for _ in range(12)], [[0.0] * 3 for _ in range(12)]
+
+    def weight(j, c):
+        return 0.0 if abs(z[j][c]) <= l1 else -(z[j][c] - (1 if z[j][c] > 0 else -1) * l1) / ((beta + n[j][c] ** 0.5) / alpha + l2)
+
+    for _ in range(2):
+        for label, slots, x in rows:
+            w = {(j, c): weight(j, c) for j in slots for c in range(3)}
+            e = np.exp([sum(v * w[j, c] for j, v in zip(slots, x)) for c in range(3)])
+            for j, v in zip(slots, x):
+                for c in range(3):
+                    g = v * (e[c] / e.sum() - (c == label))
+                    z[j][c] += g - ((n[j][c] + g * g) ** 0.5 - n[j][c] ** 0.5) / alpha * w[j, c]
+                    n[j][c] += g * g
+    got = classify.follow_regularised_leader(rows, 3, 12, 2, alpha, beta, l1, l2)
+    assert np.allclose(got, [[weight(j, c) for c in range(3)] for j in range(12)])
+    assert np.allclose(classify._tfidf(np.array([1.0, 3.0]), np.array([2.0, 0.5])), [5.0, 3.75])
+    scores = rng.normal(size=(200, 3)) * 4
+    labels = (scores + rng.gumbel(size=(200, 3)) * 2).argmax(axis=1)
+    t, loss = classify.temperature(scores, labels), lambda t: -np.log([np.exp(r[c] / t) / np.exp(r / t).sum() for r, c in zip(scores, labels)]).mean()
+    assert loss(t) <= min(loss(t * 1.05), loss(t / 1.05), loss(1.0)) and classify.temperature(scores[:0], labels[:0]) == 1.0
+
+
+def test_ratios_and_fit():
+    """Ratios: 0 where the classes agree, in order of the evidence. Fit: no direction lowers the penalised loss it is defined by."""
+    texts, counts = np.array([900, 100]), np.array([[0, 0, 0, 450, 90, 9], [0, 1, 50, 50, 0, 40]])
+    r = classify.log_count_ratios(texts, counts)
+    assert abs(r[0]) < 1e-9 and abs(r[3]) < 0.01 and 0 < r[1] < 0.3 < r[2] and r[4] < 0 < r[5] < r[2]
+    rng = np.random.default_rng(5)
+    own = [np.unique(rng.integers(0, 30, 6)).astype(np.int32) for _ in range(60)]
+    label = [int((s < 4).any()) for s in own]
+    ratio, share = rng.normal(size=1 << 20), sum(label) / 60
+    w, b = classify.fit([(c, classify.Occurrences(*classify.Occurrences.packed(s))) for c, s in zip(label, own)], ratio, share, passes=300)
+
+    def objective(w, b):
+        z = np.array([(ratio[s] * w[s]).sum() + b for s in own]) * (2 * np.array(label) - 1)
+        return ((w**2).sum() + b * b) / 2 + (np.where(label, classify.MISSED, 1.0) * np.log1p(np.exp(-z))).sum()
+
+    best = objective(w, b)
+    for _ in range(50):
+        d = np.zeros(1 << 20)
+        d[:30] = rng.normal(size=30) * 0.01
+        assert objective(w + d, b) > best - 1e-6 and objective(w, b + d[0]) > best - 1e-6
+
+
+def test_sample_is_bounded_by_bytes(spark):
+    rows = spark.createDataFrame([(i, "x" * (i + 1), i % 2) for i in range(60)], "doc_id long, text string, grp int")
+    got = classify.bounded_sample(rows, "grp", 10, 1).collect()
+    assert Counter(r.grp for r in got) == {0: 10, 1: 10}
+    less = classify.bounded_sample(rows, "grp", 10, 1, most_bytes=100).collect()
+    assert all(sum(len(r.text) for r in less if r.grp == g) <= 100 for g in (0, 1)) and {r.doc_id for r in less} < {r.doc_id for r in got}

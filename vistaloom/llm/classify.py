@@ -7,6 +7,7 @@ labelled rows, drawn by a hash of the row; scoring is a pass over all texts with
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable, Iterator
 
@@ -21,6 +22,7 @@ from vistaloom.llm.util import maybe_in, mix, record, saved, slices
 
 _U = np.uint64
 BLOCK = 4096
+_GRAM_BASE = 0xD6E8FEB86659FD93
 
 
 def remainder(doc_id: str, by: int) -> Column:
@@ -29,14 +31,21 @@ def remainder(doc_id: str, by: int) -> Column:
 
 
 class Grams:
-    """Slots of the n-grams of a batch of texts, by byte windows over lower-cased UTF-8 with each run of other bytes as one space.
+    """Slots of the character n-grams of a batch of texts: windows of code points over lower-cased text with each run of other characters as one space.
 
-    Letters are ASCII letters and all bytes beyond ASCII. With `inside` set, n-grams don't cross from one word into the next (a
-    space may begin or end one).
+    Characters that count are ASCII letters, all beyond ASCII and, with `digits`, 0-9. With `inside` set, n-grams don't cross from one word into
+    the next (a space may begin or end one).
     """
 
-    def __init__(self, orders: tuple[int, ...], log2: int, inside: bool = False):
-        self.orders, self.log2, self.inside = orders, log2, inside
+    def __init__(self, orders: tuple[int, ...], log2: int, inside: bool = False, digits: bool = False):
+        self.orders, self.log2, self.inside, self.digits = orders, log2, inside, digits
+
+    def slot(self, gram: str) -> int:
+        """The slot of one n-gram."""
+        packed = 0
+        for c in gram:
+            packed = (packed * _GRAM_BASE + ord(c)) % (1 << 64)
+        return int(mix(np.array([packed], _U), len(gram))[0] >> _U(64 - self.log2))
 
     def __call__(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each order (slots, first): slots[first[i]:first[i + 1]] are text i's."""
@@ -45,13 +54,16 @@ class Grams:
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int64)
         raw = texts.buffers()[2]
         data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
-        # Each text gets a space of its own in front and behind; of a run of other bytes the first stays, as a space.
-        bounds = offsets - offsets[0] + 2 * np.arange(n + 1)
-        padded = np.full(len(data) + 2 * n, 0x20, np.uint8)
+        points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), "<u4")
+        # Each text gets a space of its own in front and behind; of a run of other characters the first stays, as a space.
+        bounds = np.r_[0, np.cumsum((data & 0xC0) != 0x80)][offsets - offsets[0]] + 2 * np.arange(n + 1)
+        padded = np.full(len(points) + 2 * n, 0x20, np.uint32)
         hole = np.ones(len(padded), bool)
         hole[bounds[:-1]] = hole[bounds[1:] - 1] = False
-        padded[hole] = data
+        padded[hole] = points
         letter = (padded >= 0x80) | ((padded >= 0x61) & (padded <= 0x7A))
+        if self.digits:
+            letter |= (padded >= 0x30) & (padded <= 0x39)
         keep = letter.copy()
         keep[1:] |= letter[:-1]
         keep[bounds[:-1]] = True
@@ -61,7 +73,9 @@ class Grams:
         total, space, value = len(clean), clean == 0x20, clean.astype(_U)
         packed, out = np.zeros(total, _U), []
         for k in range(1, max(self.orders) + 1):
-            packed[: max(total - k + 1, 0)] |= value[k - 1 :] << _U(8 * (k - 1))
+            own = packed[: max(total - k + 1, 0)]
+            own *= _U(_GRAM_BASE)
+            own += value[k - 1 :]
             if k in self.orders:
                 at = np.arange(k, total + k) <= last
                 at &= ~space if k == 1 else True
@@ -132,10 +146,15 @@ def document_counts(rows: DataFrame, grams: Grams, groups: int) -> tuple[np.ndar
     return texts, counts
 
 
-def bounded_sample(rows: DataFrame, group: str, per_group: int, seed: int) -> DataFrame:
-    """At most per_group rows of each group, those with the smallest seeded hash of doc_id and text.
+#: Bytes of text in a sample's group at most.
+SAMPLE_BYTES = 32 << 20
+
 
-    A first cut by the hash leaves about twice as many rows, so no window holds more than that of a group.
+def bounded_sample(rows: DataFrame, group: str, per_group: int, seed: int, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """At most per_group rows and most_bytes of text of each group, those with the smallest seeded hash of doc_id and text.
+
+    A first cut by the hash leaves about twice as many rows, so no window holds more than that of a group. Rows that tie in the hash
+    go by doc_id, then length; equal ones are interchangeable.
     """
     keyed = rows.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "text"))
     sizes = {r[group]: r["n"] for r in rows.groupBy(group).agg(F.count("*").alias("n")).collect()}
@@ -144,8 +163,10 @@ def bounded_sample(rows: DataFrame, group: str, per_group: int, seed: int) -> Da
         share = min(1.0, (2 * per_group + 200) / n)
         limit = int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1
         cut = cut | ((F.col(group) == F.lit(value)) & (F.col("_h") <= F.lit(limit)))
-    ranked = keyed.where(cut).withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy("_h", "doc_id")))
-    return ranked.where(F.col("_n") <= per_group).drop("_n", "_h")
+    size = F.octet_length("text")
+    ahead = Window.partitionBy(group).orderBy("_h", "doc_id", size).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = keyed.where(cut).withColumn("_n", F.count("*").over(ahead)).withColumn("_b", F.sum(size).over(ahead))
+    return ranked.where((F.col("_n") <= per_group) & (F.col("_b") <= most_bytes)).drop("_n", "_b", "_h")
 
 
 def _features(grams: Grams):
@@ -270,7 +291,7 @@ def identify(docs: DataFrame, learnable: Column, held_out: Column, per_language:
     """doc_id, held_out, lang_pred, score of each row of docs (doc_id, text, lang; further columns are left out).
 
     A model is trained on the rows where `learnable` holds and text and lang are not null; document frequencies count all of these, the
-    regression at most per_language of each language. Null texts and texts without a letter are `und` with score 0, and so is
+    regression at most per_language of each language (and SAMPLE_BYTES). Of equally likely languages the first by name is predicted. Texts of any length are scored whole. Null texts and texts without a letter are `und` with score 0, and so is
     everything if there is nothing to learn from. Repeated rows count as often as they stand; an empty table gives an empty result.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), learnable.alias("_learn"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
@@ -281,16 +302,24 @@ def identify(docs: DataFrame, learnable: Column, held_out: Column, per_language:
 
 # ---- toxicity ------------------------------------------------------------------------------------------------
 
-TOXIC_GRAMS = Grams((4, 5, 6), 20, inside=True)
+TOXIC_GRAMS = Grams((4, 5, 6), 20, inside=True, digits=True)
 #: Labelled rows of each class that the classifier is fitted on at most; the log-count ratios count all of them.
-PER_CLASS, PASSES = 4000, 20
-RATE, PENALTY, SMOOTHING = 0.1, 0.00001, 0.5
+PER_CLASS, PASSES = 4000, 6
+#: Counts added to a slot's, shared out as the classes are; standard errors at which a ratio is halved; cost of a row's loss, and of one of class 1 beside it.
+SMOOTHING, HALVED, COST, MISSED = 1.0, 3.5, 1.0, 2.0
 
 
 def log_count_ratios(texts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Of each slot: log of how much more frequent it is, smoothed, in texts of class 1 than of class 0."""
-    p, q = ((counts[c] + SMOOTHING) / (texts[c] + 2 * SMOOTHING) for c in (1, 0))
-    return np.log(p / q)
+    """Of each slot: log of how much more frequent it is, smoothed, in texts of class 1 than of class 0.
+
+    A ratio is drawn towards 0 as its standard error e demands, by r**4 / (r**4 + (HALVED e)**4): most slots of a text are rare and say little, and thousands
+    of them would drown the few that do. No slot is left out.
+    """
+    more = 2 * SMOOTHING * texts / texts.sum()
+    p, q = ((counts[c] + more[c]) / (texts[c] + 2 * more[c]) for c in (1, 0))
+    ratio = np.log(p / q)
+    squared = sum(1 / (counts[c] + more[c]) - 1 / (texts[c] + 2 * more[c]) for c in (1, 0))
+    return ratio**5 / (ratio**4 + (HALVED**2 * squared) ** 2)
 
 
 class Occurrences:
@@ -325,7 +354,7 @@ def occurrences(sample: DataFrame) -> list[tuple[int, Occurrences]]:
 def train_toxicity(labelled: DataFrame, per_class: int = PER_CLASS) -> tuple[np.ndarray, float]:
     """labelled (doc_id, text, toxic 0/1) -> weight of each slot (its log-count ratio included), intercept.
 
-    Logistic regression on whether a slot occurs, scaled by its ratio, by AdaGrad steps.
+    Logistic regression with a quadratic penalty on whether a slot occurs, scaled by its ratio.
     """
     rows = labelled.select("doc_id", "text", F.col("toxic").cast("int").alias("grp"))
     texts, counts = document_counts(rows, TOXIC_GRAMS, 2)
@@ -337,22 +366,31 @@ def train_toxicity(labelled: DataFrame, per_class: int = PER_CLASS) -> tuple[np.
     return (w * ratio).astype(np.float32), b
 
 
-def fit(sample: list[tuple[int, Occurrences]], ratio: np.ndarray, share: float, passes: int = PASSES, rate: float = RATE, penalty: float = PENALTY) -> tuple[np.ndarray, float]:
-    """Weights of the scaled features, and intercept. Rows are weighted so that class 1 has the share it has in all rows."""
+def fit(sample: list[tuple[int, Occurrences]], ratio: np.ndarray, share: float, passes: int = PASSES, cost: float = COST, missed: float = MISSED) -> tuple[np.ndarray, float]:
+    """Weights of the scaled features, and intercept: the least of (w.w + b b) / 2 + the sum of each row's cost times its logistic loss.
+
+    Rows are weighted so that class 1 has the share it has in all rows, and then `missed` times that. Solved by dual coordinate ascent: a row's multiplier, between 0
+    and its cost, is set by bisection with all others held, and w and b follow; no step size is needed.
+    """
     ones = sum(g for g, _ in sample)
-    weight = {1: share * len(sample) / max(1, ones), 0: (1 - share) * len(sample) / max(1, len(sample) - ones)}
-    w, b = np.zeros(len(ratio)), 0.0
-    squares, bsquare = np.full(len(ratio), 1e-8), 1e-8
+    costs = {1: cost * missed * share * len(sample) / max(1, ones), 0: cost * (1 - share) * len(sample) / max(1, len(sample) - ones)}
+    w, b, multipliers = np.zeros(len(ratio)), 0.0, np.zeros(len(sample))
+    squares = [float((ratio[own.slots()] ** 2).sum()) + 1 for _, own in sample]
+    order = np.random.default_rng(1)
     for _ in range(passes):
-        for label, own in sample:
-            slots = own.slots()
+        for i in order.permutation(len(sample)):
+            label, own = sample[i]
+            slots, sign, most = own.slots(), 2 * label - 1, costs[label]
             x = ratio[slots]
-            error = (1 / (1 + np.exp(-np.clip((x * w[slots]).sum() + b, -30, 30))) - label) * weight[label]
-            g = error * x + penalty * w[slots]
-            squares[slots] += g * g
-            w[slots] -= rate * g / np.sqrt(squares[slots])
-            bsquare += error * error
-            b -= 3 * rate * error / np.sqrt(bsquare)
+            margin, low, high = sign * (float(x @ w[slots]) + b), 0.0, most
+            for _ in range(30):
+                middle = (low + high) / 2
+                loss = most / (1 + math.exp(min(50.0, max(-50.0, margin + (middle - multipliers[i]) * squares[i]))))
+                low, high = (middle, high) if loss > middle else (low, middle)
+            step = sign * (low - multipliers[i])
+            multipliers[i] = low
+            w[slots] += step * x
+            b += step
     return w, float(b)
 
 
@@ -405,7 +443,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, learnable: Column, held_out: Co
 
     A model is trained on the rows where `learnable` holds and that labels (doc_id, toxic 0/1) covers; other values of toxic, nulls
     and null texts teach nothing. Null and empty texts get the score of no features. With labels of one class only, or none,
-    there are no features. Rows repeated in docs or labels count as often as they stand; an empty table gives an
+    there are no features. Texts of any length are scored whole. Rows repeated in docs or labels count as often as they stand; an empty table gives an
     empty result.
     """
     shared = _model(docs.where(learnable).select(*_texts(docs)), labels, per_class)
