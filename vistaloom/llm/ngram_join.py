@@ -41,7 +41,7 @@ BLOCK = 4096
 HOT = 512
 #: Linear rounds ahead of the exact enumeration, which finds whatever they leave; and the width of a band of sizes.
 ROUNDS, BAND = 2, 1.04
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -88,7 +88,7 @@ def _needed_in_band(n: str, band: str, percent: int) -> str:
 def _statistics(k: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_LOG2, np.int64)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=2 << 20):
             n, sig, seen = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), []
             for row, grams in _sets(batch, k):
                 n[row], sig[row] = len(grams), _signature(grams)
@@ -152,7 +152,7 @@ def _postings(k: int, percent: int, buckets: int, sketch, hot_at: int):
             columns = [x[order] for x in (tokens, sig, n, place, hot)]
             return pa.record_batch([pa.array(bucket[cuts[:-1]]), *(pa.array([x[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()) for x in columns)], ["bucket", "token", "sig", "n", "place", "hot"])
 
-        for batch in slices(batches):
+        for batch in slices(batches, limit=2 << 20):
             for _, grams in _sets(batch, k):
                 sig = _signature(grams)
                 if sig in seen:
@@ -216,7 +216,7 @@ def _chosen_sets(k: int, percent: int, wanted, sketch):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen, counts, seen = wanted.value, sketch.value, set()
         types = (pa.int64(), pa.int32(), pa.binary(), *[pa.list_(pa.int32())] * 3, pa.int32())
-        for batch in slices(batches):
+        for batch in slices(batches, limit=2 << 20):
             out: list[tuple] = []
             for _, grams in _sets(batch, k):
                 sig = _signature(grams)
@@ -335,7 +335,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, hot: int = H
     sketch = sketch_of(stats)
     counted = stats.where("block is null")
     entries = counted.agg(F.sum("n")).first()[0] or 0
-    buckets = buckets_for(entries * (100 - percent + 100 // SHARED) // 100, 1 << 20)
+    buckets = buckets_for(entries * (100 - percent + 100 // SHARED) // 100, 1 << 19)
     shared = spark.sparkContext.broadcast(sketch)
     hot_at = int(sketch.mean()) + (max(hot, int(8 * math.sqrt(sketch.mean()))) if hot > 0 else hot)
     postings = texts.mapInArrow(_postings(k, percent, buckets, shared, hot_at), "bucket int, token binary, sig binary, n binary, place binary, hot binary")
