@@ -304,7 +304,7 @@ def identify(docs: DataFrame, learnable: Column, held_out: Column, per_language:
 
 TOXIC_GRAMS = Grams((4, 5, 6), 20, inside=True, digits=True)
 #: Labelled rows of each class that the classifier is fitted on at most; the log-count ratios count all of them.
-PER_CLASS, PASSES = 4000, 6
+PER_CLASS, PASSES = 2500, 6
 #: Counts added to a slot's, shared out as the classes are; standard errors at which a ratio is halved; cost of a row's loss, and of one of class 1 beside it.
 SMOOTHING, HALVED, COST, MISSED = 1.0, 3.5, 1.0, 2.0
 
@@ -315,6 +315,10 @@ def log_count_ratios(texts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     A ratio is drawn towards 0 as its standard error e demands, by r**4 / (r**4 + (HALVED e)**4): most slots of a text are rare and say little, and thousands
     of them would drown the few that do. No slot is left out.
     """
+    return np.concatenate([_ratios(texts, part) for part in np.array_split(counts, max(1, counts.shape[1] // (1 << 16)), axis=1)])
+
+
+def _ratios(texts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     more = 2 * SMOOTHING * texts / texts.sum()
     p, q = ((counts[c] + more[c]) / (texts[c] + 2 * more[c]) for c in (1, 0))
     ratio = np.log(p / q)
@@ -346,9 +350,10 @@ def _occurrences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def occurrences(sample: DataFrame) -> list[tuple[int, Occurrences]]:
     """(group, all slots) of the rows of a bounded sample, in the order of a hash."""
-    rows = sample.select("grp", F.xxhash64(F.lit(5), "doc_id", "text").alias("h"), "text").mapInArrow(_occurrences, "grp int, h long, low binary, parts binary").collect()
-    rows.sort(key=lambda r: (r.h, r.grp))
-    return [(r.grp, Occurrences(r.low, r.parts)) for r in rows]
+    rows = sample.coalesce(4).select("grp", F.xxhash64(F.lit(5), "doc_id", "text").alias("h"), "text").mapInArrow(_occurrences, "grp int, h long, low binary, parts binary")
+    found = [(r.h, r.grp, Occurrences(bytes(r.low), bytes(r.parts))) for r in rows.toLocalIterator()]  # a partition at a time
+    found.sort(key=lambda x: x[:2])
+    return [x[1:] for x in found]
 
 
 def train_toxicity(labelled: DataFrame, per_class: int = PER_CLASS) -> tuple[np.ndarray, float]:
@@ -362,6 +367,7 @@ def train_toxicity(labelled: DataFrame, per_class: int = PER_CLASS) -> tuple[np.
     if not texts.all():
         return np.zeros(size, np.float32), 4.0 if texts[1] else -4.0
     ratio = log_count_ratios(texts, counts)
+    del counts  # the driver holds the sample next
     w, b = fit(occurrences(bounded_sample(rows, "grp", per_class, 4)), ratio, float(texts[1] / texts.sum()))
     return (w * ratio).astype(np.float32), b
 
