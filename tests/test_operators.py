@@ -98,7 +98,7 @@ def test_wrap_leaves_an_empty_first_line(spark):
 
 def test_remap_and_names(spark):
     assert [one(spark, X.remap(F.lit(x), {"a": 7})) for x in ("a", "3.0", "-1", "zz")] == [7, 3, -1, None]
-    assert [one(spark, X.episode_number(F.lit(x))) for x in ("result_ep3", "s2ep10", "episode_4", "none")] == [3, 10, 4, None]
+    assert [one(spark, X.episode_number(F.lit(x))) for x in ("result_ep3", "s2EP10", "episode_4", "episode7", "ep_6", "none", "E5", "run7")] == [3, 10, 4, 7, 6, None, None, None]
     assert one(spark, X.report_number(F.lit("Total samples: 1,234\n"), "Total samples")) == 1234
 
 

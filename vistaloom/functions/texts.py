@@ -60,9 +60,9 @@ def remap(label: Column, table: dict[str, int]) -> Column:
 
 
 def episode_number(name: Column) -> Column:
-    """From names such as result_ep3, s2ep10, episode_4 or E5."""
-    tried = (r"(?i)ep[_ ]?(\d+)", r"(?i)episode[_ ]?(\d+)", r"(?i)e(\d+)", r"(\d+)$")
-    return F.coalesce(*(F.nullif(F.regexp_extract(name, p, 1), F.lit("")).cast("int") for p in tried))
+    """From names such as result_ep3, s2EP10, episode4 or episode_4, in that order; null for others, such as E5."""
+    tried = (r"ep(\d+)", r"episode(\d+)", r"ep_(\d+)", r"episode_(\d+)")
+    return F.coalesce(*(F.nullif(F.regexp_extract(F.lower(name), p, 1), F.lit("")).cast("int") for p in tried))
 
 
 def report_number(report: Column, label: str) -> Column:

@@ -6,33 +6,46 @@ import math
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vistaloom.functions.vectors import dot
-from vistaloom.operators.vectors import inter_cluster_similarity, intra_cluster_consistency
+from vistaloom.operators.vectors import inter_cluster_similarity
 
 
-def merge_safety(members: DataFrame, pairs: DataFrame, threshold: float = 0.35, ratio: float = 0.03, fewest: int = 3, drop: float = 0.08, cross: int = 5) -> DataFrame:
-    """pairs (cluster_i, cluster_j) with safe: whether cluster_j may join cluster_i.
+def _sums(members: DataFrame, key: str, parts: dict[str, Column]) -> DataFrame:
+    """key and, for each part (a condition), <name>_n, <name>_q (sum of squared norms) and <name>_s (element-wise sum) of its rows."""
+    counts = members.groupBy(key).agg(*(x for name, part in parts.items() for x in (F.count_if(part).alias(f"{name}_n"), F.coalesce(F.sum(F.when(part, dot("enc", "enc"))), F.lit(0.0)).alias(f"{name}_q"))))
+    places = members.select("*", F.posexplode("enc").alias("place", "x")).groupBy(key, "place").agg(*(F.coalesce(F.sum(F.when(part, F.col("x"))), F.lit(0.0)).alias(name) for name, part in parts.items()))
+    taken = lambda name: F.transform("p", lambda x: x[name]).alias(f"{name}_s")
+    vectors = places.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", *parts))).alias("p")).select(key, *map(taken, parts))
+    return counts.join(vectors, key)
 
-    It may not if it is tiny beside the target, if the union (its first members by id) is less consistent than the
-    threshold or than the target by more than `drop`, or if its first faces are too far from the target's first.
+
+def _mean_pair(total: Column, squares: Column, n: Column) -> Column:
+    """Mean product of two different ones of n vectors, by their sum; 1 for fewer than two."""
+    return F.when(n < 2, 1.0).otherwise((dot(total, total) - squares) / (n * (n - 1)))
+
+
+def merge_safety(members: DataFrame, pairs: DataFrame, threshold: float = 0.35, ratio: float = 0.03, fewest: int = 3, drop: float = 0.08) -> DataFrame:
+    """pairs (cluster_i, cluster_j) with c_small, c_union, cross and safe: whether cluster_j may join the target cluster_i.
+
+    It may not if it is tiny beside the target; if its own mean pair (c_small) is below the threshold; if the mean pair of the target's first 30 members (by
+    face_id) exceeds that of its first 20 together with cluster_j (c_union) by more than `drop`; or if the mean product across (null where either has one
+    member) is below the threshold less 0.05. Means are over all pairs, in place of random samples of them, so results repeat; they come from sums of vectors.
     """
-    sizes = members.groupBy("cluster_id").agg(F.count("*").alias("n"))
-    known = intra_cluster_consistency(members).select("cluster_id", F.col("consistency").alias("c"))
-    side = lambda x: sizes.join(known, "cluster_id").select(F.col("cluster_id").alias(f"cluster_{x}"), F.col("n").alias(f"n_{x}"), F.col("c").alias(f"c_{x}"))
-    sized = pairs.select("cluster_i", "cluster_j").join(side("i"), "cluster_i").join(side("j"), "cluster_j")
-    union = pairs.select("cluster_i", "cluster_j", F.explode(F.array("cluster_i", "cluster_j")).alias("cluster_id")).join(members.select("cluster_id", "face_id", "enc"), "cluster_id")
-    union = union.select(F.struct("cluster_i", "cluster_j").alias("cluster_id"), "face_id", "enc")
-    joint = intra_cluster_consistency(union).select("cluster_id.*", F.col("consistency").alias("c_union"))
-    first = members.withColumn("r", F.row_number().over(Window.partitionBy("cluster_id").orderBy("face_id"))).where(F.col("r") <= cross)
-    a, b = (first.select(F.col("cluster_id").alias(f"cluster_{x}"), "r", F.col("enc").alias(f"enc_{x}")) for x in "ij")
-    far = pairs.select("cluster_i", "cluster_j").join(a, "cluster_i").join(b, ["cluster_j", "r"]).groupBy("cluster_i", "cluster_j").agg(F.avg(dot("enc_i", "enc_j")).alias("cross"))
-    all_of = sized.join(joint, ["cluster_i", "cluster_j"]).join(far, ["cluster_i", "cluster_j"], "left")
-    bad = ((F.col("n_j") < ratio * F.col("n_i")) & (F.col("n_j") < fewest)) | (F.col("c_union") < threshold) | (F.col("c_i") - F.col("c_union") > drop) | (F.col("cross") < threshold - 0.05)
-    return all_of.select("cluster_i", "cluster_j", "c_union", "cross", (~F.coalesce(bad, F.lit(False))).alias("safe"))
+    ranked = members.withColumn("r", F.row_number().over(Window.partitionBy("cluster_id").orderBy("face_id")))
+    sums = _sums(ranked, "cluster_id", {"all": F.lit(True), "head": F.col("r") <= 30, "first": F.col("r") <= 20})
+    side = lambda x: sums.select(*(F.col(c).alias(f"{c}_{x}" if c != "cluster_id" else f"cluster_{x}") for c in sums.columns))
+    both = pairs.select("cluster_i", "cluster_j").join(side("i"), "cluster_i").join(side("j"), "cluster_j")
+    union = F.zip_with("first_s_i", "all_s_j", lambda x, y: x + y)
+    both = both.select(
+        "cluster_i", "cluster_j", F.col("all_n_i").alias("n_i"), F.col("all_n_j").alias("n_j"), _mean_pair(F.col("all_s_j"), F.col("all_q_j"), F.col("all_n_j")).alias("c_small"),
+        _mean_pair(F.col("head_s_i"), F.col("head_q_i"), F.col("head_n_i")).alias("c_target"), _mean_pair(union, F.col("first_q_i") + F.col("all_q_j"), F.col("first_n_i") + F.col("all_n_j")).alias("c_union"),
+        F.when((F.col("all_n_i") > 1) & (F.col("all_n_j") > 1), dot("all_s_i", "all_s_j") / (F.col("all_n_i") * F.col("all_n_j"))).alias("cross"))
+    bad = ((F.col("n_j") < ratio * F.col("n_i")) & (F.col("n_j") < fewest)) | (F.col("c_small") < threshold) | (F.col("c_target") - F.col("c_union") > drop) | F.coalesce(F.col("cross") < threshold - 0.05, F.lit(False))
+    return both.select("cluster_i", "cluster_j", "c_small", "c_union", "cross", (~bad).alias("safe"))
 
 
 def merge_scores(members: DataFrame, small: int = 50, threshold: float = 0.45) -> DataFrame:

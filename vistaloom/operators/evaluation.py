@@ -124,11 +124,18 @@ def compare_methods(table: DataFrame, methods: tuple[str, str]) -> DataFrame:
 
 
 def error_composition(table: DataFrame) -> DataFrame:
-    """(episode, category, total, correct, effective) -> error rate and impact of each category, with the rest that none explains."""
+    """(episode, category, total, correct, effective) -> error rate and impact of each category, with the sum of the episode's impacts."""
     error = F.col("total") - F.col("correct")
     rows = table.select("episode", "category", ratio(error, F.col("total")).alias("error_rate"), ratio(error, F.col("effective")).alias("impact"))
     return rows.withColumn("all_impacts", F.sum("impact").over(Window.partitionBy("episode")))
 
 
+def unexplained_error(table: DataFrame, overall: DataFrame) -> DataFrame:
+    """episode, total_error, explained, rest: what the categories of error_composition leave of the error rate 1 - accuracy of overall (episode, accuracy)."""
+    explained = error_composition(table).groupBy("episode").agg(F.sum("impact").alias("explained"))
+    total = 1 - F.col("accuracy")
+    return overall.join(explained, "episode").select("episode", total.alias("total_error"), "explained", (total - F.col("explained")).alias("rest"))
+
+
 def quartiles(table: DataFrame, metric: str) -> DataFrame:
     return table.agg(F.percentile(metric, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).select(*(F.col("q")[i].alias(f"q{i + 1}") for i in range(3)))

@@ -73,6 +73,7 @@ def repaired(by_frame: DataFrame, by_center: DataFrame, centers_win_if_better: b
 
 
 def mouth_aspect_ratio(mouth: Column) -> Column:
-    """Mean of three vertical gaps over the width, of 20 points (x, y); 0 with fewer points or a width under 1."""
-    gap = lambda i, j: F.sqrt(F.pow(mouth[i]["x"] - mouth[j]["x"], 2) + F.pow(mouth[i]["y"] - mouth[j]["y"], 2))
-    return F.when((F.size(mouth) < 20) | (gap(6, 0) < 1), 0.0).otherwise((gap(9, 3) + gap(10, 2) + gap(8, 4)) / 3 / gap(6, 0))
+    """Mean of three vertical gaps over the horizontal width, of 20 points (x, y); 0 with fewer points, none, or a width under 1."""
+    gap = lambda axis, i, j: F.abs(F.get(mouth, i)[axis] - F.get(mouth, j)[axis])
+    ratio = (gap("y", 9, 3) + gap("y", 10, 2) + gap("y", 8, 4)) / 3 / gap("x", 6, 0)
+    return F.when(F.coalesce(F.size(mouth), F.lit(0)) < 20, 0.0).when(gap("x", 6, 0) < 1, 0.0).otherwise(ratio)

@@ -7,7 +7,6 @@ aggregate() over a sorted array; windows do the rest.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -169,7 +168,9 @@ def best_offset(starts: DataFrame, marks: DataFrame, steps: int = 500, step: flo
     marked = marked.select(F.explode(F.array(F.col("_own") - 1, F.col("_own"), F.col("_own") + 1)).alias("bin"), "m")
     begun = starts.where("t IS NOT NULL").groupBy("t").agg(F.count("*").alias("n")).select(F.floor(F.col("t") / width).alias("bin"), F.col("t").cast("double").alias("t"), "n")
 
-    def scores(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def scores(a, b):
+        import pandas as pd
+
         m, t, often, out = np.sort(b["m"].to_numpy(float)), a["t"].to_numpy(float), a["n"].to_numpy(float), []
         for k in range(-half, half + 1) if len(m) else ():
             moved = t + k * step

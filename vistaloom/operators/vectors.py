@@ -11,7 +11,6 @@ from collections import deque
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,7 +101,9 @@ def similar_pairs(faces: DataFrame, floor: float) -> DataFrame:
     met = held.withColumn("other", F.explode(F.sequence(F.col("block"), F.lit(blocks - 1))))
     pairs = met.join(held.select(F.col("block").alias("other"), F.col("rows").alias("others")), "other")
 
-    def products(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def products(parts):
+        import pandas as pd
+
         for part in parts:
             for block, other, rows, others in zip(part["block"], part["other"], part["rows"], part["others"]):
                 a, b = (np.array([list(r["enc"]) for r in x], float) for x in (rows, others))

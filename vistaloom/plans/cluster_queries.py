@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vistaloom.functions import frames as R
 from vistaloom.operators import clusters as C
+from vistaloom.operators import rules as U
 from vistaloom.operators import vectors as V
 from vistaloom.plans.vector_queries import _C, _PAIRS, _round
 from vistaloom.sources.tables import FACES, OBSERVATIONS, SUBTITLES, faces, observations, subtitles
@@ -37,6 +38,12 @@ def _tracks(s, d):
     return C.follow(rows, 50.0, 10)
 
 
+def _mouths(s, d):
+    e = F.col("event_id")
+    points = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.struct((e * (i + 3) % 50).cast("double").alias("x"), (e * (i + 7) % 60).cast("double").alias("y")))
+    return observations(s, d).select("event_id", (U.mouth_aspect_ratio(points) + 1e-9).alias("mar"))
+
+
 def _sizes(s, d):
     f = faces(s, d)
     a = f.groupBy("cluster_id").agg(F.count("*").alias("n")).select(F.lit("original").alias("method"), "n")
@@ -57,15 +64,14 @@ QUERIES = {
     "media_info_parse_all": _media,
     "previous_track": _tracks,
     "cluster_method_choice": lambda s, d: C.choose_method(_sizes(s, d)),
-    "merge_safety": lambda s, d: _round(C.merge_safety(faces(s, d), _all_pairs(s, d), threshold=-0.01), "c_union", "cross"),
+    "merge_safety": lambda s, d: _round(C.merge_safety(faces(s, d), _all_pairs(s, d), threshold=-0.01), "c_small", "c_union", "cross"),
+    "mouth_aspect_ratio": lambda s, d: _round(_mouths(s, d), "mar"),
     "intelligent_merge": lambda s, d: _round(C.merge_scores(faces(s, d), 60, 0.0), "score"),
     "center_pages": lambda s, d: C.pages(V.frame_ranges(faces(s, d)), "cluster_id", 4).select("cluster_id", "n", "page"),
     "matches_per_center": lambda s, d: _round(C.center_summary(observations(s, d).select(F.col("track").alias("center_id"), (F.col("value") / 100).alias("similarity")), 60), "mean"),
     "seeded_sample": lambda s, d: C.seeded_sample(faces(s, d), "cluster_id", "face_id", 20).groupBy("cluster_id").agg(F.count("*").alias("n")),
 }
 
-_SEQ = "(SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY face_id) AS r FROM {f})"
-_MEAN = "SELECT a.cluster_id, coalesce(avg(list_dot_product(a.enc, b.enc)) FILTER (a.face_id <> b.face_id), 1) AS c FROM {f} a JOIN {f} b USING (cluster_id) WHERE a.r <= 20 AND b.r <= 20 GROUP BY 1"
 _HUE = "(i / 12.0::DOUBLE * 6)"
 
 
@@ -82,11 +88,15 @@ ORACLE = {
     "color_by_id": f"SELECT event_id, CASE WHEN i BETWEEN 0 AND 11 THEN ({_hsv('b')}) || ',' || ({_hsv('g')}) || ',' || ({_hsv('r')}) ELSE '128,128,128' END AS bgr FROM (SELECT event_id, event_id % 15 - 1 AS i FROM events)",
     "media_info_parse": "SELECT event_id, (event_id // 100) * 3600 + (event_id % 60) * 60 + (event_id * 7) % 60 + 0.5::DOUBLE AS seconds, (event_id % 50 + 100) || 'x' || (event_id % 30 + 90) AS size, (event_id % 30 + 24)::DOUBLE AS fps, (event_id % 50 + 100) * (event_id % 30 + 90) AS area FROM events WHERE event_id < 500",
     "cluster_method_choice": "SELECT CASE WHEN b.k <= 0.7 * a.k OR (b.k <= a.k AND b.cv < 0.8 * a.cv) THEN 'adjusted' ELSE 'original' END AS chosen FROM (SELECT count(*) AS k, stddev_pop(n) / avg(n) AS cv FROM (SELECT count(*) AS n FROM embeddings GROUP BY label)) a, (SELECT count(*) AS k, stddev_pop(n) / avg(n) AS cv FROM (SELECT count(*) AS n FROM embeddings GROUP BY label // 2)) b",
-    "merge_safety": f"""WITH f AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY face_id) AS r FROM {FACES}), n AS (SELECT cluster_id, count(*) AS n FROM f GROUP BY 1), c AS ({_MEAN.format(f="f")}),
-p AS (SELECT a.cluster_id AS i, b.cluster_id AS j, a.n AS ni, b.n AS nj FROM n a JOIN n b ON a.cluster_id < b.cluster_id), u AS (SELECT i, j, [i, j] AS cluster_id, face_id, enc, row_number() OVER (PARTITION BY i, j ORDER BY face_id) AS r FROM p JOIN f ON f.cluster_id IN (i, j)),
-cu AS (SELECT a.i, a.j, avg(list_dot_product(a.enc, b.enc)) FILTER (a.face_id <> b.face_id) AS cu FROM u a JOIN u b ON a.i = b.i AND a.j = b.j WHERE a.r <= 20 AND b.r <= 20 GROUP BY 1, 2),
-x AS (SELECT i, j, avg(list_dot_product(a.enc, b.enc)) AS x FROM p JOIN f a ON a.cluster_id = i AND a.r <= 5 JOIN f b ON b.cluster_id = j AND b.r = a.r GROUP BY 1, 2)
-SELECT p.i AS cluster_i, p.j AS cluster_j, round(cu, 6) AS c_union, round(x, 6) AS "cross", NOT ((nj < 0.03 * ni AND nj < 3) OR cu < -0.01 OR c.c - cu > 0.08 OR x < -0.06) AS safe FROM p JOIN cu USING (i, j) JOIN x USING (i, j) JOIN c ON c.cluster_id = p.i""",
+    "merge_safety": f"""WITH f AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY face_id) AS r FROM {FACES}), n AS (SELECT cluster_id, count(*) AS n FROM f GROUP BY 1),
+s AS (SELECT a.cluster_id, avg(list_dot_product(a.enc, b.enc)) AS c, avg(list_dot_product(a.enc, b.enc)) FILTER (b.r <= 30) AS h FROM f a JOIN f b ON a.cluster_id = b.cluster_id AND a.r < b.r GROUP BY 1),
+p AS (SELECT a.cluster_id AS i, b.cluster_id AS j, a.n AS ni, b.n AS nj FROM n a JOIN n b ON a.cluster_id < b.cluster_id),
+u AS (SELECT i, j, 1 AS x, r, enc FROM p JOIN f ON f.cluster_id = i AND r <= 20 UNION ALL SELECT i, j, 2, r, enc FROM p JOIN f ON f.cluster_id = j),
+k AS (SELECT a.i, a.j, avg(list_dot_product(a.enc, b.enc)) AS c FROM u a JOIN u b ON a.i = b.i AND a.j = b.j AND (a.x < b.x OR (a.x = b.x AND a.r < b.r)) GROUP BY 1, 2),
+x AS (SELECT i, j, avg(list_dot_product(a.enc, b.enc)) AS x FROM p JOIN f a ON a.cluster_id = i JOIN f b ON b.cluster_id = j WHERE ni > 1 AND nj > 1 GROUP BY 1, 2)
+SELECT p.i AS cluster_i, p.j AS cluster_j, round(coalesce(b.c, 1), 6) AS c_small, round(k.c, 6) AS c_union, round(x, 6) AS "cross", NOT ((nj < 0.03 * ni AND nj < 3) OR coalesce(b.c, 1) < -0.01 OR coalesce(a.h, 1) - k.c > 0.08 OR coalesce(x < -0.06, false)) AS safe
+FROM p JOIN k USING (i, j) LEFT JOIN x USING (i, j) LEFT JOIN s a ON a.cluster_id = p.i LEFT JOIN s b ON b.cluster_id = p.j""",
+    "mouth_aspect_ratio": "SELECT event_id, round(CASE WHEN w < 1 THEN 0 ELSE (abs(e * 16 % 60 - e * 10 % 60) + abs(e * 17 % 60 - e * 9 % 60) + abs(e * 15 % 60 - e * 11 % 60)) / 3.0::DOUBLE / w END + 1e-9, 6) AS mar FROM (SELECT event_id, event_id AS e, abs(event_id * 9 % 50 - event_id * 3 % 50) AS w FROM events)",
     "intelligent_merge": f"WITH {_C}, x AS (SELECT least(ca, cb) AS i, greatest(ca, cb) AS j, max(s) AS m FROM {_PAIRS} WHERE ca <> cb GROUP BY 1, 2), q AS (SELECT a.cluster_id AS i, b.cluster_id AS j, 0.4 * list_dot_product(a.center, b.center) + 0.3 * greatest(coalesce(m, 0), 0) + 0.3 * list_dot_product(a.mean, b.mean) AS s FROM c a JOIN c b ON a.cluster_id <> b.cluster_id AND b.n < 60 LEFT JOIN x ON x.i = least(a.cluster_id, b.cluster_id) AND x.j = greatest(a.cluster_id, b.cluster_id)) SELECT i AS cluster_i, j AS cluster_j, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY j ORDER BY s DESC, i) AS r FROM q WHERE s > 0) WHERE r = 1",
     "center_pages": "SELECT label AS cluster_id, count(*) AS n, ((row_number() OVER (ORDER BY label) - 1) // 4)::INT AS page FROM embeddings GROUP BY label",
     "matches_per_center": f"SELECT track AS center_id, count(*) AS n, round(avg(value / 100), 6) AS mean FROM {OBSERVATIONS} GROUP BY 1 HAVING count(*) >= 60",

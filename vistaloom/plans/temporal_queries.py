@@ -78,62 +78,6 @@ _FIRST = "arg_max(coalesce(nxt, ts), struct_pack(t := ts, e := event_id))"
 _LASTROW = "max(ts)"
 
 
-def _segments(s, d, **rule):
-    found = T.segments(observations(s, d), _active(), **rule)
-    return _round(found, "duration", places=3)
-
-
-def _scaled(s, d):
-    return observations(s, d).withColumn("value", F.least(F.col("value") / 100, F.lit(1.0)))
-
-
-def _speakers(s, d):
-    rows = observations(s, d)
-    return rows.select(F.col("track").alias("video"), "event_id", ((F.unix_micros(F.col("ts").cast("timestamp")) / 1000) % 40000).cast("long").alias("t_ms"), F.col("event_id").alias("frame"), (F.col("event_id") % 4 - 1).cast("int").alias("speaker"))
-
-
-def _votes(s, d):
-    out = T.speaker_votes(_speakers(s, d), subtitles(s, d))
-    return out.withColumn("speakers", F.array_join(F.transform("speakers", lambda x: x.cast("string")), ","))
-
-
-def _grid(s, d, some="true"):
-    rows = subtitles(s, d).where(some)
-    starts = rows.select((F.col("start_ms") / 1000.0).alias("t"))
-    marks = rows.where("idx > 0").select((F.col("start_ms") / 1000.0 + 0.62).alias("m")).distinct()
-    return T.best_offset(starts, marks)
-
-
-QUERIES = {
-    "history_vote_fill": lambda s, d: _round(T.history_vote(_matched(s, d)), "filled_similarity"),
-    "ema_smoothing": lambda s, d: _round(T.ema(observations(s, d)), "smooth"),
-    "temporal_boost_retrieval": lambda s, d: _round(T.feedback_boost(_scaled(s, d)).withColumn("adjusted", F.col("adjusted") + NUDGE), "adjusted"),
-    "energy_smoothing": lambda s, d: _round(T.energy_smoothing(observations(s, d)).withColumn("mean", F.col("mean") + NUDGE), "smooth", "mean"),
-    "consecutive_runs": lambda s, d: T.consecutive_runs(observations(s, d)),
-    "speech_segments_v1": lambda s, d: _segments(s, d, end_rule="first_inactive", keep_tail=False),
-    "speech_segments_v2": lambda s, d: _segments(s, d, end_rule="first_inactive", keep_tail=False, least_s=3600),
-    "speech_segments_v3": lambda s, d: _segments(s, d, least_s=3600),
-    "speech_onsets": lambda s, d: T.onsets(observations(s, d), _active()),
-    "energy_thresholds": lambda s, d: _round(T.thresholds(observations(s, d)), "mean_std", "mad_3", "mad_25"),
-    "frame_energy": lambda s, d: _round(T.frame_energy(observations(s, d).select(F.col("event_id").alias("i"), (F.col("value") / 100).alias("x"))), "energy", "rms"),
-    "movement_variance": lambda s, d: _round(T.movement(observations(s, d), scale=0.0001), "movement", places=4),
-    "speech_active_at": lambda s, d: T.inside_segments(observations(s, d), T.segments(observations(s, d), _active()), 600),
-    "nearest_onset": lambda s, d: T.nearest(observations(s, d), T.onsets(observations(s, d), _active())),
-    "offset_grid_search": lambda s, d: _round(_grid(s, d, "video < 40"), "score"),
-    "offset_grid_search_all": lambda s, d: _round(_grid(s, d), "score"),
-    "carry_forward": lambda s, d: T.carry_forward(observations(s, d), F.when(F.col("kind") == "click", F.col("value"))),
-    "speaker_vote": _votes,
-}
-
-_O = OBSERVATIONS
-_BY = "PARTITION BY track ORDER BY ts, event_id"
-_I = f"a AS (SELECT *, value > {LOUD} AS act, lag(value > {LOUD}) OVER w AS bef, lead(ts) OVER w AS nxt FROM {_O} WINDOW w AS ({_BY})), i AS (SELECT *, sum(CASE WHEN act AND NOT coalesce(bef, false) THEN 1 ELSE 0 END) OVER ({_BY}) AS island FROM a)"
-_SEG = "SELECT * FROM (SELECT track, island, min(ts) AS start, {end} AS \"end\", round((epoch_us({end}) - epoch_us(min(ts))) / 1e6, 3) AS duration, (epoch_us({end}) - epoch_us(min(ts))) / 1e6 AS dd, arg_max(nxt IS NULL, struct_pack(t := ts, e := event_id)) AS open FROM i WHERE act GROUP BY 1, 2)"
-_FIRST = "arg_max(coalesce(nxt, ts), struct_pack(t := ts, e := event_id))"
-_LASTROW = "max(ts)"
-_LIST = f"SELECT track, list(struct_pack(e := event_id, v := value) ORDER BY ts, event_id) AS l FROM {_O} GROUP BY 1"
-
-
 def _seg(end: str, more: str) -> str:
     return f"WITH {_I}, g AS ({_SEG.format(end=end)}) SELECT track, island, start, \"end\", duration FROM g WHERE {more}"
 

@@ -6,7 +6,6 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -36,7 +35,9 @@ def sessions(rows: DataFrame, gap: str = "12 hours") -> DataFrame:
 def smoothed(rows: DataFrame, alpha: float = 0.3) -> DataFrame:
     """track, n, smooth: after each micro-batch, a track's count and exponential average; the state is dropped a day after its last row."""
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def step(key, parts, state: GroupState):
+        import pandas as pd
+
         if state.hasTimedOut:
             state.remove()
             return
