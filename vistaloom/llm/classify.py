@@ -429,7 +429,8 @@ def _model(texts: DataFrame, labels: DataFrame, per_class: int):
     marks = labels.where(F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
     marks = marks.withColumn("key", F.xxhash64("doc_id"))
     known, _ = maybe_in(texts.where(F.col("text").isNotNull()).withColumn("key", F.xxhash64("doc_id")), "key", marks, "key")
-    labelled = saved(known.join(marks.drop("key"), "doc_id").drop("key"), "labelled")
+    # The same join at every size: labels grow with the corpus, so they are never broadcast.
+    labelled = saved(known.hint("merge").join(marks.drop("key"), "doc_id").drop("key"), "labelled")
     return texts.sparkSession.sparkContext.broadcast(train_toxicity(labelled, per_class))
 
 
