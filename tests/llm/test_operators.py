@@ -216,7 +216,7 @@ def test_packing(docs, empty):
 def test_column_generation_reaches_the_bound():
     rng = np.random.default_rng(1)
     demand = np.bincount(rng.integers(300, 900, 5000), minlength=2049)
-    found, bound = packing.solve(demand, columns=2000)
+    found, bound = packing.solve(demand)
     assert sum(x for _, x in found) <= 1.01 * bound
     assert np.allclose(sum(p * x for p, x in found), demand, atol=1e-6)
     whole = packing.patterns(demand)

@@ -27,8 +27,8 @@ from vistaloom.llm.tokens import BytePairs, default_path
 from vistaloom.llm.util import saved, slices
 
 CAPACITY = 2048
-#: Column generation ends at this relative distance from its lower bound, or after so many columns.
-GAP, COLUMNS = 0.001, 300
+#: Column generation ends at this relative distance from its lower bound in whole sequences, when no column improves it, or when its inverse has lost its digits.
+GAP = 0.001
 END_OF_TEXT = 1
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, part int, local long"
 _RANK_BITS = 48
@@ -92,13 +92,13 @@ def _knapsack(values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(best[capacity]), pattern
 
 
-def solve(demand: np.ndarray, capacity: int = CAPACITY, gap: float = GAP, columns: int = COLUMNS) -> tuple[list[tuple[np.ndarray, float]], float]:
+def solve(demand: np.ndarray, capacity: int = CAPACITY, gap: float = GAP) -> tuple[list[tuple[np.ndarray, float]], float]:
     """Patterns with their (fractional) numbers of uses that cover demand[l] pieces of each length l exactly, and a lower bound."""
     lengths = np.flatnonzero(demand > 0)
     if not len(lengths):
         return [], 0.0
     # A triangular basis: each pattern uses up a length, and later ones leave it out.
-    left, basis, exhausted = demand.astype(float), [], []
+    left, basis, exhausted, uses = demand.astype(float), [], [], []
     for _ in range(len(lengths)):
         have = np.flatnonzero(left > 0)
         if not len(have):
@@ -112,11 +112,13 @@ def solve(demand: np.ndarray, capacity: int = CAPACITY, gap: float = GAP, column
         left[gone] = 0
         basis.append(pattern)
         exhausted.append(int(gone[0]))
+        uses.append(times)
         for other in gone[1:]:
             single = np.zeros(capacity + 1, np.int64)
             single[other] = 1
             basis.append(single)
             exhausted.append(int(other))
+            uses.append(0.0)
     place = np.searchsorted(lengths, exhausted)
     rows = np.array(basis, float)[:, exhausted].T  # lower triangular: row i is of the length that pattern i uses up
     forward = np.zeros((len(lengths), len(lengths)))
@@ -127,11 +129,11 @@ def solve(demand: np.ndarray, capacity: int = CAPACITY, gap: float = GAP, column
         forward[i] /= rows[i, i]
     inverse = np.empty_like(forward)
     inverse[:, place] = forward
-    amount = np.maximum((inverse * demand[lengths]).sum(axis=1), 0)
+    amount = np.array(uses)  # as taken above; by the inverse, rounding can swamp them
     bound = float((demand * np.arange(capacity + 1)).sum()) / capacity
-    for _ in range(columns):
+    while True:
         total = amount.sum()
-        if total <= bound * (1 + gap):
+        if total <= np.ceil(bound - 1e-9) * (1 + gap):
             break
         values = np.zeros(capacity + 1)
         values[lengths] = inverse.sum(axis=0)
@@ -146,8 +148,12 @@ def solve(demand: np.ndarray, capacity: int = CAPACITY, gap: float = GAP, column
             break
         out = falls[np.argmin(amount[falls] / column[falls])]
         step = amount[out] / column[out]
-        amount = np.maximum(amount - step * column, 0)
-        amount[out] = step
+        after = np.maximum(amount - step * column, 0)
+        after[out] = step
+        held = sum(x * p for x, p in zip(after, [*basis[:out], pattern, *basis[out + 1 :]]) if x > 0)
+        if after.sum() > total * (1 + 1e-9) or not np.allclose(held, demand, rtol=1e-6, atol=1e-6):
+            break  # a column that improves can't raise the total: the inverse has lost its digits, what is held is right
+        amount = after
         row = inverse[out] / column[out]
         inverse -= np.outer(column, row)
         inverse[out] = row
