@@ -68,6 +68,30 @@ def test_exact_dedup(docs, empty):
     assert exact_dedup.mark_duplicates(empty).count() == 0 == exact_dedup.drop_duplicates(empty).count()
 
 
+def test_merge_index_grows_by_batches(spark):
+    rows = [(i, f"Text {i % 37}") for i in range(60)]
+    index, known = None, []
+    for n in range(6):
+        batch = rows[10 * n : 10 * n + 10]
+        known += batch
+        index = exact_dedup.add(index, spark.createDataFrame(batch, "doc_id long, text string"))
+        held = index.collect()
+        assert sum(r.size for r in held) == len(known)
+        assert Counter(r.level for r in {(r.level, r.run): r for r in held}.values()) == Counter({0: n + 1} if n < 3 else {1: 1, 0: n - 3})
+    old = spark.createDataFrame(known, "doc_id long, text string")
+    new = spark.createDataFrame([(100, "tEXT 3"), (101, "text 99"), (102, "text 36"), (103, None), (103, "text 3 ")], "doc_id long, text string")
+    assert {r.doc_id: r.keep_id for r in exact_dedup.look_up(index, old, new).collect()} == {100: 3, 102: 36}
+    # filters: a digest is sent to the runs that hold it and to few others
+    digests = index.select("digest", "run").collect()
+    asked = exact_dedup.probed(index.select("digest").distinct(), index).collect()
+    holders = defaultdict(set)
+    for r in digests:
+        holders[r.digest].add(r.run)
+    assert all(holders[r.digest] <= set(r.runs) for r in asked)
+    runs = len({r.run for r in digests})
+    assert runs == 3 and sum(len(r.runs) for r in asked) < sum(map(len, holders.values())) + 4
+
+
 def shingles(t):
     w = re.findall(SPACE, low(t))
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
