@@ -27,7 +27,8 @@ from vistaloom.llm.tokens import BytePairs, default_path
 from vistaloom.llm.util import saved, slices
 
 CAPACITY = 2048
-#: Column generation ends at this relative distance from its lower bound in whole sequences, when no column improves it, or when its inverse has lost its digits.
+#: Column generation ends at this relative distance from its lower bound in whole sequences, when no column improves it, when as
+#: many columns as there are lengths have gained less than a tenth of that distance, or when its inverse has lost its digits.
 GAP = 0.001
 END_OF_TEXT = 1
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, part int, local long"
@@ -131,8 +132,14 @@ def solve(demand: np.ndarray, capacity: int = CAPACITY, gap: float = GAP) -> tup
     inverse[:, place] = forward
     amount = np.array(uses)  # as taken above; by the inverse, rounding can swamp them
     bound = float((demand * np.arange(capacity + 1)).sum()) / capacity
+    mark, since = amount.sum(), 0
     while True:
         total = amount.sum()
+        if total < mark * (1 - gap / 10):
+            mark, since = total, 0
+        since += 1
+        if since > len(lengths):
+            break
         if total <= np.ceil(bound - 1e-9) * (1 + gap):
             break
         values = np.zeros(capacity + 1)
