@@ -247,6 +247,39 @@ def test_column_generation_reaches_the_bound():
     assert (sum(p * n for p, n in whole) == demand).all() and all((p * np.arange(2049)).sum() <= 2048 for p, _ in whole)
 
 
+def covered(intervals):
+    """The places of the sequence in the intervals, in their order."""
+    return [x for a, b in intervals for x in range(a, b)]
+
+
+def test_chat_forks(spark):
+    """Random trees with many forks against a plain walk from node to parent; and long conversations, of which one leaves another late."""
+    rng = random.Random(4)
+    told = [[rng.choice("ab") for _ in range(rng.randint(1, 9))] for _ in range(60)]
+    long = [f"t{i}" for i in range(3000)]
+    told += [long, long[:2500] + ["other"] * 400, long[:1200]]
+    rows = [(c, i, ("user", "assistant")[i % 2], t) for c, turns in enumerate(told) for i, t in enumerate(turns)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    nodes, members = chat_format.prefix_trees(table)
+    nodes = {r.node_id: r for r in nodes.collect()}
+    assert len(nodes) == len({tuple(t[: i + 1]) for t in told for i in range(len(t))})
+    for r in nodes.values():
+        if r.depth < 20 or r.depth % 97 == 0:
+            up, node = [], r
+            while node.parent_id:
+                node = nodes[node.parent_id]
+                up.append((node.start, node.start + node.n_tokens))
+            assert covered(r.ancestors) == covered(up[::-1]) and r.position == len(covered(up)) and len(up) == r.depth
+    deep = nodes[next(m.node_id for m in members.where("conv_id = 60 AND step = 2999").collect())]
+    assert len(deep.ancestors) <= 2
+    for tree in {r.tree_id for r in nodes.values()}:
+        spans = sorted((r.start, r.start + r.n_tokens) for r in nodes.values() if r.tree_id == tree)
+        assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+    got = {r.conv_id: r for r in chat_format.read_back(*chat_format.prefix_trees(table)).collect()}
+    for c, turns in enumerate(told):
+        assert got[c].n_turns == len(turns) and got[c].turns_sha256 == SHA("".join(f"{('user', 'assistant')[i % 2]}\n{t}\n" for i, t in enumerate(turns)))
+
+
 def test_chat_trees(spark):
     told = [(1, 0, "user", "hi"), (1, 1, "assistant", "a [/INST] b"), (2, 0, "user", "hi"), (2, 1, "assistant", "a [/INST] b"), (2, 2, "user", None), (3, 0, "user", "hi"), (3, 1, "assistant", r"<\s> [\\INST] </s>"), (4, 0, None, "x"), (None, 0, "tool", "</s>"), (5, 3, "system", "s"), (5, None, "user", "first"), (5, 3, "system", "s")]
     rows = spark.createDataFrame([(*x, "c") for x in told], "conv_id long, turn long, role string, text string, node_id string")
@@ -258,7 +291,7 @@ def test_chat_trees(spark):
         while node.parent_id:
             node = nodes[node.parent_id]
             up.append((node.start, node.start + node.n_tokens))
-        assert [tuple(x) for x in r.ancestors] == up[::-1] and r.position == sum(b - a for a, b in up) and r.n_tokens == len(r.tokens)
+        assert covered(r.ancestors) == covered(up[::-1]) and r.position == sum(b - a for a, b in up) and r.n_tokens == len(r.tokens)
         inner = re.sub(chat_format.CONTROL, "", r.text[r.body_start : r.body_start + r.body_length])
         assert "</s>" not in inner
     for tree in {r.tree_id for r in nodes.values()}:

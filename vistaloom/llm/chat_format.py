@@ -5,7 +5,8 @@ the same first turn make one tree, whose nodes, in depth-first order, are one se
 that sequence, the position of its first token (the tokens of its ancestors come before it, siblings don't count) and
 the intervals of the sequence that its tokens attend to besides their own node's past: its ancestors.
 
-Depth-first order is the order of the paths of ids. Nodes are sorted over all trees by range partitions, summed up
+Nodes without a fork between them are one run, which stands in one piece. Depth-first order is the order of the paths of runs, and of
+turns in a run, so a long conversation costs no path for each of its turns. Nodes are sorted over all trees by range partitions, summed up
 in each partition and shifted by what lies ahead, so a tree that a third of all conversations share is no one's task.
 """
 
@@ -42,14 +43,39 @@ def unescape(text: Column) -> Column:
 
 
 def _turns(conversations: DataFrame) -> DataFrame:
-    """conv_id, step (0, 1, ..), path (digests of the chains so far), role, text: turns in order; ties by role and text."""
+    """conv_id, leaf (the digest of the whole), step (0, 1, ..), node_id and parent_id (digests of the chains so far), role, text: turns in order; ties by role and text."""
     turn = F.struct("turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     whole = conversations.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
     chain = F.aggregate(
         "turns", F.array().cast("array<string>"),
         lambda path, t: F.concat(path, F.array(F.substring(F.sha2(F.concat_ws("\n", F.coalesce(F.element_at(path, F.when(F.size(path) > 0, -1)), F.lit("")), F.length(t["role"]).cast("string"), t["role"], t["text"]).cast("binary"), 256), 1, 32))))
-    stepped = whole.withColumn("chain", chain).select("conv_id", "chain", F.posexplode("turns").alias("step", "t"))
-    return stepped.select("conv_id", "step", F.slice("chain", 1, F.col("step") + 1).alias("path"), "t.role", "t.text")
+    above = F.concat(F.array(F.lit(None).cast("string")), F.slice("chain", 1, F.size("chain") - 1))
+    zipped = F.arrays_zip(F.col("turns").alias("t"), F.col("chain").alias("node_id"), above.alias("parent_id"))
+    stepped = whole.withColumn("chain", chain).select("conv_id", F.element_at("chain", -1).alias("leaf"), zipped.alias("z")).select("conv_id", "leaf", F.posexplode("z").alias("step", "z"))
+    return stepped.select("conv_id", "leaf", "step", "z.node_id", "z.parent_id", "z.t.role", "z.t.text")
+
+
+def _runs(turns: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(places, paths). A run is a stretch of nodes without a fork: its head is a root or one of several children.
+
+    places: node_id, head_id (its run), step. paths: head_id, rank (runs in depth-first order), path (heads from the root's to its own).
+    A node is placed by one of its conversations only, so a path is made once a run: all of them together hold no more than
+    twice as many heads as there are turns, since every fork on a path belongs to another conversation that is as long.
+    """
+    forks = nodes.where("parent_id IS NOT NULL").groupBy("parent_id").agg(F.count("*").alias("n")).where("n > 1").select("parent_id", F.lit(True).alias("forked"))
+    flagged = nodes.select("node_id", "parent_id", "leaf").join(forks, "parent_id", "left")
+    flagged = flagged.select("node_id", F.col("leaf").alias("placed_by"), (F.col("parent_id").isNull() | F.coalesce("forked", F.lit(False))).alias("is_head"))
+    chains = saved(turns.select("leaf", "step", "node_id").distinct().join(flagged, "node_id"), "chains")
+    so_far = Window.partitionBy("leaf").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    placed = chains.withColumn("head_id", F.last(F.when(F.col("is_head"), F.col("node_id")), ignorenulls=True).over(so_far))
+    places = placed.where(F.col("leaf") == F.col("placed_by")).select("node_id", "head_id", "step")
+    heads = chains.where("is_head").groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("step", "node_id", "placed_by"))).alias("heads"))
+    own = F.filter("heads", lambda x: x["placed_by"] == F.col("leaf"))
+    # A conversation places what it doesn't share with those before it: the last ones of its heads.
+    own = F.transform(own, lambda x, i: F.struct(x["node_id"].alias("head_id"), F.transform(F.filter("heads", lambda y: y["step"] <= x["step"]), lambda y: y["node_id"]).alias("path")))
+    paths = heads.select(F.explode(own).alias("x")).select("x.*")
+    ranked = paths.repartitionByRange("path").sortWithinPartitions("path").withColumn("rank", F.monotonically_increasing_id())
+    return places, saved(ranked, "paths")
 
 
 def _format(nodes: DataFrame) -> DataFrame:
@@ -60,6 +86,7 @@ def _format(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("head", head).withColumn("body", escape(F.col("text"))).withColumn("tail", tail)
 
 
+_INTERVALS = "array<struct<start:bigint,end:bigint>>"
 _ADDED = [("tokens", pa.list_(pa.int32())), ("body_tokens", pa.list_(pa.int32())), ("part", pa.int32()), ("before", pa.int64())]
 
 
@@ -89,34 +116,38 @@ def prefix_trees(conversations: DataFrame, vocabulary: str | None = None, ranks:
     nodes: tree_id, node_id, parent_id (null for a root), depth, role, text (formatted, control strings inside escaped),
     body_start and body_length (code points of text), tokens, body_tokens (from, to), learn (loss on the body: assistant turns),
     start and n_tokens (the node's place in its tree's sequence), position (of its first token), ancestors (array of
-    (start, end) in the sequence, root first). members: conv_id, step, node_id.
+    (start, end) in the sequence, root first; ancestors without a fork between them are one interval). members: conv_id, step, node_id.
 
     A null role or text counts as empty, a null turn comes first; rows of a turn that occurs twice follow by role and text. Rows
-    with a null conv_id are one conversation. Equal conversations share all nodes. An empty table gives empty results.
+    with a null conv_id are one conversation. Equal conversations share all nodes. A conversation is sorted as one array,
+    and may have many turns: what is kept of a node doesn't grow with its depth but with the forks above it. An empty table gives empty results.
     """
     spark = conversations.sparkSession
     files = (vocabulary or default_path("byte_bpe_50k.json"), ranks or default_path("byte_bpe_50k.tiktoken"))
     shared = spark.sparkContext.broadcast(tuple(Path(x).read_text(encoding="utf-8") for x in files))
     turns = saved(_turns(conversations), "turns")
-    members = turns.select("conv_id", "step", F.element_at("path", -1).alias("node_id"))
-    nodes = _format(turns.dropDuplicates(["path"]).select("path", "role", "text"))
-    ordered = nodes.repartitionByRange("path").sortWithinPartitions("path")
+    members = turns.select("conv_id", "step", "node_id")
+    distinct = saved(turns.groupBy("node_id").agg(F.min("leaf").alias("leaf"), *(F.first(c).alias(c) for c in ("parent_id", "role", "text"))), "distinct")
+    places, paths = _runs(turns, distinct)
+    ranked = places.join(paths.select("head_id", "rank"), "head_id").join(distinct.drop("leaf"), "node_id")
+    ordered = _format(ranked).repartitionByRange("rank", "step").sortWithinPartitions("rank", "step")
     schema = T.StructType([*ordered.schema.fields, T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("body_tokens", T.ArrayType(T.IntegerType())), T.StructField("part", T.IntegerType()), T.StructField("before", T.LongType())])
-    placed = saved(ordered.mapInArrow(_encoded(shared), schema), "nodes")
-    placed = placed.select("*", F.element_at("path", -1).alias("node_id"), F.element_at("path", 1).alias("tree_id"), F.size("tokens").cast("long").alias("n_tokens"))
+    placed = saved(ordered.mapInArrow(_encoded(shared), schema), "nodes").withColumn("n_tokens", F.size("tokens").cast("long"))
     ahead = placed.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row for each partition
     ahead = ahead.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    spots = saved(placed.join(ahead, "part").select("node_id", "tree_id", "n_tokens", "path", (F.col("ahead") + F.col("before")).alias("at")), "spots")
-    roots = spots.where(F.size("path") == 1).select("tree_id", F.col("at").alias("root_at"))
-    spots = saved(spots.join(roots, "tree_id").select("node_id", "path", "n_tokens", (F.col("at") - F.col("root_at")).alias("start")), "starts")
-    above = spots.select("node_id", F.posexplode(F.slice("path", 1, F.size("path") - 1)).alias("level", "ancestor"))
-    named = spots.select(F.col("node_id").alias("ancestor"), "start", (F.col("start") + F.col("n_tokens")).alias("end"))
-    lists = above.join(named, "ancestor").groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("level", "start", "end"))).alias("found"))
-    lists = lists.select("node_id", F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("ancestors"))
-    out = placed.join(spots.select("node_id", "start"), "node_id").join(lists, "node_id", "left")
-    ancestors = F.coalesce("ancestors", F.array().cast("array<struct<start:bigint,end:bigint>>"))
+    placed = placed.join(ahead, "part").withColumn("at", F.col("ahead") + F.col("before"))
+    extents = saved(placed.groupBy("head_id").agg(F.min("at").alias("from"), F.max(F.col("at") + F.col("n_tokens")).alias("to")), "extents")
+    above = paths.select("head_id", F.posexplode(F.slice("path", 1, F.size("path") - 1)).alias("level", "ancestor"))
+    lists = above.join(extents.withColumnRenamed("head_id", "ancestor"), "ancestor").groupBy("head_id").agg(F.array_sort(F.collect_list(F.struct("level", "from", "to"))).alias("found"))
+    runs = extents.join(paths.select("head_id", F.element_at("path", 1).alias("tree_id")), "head_id").join(lists, "head_id", "left")
+    root = F.coalesce(F.element_at("found", F.when(F.size("found") > 0, 1))["from"], F.col("from"))
+    shifted = F.transform("found", lambda x: F.struct((x["from"] - F.col("root")).alias("start"), (x["to"] - F.col("root")).alias("end")))
+    runs = runs.withColumn("root", root).select("head_id", "tree_id", "root", (F.col("from") - F.col("root")).alias("from"), F.coalesce(shifted, F.array().cast(_INTERVALS)).alias("ancestors"))
+    out = placed.join(runs, "head_id").withColumn("start", F.col("at") - F.col("root"))
+    own = F.when(F.col("start") > F.col("from"), F.array(F.struct(F.col("from").alias("start"), F.col("start").alias("end")))).otherwise(F.array().cast(_INTERVALS))
+    ancestors = F.concat("ancestors", own)
     return out.select(
-        "tree_id", "node_id", F.element_at("path", F.when(F.size("path") > 1, -2)).alias("parent_id"), (F.size("path") - 1).alias("depth"), "role",
+        "tree_id", "node_id", "parent_id", F.col("step").alias("depth"), "role",
         F.concat("head", "body", "tail").alias("text"), F.length("head").alias("body_start"), F.length("body").alias("body_length"), "tokens", "body_tokens",
         (F.col("role") == LEARNT).alias("learn"), "start", "n_tokens", F.aggregate(ancestors, F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"]).alias("position"), ancestors.alias("ancestors")), members
 
