@@ -211,3 +211,61 @@ def test_retrieval_with_feedback_against_a_plain_loop(spark):
     table = spark.createDataFrame(faces, "face_id long, video int, frame_num int, quality double, enc array<double>")
     got = V.retrieve_with_feedback(table, spark.createDataFrame(centers, "cluster_id int, center array<double>"), n=2, threshold=0.4, video=F.col("video")).collect()
     assert {(r.face_id, r.cluster_id): r.adjusted for r in got} == pytest.approx(want) and len(got) == len(want) > 50
+
+
+def test_rerank_with_history_against_a_plain_loop(spark):
+    import random
+    from collections import deque
+
+    rng = random.Random(8)
+    unit = lambda: (lambda v: [x / math.sqrt(sum(y * y for y in v)) for x in v])([rng.gauss(0.6, 0.5) for _ in range(4)])
+    faces = [(i, i % 3 if i % 11 else None, rng.choice([i // 3, 60 - i // 3]), unit()) for i in range(200)]
+    centers = [(c, unit()) for c in range(6)]
+    want, turned = {}, 0
+    for v in (None, 0, 1, 2):
+        history = deque(maxlen=4)
+        for i, _, f, e in sorted((r for r in faces if r[1] == v), key=lambda r: (r[2], r[0])):
+            sims = {k: sum(x * y for x, y in zip(e, c)) for k, c in centers}
+            best = max(sims, key=lambda k: (sims[k], -k))
+            match, s = (best if sims[best] > 0.5 else -1), sims[best]
+            votes = {}
+            for m, x in history:
+                if m >= 0:
+                    votes.setdefault(m, []).append(x)
+            top = next((m for m in votes if len(votes[m]) == max(map(len, votes.values()))), -1)
+            if s > 0.4 and top >= 0 and len(votes[top]) >= 2 and top != match and sims[top] > 0.8 * s:
+                adjusted = 0.5 * sims[top] + 0.5 * sum(votes[top]) / len(votes[top])
+                if adjusted > s:
+                    match, s, turned = top, adjusted, turned + 1
+            history.append((match, s))
+            want[i] = (match, s)
+    table = spark.createDataFrame(faces, "face_id long, place int, frame_num int, enc array<double>")
+    got = V.rerank_with_history(table, spark.createDataFrame(centers, "cluster_id int, center array<double>"), F.col("place"), threshold=0.5, weight=0.5, size=4).collect()
+    assert turned > 5 and len(got) == 200
+    assert {r.face_id: r.match_idx for r in got} == {i: m for i, (m, _) in want.items()}
+    assert {r.face_id: r.similarity for r in got} == pytest.approx({i: s for i, (_, s) in want.items()})
+
+
+def test_safe_merges_leave_unsafe_ones_their_place(spark):
+    from vistaloom.operators.clusters import merge_small_into_large_safely
+
+    unit = lambda a: [math.cos(a), math.sin(a)]
+    rows = [(0, unit(0.01 * i)) for i in range(10)]
+    rows += [(1, unit(x)) for x in (0.04, 0.06)] + [(2, unit(x)) for x in (-0.7, 0.8)] + [(3, unit(0.85))] + [(4, unit(2.0))]
+    members = spark.createDataFrame([(i, c, 0, e) for i, (c, e) in enumerate(rows)], "face_id long, cluster_id int, frame_num int, enc array<double>")
+    plain = V.merge_small_into_large(members, large=10, small=3, threshold=0.6, cap=2)
+    assert sorted((r.cluster_i, r.cluster_j) for r in plain.collect()) == [(0, 1), (0, 2)]  # 2 points both ways: its centre is near, its members are not
+    safe = merge_small_into_large_safely(members, large=10, small=3, threshold=0.6, cap=2)
+    assert sorted((r.cluster_i, r.cluster_j) for r in safe.collect()) == [(0, 1), (0, 3)]
+
+
+def test_overlapping_clusters_merge_by_their_first_members(spark):
+    from vistaloom.operators.clusters import merge_overlapping
+
+    unit = lambda a: [math.cos(a), math.sin(a)]
+    rows = [(c, f, unit(a)) for c, a in ((1, 0.0), (2, 0.3), (3, 0.6), (5, 3.0)) for f in range(1, 8)]
+    rows += [(4, f, unit(0.6)) for f in range(20, 28)]  # as near as 3, but in other frames
+    rows += [(6, f, unit(0.1 + (2.0 if f <= 5 else -0.5))) for f in range(1, 30)]  # its first members are far from its centre
+    members = spark.createDataFrame([(i, c, f, e) for i, (c, f, e) in enumerate(rows)], "face_id long, cluster_id int, frame_num int, enc array<double>")
+    got = {r.cluster_id: r.merged_id for r in merge_overlapping(members, 0.9).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6}

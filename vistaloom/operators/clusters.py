@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vistaloom.functions.vectors import dot
-from vistaloom.operators.vectors import inter_cluster_similarity
+from vistaloom.operators import graph
+from vistaloom.operators.vectors import capped_offers, inter_cluster_similarity, overlap_candidates, small_to_large_offers
 
 
 def _sums(members: DataFrame, key: str, parts: dict[str, Column]) -> DataFrame:
@@ -48,6 +49,28 @@ def merge_safety(members: DataFrame, pairs: DataFrame, threshold: float = 0.35,
     return both.select("cluster_i", "cluster_j", "c_small", "c_union", "cross", (~bad).alias("safe"))
 
 
+def merge_small_into_large_safely(members: DataFrame, large: int = 50, small: int = 15, threshold: float = 0.4, cap: int = 10) -> DataFrame:
+    """cluster_i (large), cluster_j (small), similarity, faces_added: the safe ones among the offers, `cap` a target by similarity.
+
+    A small cluster whose best target isn't safe joins none, and takes no place of the cap.
+    """
+    offers = small_to_large_offers(members, large, small, threshold)
+    safe = merge_safety(members, offers, threshold).where("safe").select("cluster_i", "cluster_j")
+    return capped_offers(offers.join(safe, ["cluster_i", "cluster_j"]), cap)
+
+
+def merge_overlapping(members: DataFrame, threshold: float = 0.8, first: int = 5) -> DataFrame:
+    """cluster_id, merged_id (the smallest id of what it merges with): clusters that overlap in time and whose centres are more similar than threshold
+    merge, directly or by way of others, if the mean product of the first members of both (`first` by face_id) exceeds it too."""
+    ranked = members.withColumn("r", F.row_number().over(Window.partitionBy("cluster_id").orderBy("face_id"))).where(F.col("r") <= first)
+    sums = _sums(ranked, "cluster_id", {"first": F.lit(True)})
+    side = lambda x: sums.select(F.col("cluster_id").alias(f"cluster_{x}"), F.col("first_n").alias(f"n_{x}"), F.col("first_s").alias(f"s_{x}"))
+    met = overlap_candidates(members, threshold).select("cluster_i", "cluster_j").join(side("i"), "cluster_i").join(side("j"), "cluster_j")
+    links = met.where(dot("s_i", "s_j") / (F.col("n_i") * F.col("n_j")) > threshold).select(F.col("cluster_i").alias("src"), F.col("cluster_j").alias("dst"))
+    merged = graph.components(members.select(F.col("cluster_id").alias("node")).distinct(), links)
+    return merged.select(F.col("node").alias("cluster_id"), F.col("component").alias("merged_id"))
+
+
 def merge_scores(members: DataFrame, small: int = 50, threshold: float = 0.45) -> DataFrame:
     """cluster_i, cluster_j (under `small` faces), score: 0.4 centroid + 0.3 best pair + 0.3 mean pair, above threshold; the best target of each."""
     pairs = inter_cluster_similarity(members)

@@ -7,7 +7,7 @@ one matrix product. The work is quadratic by definition; memory in a task is two
 from __future__ import annotations
 
 import math
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -149,6 +149,51 @@ def intra_cluster_consistency(members: DataFrame, sample: int = 20) -> DataFrame
     return whole.select("cluster_id", "n", value.alias("consistency"))
 
 
+def _history(floor: float, weight: float, size: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        position, recent = object(), deque(maxlen=size)
+        for batch in batches:
+            matches, similarities = [], []
+            for row in batch.to_pylist():
+                if row["position"] != position:
+                    position, recent = row["position"], deque(maxlen=size)
+                match, s = row["match_idx"], row["similarity"]
+                counts = Counter(m for m, _ in recent if m >= 0)
+                top, votes = max(counts.items(), key=lambda x: x[1], default=(-1, 0))  # ties to the one that came first
+                now = next((x["similarity"] for x in row["near"] if x["cluster_id"] == top), None)
+                if s > floor and votes >= 2 and top != match and now is not None:
+                    adjusted = (1 - weight) * now + weight * sum(x for m, x in recent if m == top) / votes
+                    if adjusted > s:
+                        match, s = top, adjusted
+                recent.append((match, s))
+                matches.append(match)
+                similarities.append(s)
+            yield pa.record_batch([batch.column("position"), batch.column("face_id"), pa.array(matches, pa.int32()), pa.array(similarities, pa.float64())], ["position", "face_id", "match_idx", "similarity"])
+
+    return run
+
+
+def rerank_with_history(faces: DataFrame, centers: DataFrame, position: Column, threshold: float = 0.65, floor: float = 0.4, share: float = 0.8, weight: float = 0.25, size: int = 10) -> DataFrame:
+    """position, face_id, match_idx, similarity: the best centre of each face, or the usual one of its position where that is nearly as similar.
+
+    The best centre counts from `threshold` on (else -1, with its similarity). A position's faces come in the order of frame_num, face_id, and the last
+    `size` decisions are its history. Where the similarity exceeds `floor`, and the centre most often in the history (twice at least, ties to the earliest)
+    isn't the best one but has more than `share` of its similarity, that centre is taken if (1 - weight) * similarity + weight * its mean in the
+    history exceeds the best. Decisions, not similarities as measured, go into the history. A position's faces pass one task in order, as
+    each depends on those before; what is kept of them is the history. A null position is one of its own. Without centres there are no rows.
+    """
+    pairs = faces.select("face_id", "frame_num", "enc", position.alias("position")).join(_small(centers.select("cluster_id", "center")), F.lit(True))
+    each = pairs.select("position", "frame_num", "face_id", F.col("cluster_id").cast("int").alias("cluster_id"), dot("enc", "center").alias("similarity"))
+    near = each.groupBy("position", "frame_num", "face_id").agg(F.collect_list(F.struct("cluster_id", "similarity")).alias("near"), F.max(F.struct("similarity", (-F.col("cluster_id")).alias("c"))).alias("b"))
+    best = F.col("b.similarity")
+    rows = near.select(
+        "position", "frame_num", "face_id", F.when(best > threshold, -F.col("b.c")).otherwise(-1).alias("match_idx"), best.alias("similarity"),
+        F.filter("near", lambda x: x["similarity"] > share * best).alias("near"))
+    dealt = rows.repartition("position").sortWithinPartitions("position", "frame_num", "face_id")
+    schema = T.StructType([dealt.schema["position"], dealt.schema["face_id"], T.StructField("match_idx", T.IntegerType()), T.StructField("similarity", T.DoubleType())])
+    return dealt.mapInArrow(_history(floor, weight, size), schema)
+
+
 def representatives(members: DataFrame, centers: DataFrame) -> DataFrame:
     """cluster_id, face_id, score: the member with the highest 0.4 * centrality + 0.6 * quality (ties to the lower id)."""
     scored = members.join(_small(centers.select("cluster_id", "center")), "cluster_id").select("cluster_id", (-F.col("face_id")).alias("f"), (0.4 * dot("enc", "center") + 0.6 * F.col("quality")).alias("score"))
@@ -173,8 +218,8 @@ def overlap_candidates(members: DataFrame, threshold: float) -> DataFrame:
     return pairs.where((similarity > threshold) & (shorter > 0) & (shared >= 0.2 * shorter)).select(F.col("cluster_id_i").alias("cluster_i"), F.col("cluster_id_j").alias("cluster_j"), similarity.alias("similarity"))
 
 
-def merge_small_into_large(members: DataFrame, large: int = 50, small: int = 15, threshold: float = 0.35, cap: int = 5) -> DataFrame:
-    """cluster_i (large), cluster_j (small), similarity, faces_added: each small cluster proposes its best large one; a target takes `cap` by similarity.
+def small_to_large_offers(members: DataFrame, large: int = 50, small: int = 15, threshold: float = 0.35) -> DataFrame:
+    """cluster_i (large), cluster_j (small), similarity, faces_added: each small cluster proposes its best large one.
 
     The best must pass centroid > t, max > t + 0.05 and mean > t - 0.1; its score is min(centroid, max, mean + 0.1).
     """
@@ -185,11 +230,20 @@ def merge_small_into_large(members: DataFrame, large: int = 50, small: int = 15,
     fit = sized.where((F.col("ni") >= large) & (F.col("nj") <= small) & (F.col("centroid_sim") > threshold) & (F.col("max_sim") > threshold + 0.05) & (F.col("mean_sim") > threshold - 0.1))
     score = F.least("centroid_sim", "max_sim", F.col("mean_sim") + 0.1)
     best = fit.groupBy("cluster_j").agg(F.max(F.struct(score.alias("s"), (-F.col("cluster_i")).alias("i"), "nj")).alias("b"))
-    offers = best.select((-F.col("b.i")).alias("cluster_i"), "cluster_j", F.col("b.s").alias("similarity"), F.col("b.nj").alias("faces_added"))
+    return best.select((-F.col("b.i")).alias("cluster_i"), "cluster_j", F.col("b.s").alias("similarity"), F.col("b.nj").alias("faces_added"))
+
+
+def capped_offers(offers: DataFrame, cap: int) -> DataFrame:
+    """The `cap` most similar offers to each cluster_i (ties to the lower cluster_j)."""
     rank = F.row_number().over(Window.partitionBy("cluster_i").orderBy(F.desc("similarity"), "cluster_j"))
     return offers.withColumn("_r", rank).where(F.col("_r") <= cap).drop("_r")
 
 
+def merge_small_into_large(members: DataFrame, large: int = 50, small: int = 15, threshold: float = 0.35, cap: int = 5) -> DataFrame:
+    """The offers of small_to_large_offers that their targets take: `cap` each, without safety checks."""
+    return capped_offers(small_to_large_offers(members, large, small, threshold), cap)
+
+
 def track_pairs(faces: DataFrame, threshold: float = 0.6) -> DataFrame:
     """Each face with its most similar face of the frame before (the previous one that has faces), if above threshold."""
     frames = faces.groupBy("frame_num").agg(F.count("*").alias("n"))

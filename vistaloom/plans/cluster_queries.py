@@ -8,6 +8,7 @@ from vistaloom.functions import frames as R
 from vistaloom.operators import clusters as C
 from vistaloom.operators import rules as U
 from vistaloom.operators import vectors as V
+from vistaloom.plans.vector_queries import ORACLE as _OF_VECTORS
 from vistaloom.plans.vector_queries import _C, _PAIRS, _round
 from vistaloom.sources.tables import FACES, OBSERVATIONS, SUBTITLES, faces, observations, subtitles
 
@@ -65,6 +66,8 @@ QUERIES = {
     "previous_track": _tracks,
     "cluster_method_choice": lambda s, d: C.choose_method(_sizes(s, d)),
     "merge_safety": lambda s, d: _round(C.merge_safety(faces(s, d), _all_pairs(s, d), threshold=-0.01), "c_small", "c_union", "cross"),
+    "safe_small_to_large_merge": lambda s, d: _round(C.merge_small_into_large_safely(faces(s, d), large=50, small=70, threshold=-0.02, cap=2), "similarity"),
+    "overlap_merge": lambda s, d: C.merge_overlapping(faces(s, d), 0.01),
     "mouth_aspect_ratio": lambda s, d: _round(_mouths(s, d), "mar"),
     "intelligent_merge": lambda s, d: _round(C.merge_scores(faces(s, d), 60, 0.0), "score"),
     "center_pages": lambda s, d: C.pages(V.frame_ranges(faces(s, d)), "cluster_id", 4).select("cluster_id", "n", "page"),
@@ -96,6 +99,20 @@ k AS (SELECT a.i, a.j, avg(list_dot_product(a.enc, b.enc)) AS c FROM u a JOIN u
 x AS (SELECT i, j, avg(list_dot_product(a.enc, b.enc)) AS x FROM p JOIN f a ON a.cluster_id = i JOIN f b ON b.cluster_id = j WHERE ni > 1 AND nj > 1 GROUP BY 1, 2)
 SELECT p.i AS cluster_i, p.j AS cluster_j, round(coalesce(b.c, 1), 6) AS c_small, round(k.c, 6) AS c_union, round(x, 6) AS "cross", NOT ((nj < 0.03 * ni AND nj < 3) OR coalesce(b.c, 1) < -0.01 OR coalesce(a.h, 1) - k.c > 0.08 OR coalesce(x < -0.06, false)) AS safe
 FROM p JOIN k USING (i, j) LEFT JOIN x USING (i, j) LEFT JOIN s a ON a.cluster_id = p.i LEFT JOIN s b ON b.cluster_id = p.j""",
+    "overlap_merge": f"""WITH RECURSIVE o AS (SELECT * FROM ({_OF_VECTORS["cluster_overlap_candidates"]}) WHERE similarity > 0.01), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY face_id) AS r FROM {FACES}) WHERE r <= 5),
+e AS (SELECT cluster_i, cluster_j FROM o JOIN f a ON a.cluster_id = cluster_i JOIN f b ON b.cluster_id = cluster_j GROUP BY 1, 2 HAVING avg(list_dot_product(a.enc, b.enc)) > 0.01),
+a AS (SELECT cluster_i AS src, cluster_j AS dst FROM e UNION ALL SELECT cluster_j, cluster_i FROM e), r AS (SELECT cluster_id AS node, cluster_id AS far FROM {FACES} UNION SELECT r.node, a.dst FROM r JOIN a ON a.src = r.far)
+SELECT node AS cluster_id, min(far) AS merged_id FROM r GROUP BY 1""",
+    "safe_small_to_large_merge": f"""WITH {_C}, x AS (SELECT least(ca, cb) AS i, greatest(ca, cb) AS j, max(s) AS m FROM {_PAIRS} WHERE ca <> cb GROUP BY 1, 2),
+q AS (SELECT a.cluster_id AS i, b.cluster_id AS j, a.n AS ni, b.n AS nj, list_dot_product(a.center, b.center) AS cs, list_dot_product(a.mean, b.mean) AS ms, greatest(coalesce(m, 0), 0) AS mx FROM c a JOIN c b ON a.cluster_id <> b.cluster_id AND a.n >= 50 AND b.n <= 70 LEFT JOIN x ON x.i = least(a.cluster_id, b.cluster_id) AND x.j = greatest(a.cluster_id, b.cluster_id)),
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY j ORDER BY s DESC, i) AS r FROM (SELECT *, least(cs, mx, ms + 0.1) AS s FROM q WHERE cs > -0.02 AND mx > 0.03 AND ms > -0.12)) WHERE r = 1),
+f AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY face_id) AS r FROM {FACES}),
+own AS (SELECT a.cluster_id, avg(list_dot_product(a.enc, b.enc)) AS c, avg(list_dot_product(a.enc, b.enc)) FILTER (b.r <= 30) AS h FROM f a JOIN f b ON a.cluster_id = b.cluster_id AND a.r < b.r GROUP BY 1),
+u AS (SELECT i, j, 1 AS x, r, enc FROM (SELECT i, j FROM o) JOIN f ON f.cluster_id = i AND r <= 20 UNION ALL SELECT i, j, 2, r, enc FROM (SELECT i, j FROM o) JOIN f ON f.cluster_id = j),
+k AS (SELECT a.i, a.j, avg(list_dot_product(a.enc, b.enc)) AS c FROM u a JOIN u b ON a.i = b.i AND a.j = b.j AND (a.x < b.x OR (a.x = b.x AND a.r < b.r)) GROUP BY 1, 2),
+y AS (SELECT i, j, avg(list_dot_product(a.enc, b.enc)) AS y FROM o JOIN f a ON a.cluster_id = i JOIN f b ON b.cluster_id = j WHERE ni > 1 AND nj > 1 GROUP BY 1, 2),
+safe AS (SELECT o.* FROM o JOIN k USING (i, j) LEFT JOIN y USING (i, j) LEFT JOIN own a ON a.cluster_id = o.i LEFT JOIN own b ON b.cluster_id = o.j WHERE NOT ((nj < 0.03 * ni AND nj < 3) OR coalesce(b.c, 1) < -0.02 OR coalesce(a.h, 1) - k.c > 0.08 OR coalesce(y < -0.07, false)))
+SELECT i AS cluster_i, j AS cluster_j, round(s, 6) AS similarity, nj AS faces_added FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY s DESC, j) AS t FROM safe) WHERE t <= 2""",
     "mouth_aspect_ratio": "SELECT event_id, round(CASE WHEN w < 1 THEN 0 ELSE (abs(e * 16 % 60 - e * 10 % 60) + abs(e * 17 % 60 - e * 9 % 60) + abs(e * 15 % 60 - e * 11 % 60)) / 3.0::DOUBLE / w END + 1e-9, 6) AS mar FROM (SELECT event_id, event_id AS e, abs(event_id * 9 % 50 - event_id * 3 % 50) AS w FROM events)",
     "intelligent_merge": f"WITH {_C}, x AS (SELECT least(ca, cb) AS i, greatest(ca, cb) AS j, max(s) AS m FROM {_PAIRS} WHERE ca <> cb GROUP BY 1, 2), q AS (SELECT a.cluster_id AS i, b.cluster_id AS j, 0.4 * list_dot_product(a.center, b.center) + 0.3 * greatest(coalesce(m, 0), 0) + 0.3 * list_dot_product(a.mean, b.mean) AS s FROM c a JOIN c b ON a.cluster_id <> b.cluster_id AND b.n < 60 LEFT JOIN x ON x.i = least(a.cluster_id, b.cluster_id) AND x.j = greatest(a.cluster_id, b.cluster_id)) SELECT i AS cluster_i, j AS cluster_j, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY j ORDER BY s DESC, i) AS r FROM q WHERE s > 0) WHERE r = 1",
     "center_pages": "SELECT label AS cluster_id, count(*) AS n, ((row_number() OVER (ORDER BY label) - 1) // 4)::INT AS page FROM embeddings GROUP BY label",

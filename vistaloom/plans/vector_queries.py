@@ -61,6 +61,7 @@ QUERIES = {
     "representative_face": lambda s, d: _round(V.representatives(f := faces(s, d), _centers(f)), "score"),
     "cluster_frame_ranges": lambda s, d: V.frame_ranges(faces(s, d)),
     "temporal_retrieval": lambda s, d: _round(V.retrieve_with_feedback(faces(s, d), V.centroids(faces(s, d), "cluster_id"), threshold=0.1).drop("video"), "adjusted", "similarity"),
+    "feedback_rerank": lambda s, d: _round(V.rerank_with_history(faces(s, d), V.centroids(faces(s, d), "cluster_id"), F.col("face_id") % 40, threshold=0.2, floor=0.1), "similarity"),
     "cluster_overlap_candidates": lambda s, d: _round(V.overlap_candidates(faces(s, d), 0.0), "similarity"),
     "small_to_large_merge": lambda s, d: _round(V.merge_small_into_large(faces(s, d), large=50, small=50, threshold=-0.2, cap=2), "similarity"),
     "track_pairs": lambda s, d: _round(V.track_pairs(faces(s, d), 0.1), "similarity"),
