@@ -71,14 +71,12 @@ def _send(hashes: np.ndarray, wanted: np.ndarray, names: np.ndarray, places: np.
     probes, bp = probes[at].astype(width), bp[at]
     at = np.argsort(bb, kind="stable")
     blocks, bb = blocks[at], bb[at]
-    edges = np.arange(buckets + 1)
-    pc, bc = np.searchsorted(bp, edges), np.searchsorted(bb, edges)
-    for x in range(buckets):
-        (a, b), (c, d) = pc[x : x + 2], bc[x : x + 2]
-        if a < b or c < d:
-            own = blocks[c:d]
-            for column, value in zip(rows, (x, probes[a:b].tobytes(), hashes[own].astype(width).tobytes(), names[own].astype("<i8").tobytes(), places[own].astype("<i4").tobytes())):
-                rows[column].append(value)
+    present = np.union1d(bp, bb)  # the chunk's own buckets: how many there are in all costs nothing here
+    cuts = (np.searchsorted(side, present, which) for side in (bp, bb) for which in ("left", "right"))
+    for x, a, b, c, d in zip(present.tolist(), *cuts):
+        own = blocks[c:d]
+        for column, value in zip(rows, (x, probes[a:b].tobytes(), hashes[own].astype(width).tobytes(), names[own].astype("<i8").tobytes(), places[own].astype("<i4").tobytes())):
+            rows[column].append(value)
     yield pa.record_batch([pa.array(rows["bucket"], pa.int32()), *(pa.array(v, pa.binary()) for v in list(rows.values())[1:])], list(rows))
 
 
