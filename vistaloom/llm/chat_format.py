@@ -62,13 +62,13 @@ def _runs(turns: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     A node is placed by one of its conversations only, so a path is made once a run: all of them together hold no more than
     twice as many heads as there are turns, since every fork on a path belongs to another conversation that is as long.
     """
-    forks = nodes.where("parent_id IS NOT NULL").groupBy("parent_id").agg(F.count("*").alias("n")).where("n > 1").select("parent_id", F.lit(True).alias("forked"))
-    flagged = nodes.select("node_id", "parent_id", "leaf").join(forks, "parent_id", "left")
-    flagged = flagged.select("node_id", F.col("leaf").alias("placed_by"), (F.col("parent_id").isNull() | F.coalesce("forked", F.lit(False))).alias("is_head"))
-    chains = saved(turns.select("leaf", "step", "node_id").distinct().join(flagged, "node_id"), "chains")
-    so_far = Window.partitionBy("leaf").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    placed = chains.withColumn("head_id", F.last(F.when(F.col("is_head"), F.col("node_id")), ignorenulls=True).over(so_far))
-    places = placed.where(F.col("leaf") == F.col("placed_by")).select("node_id", "head_id", "step")
+    forks = nodes.where("parent_id IS NOT NULL").groupBy("parent_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("parent_id").alias("node_id"), F.lit(True).alias("forked"))
+    flagged = nodes.select("node_id", F.col("leaf").alias("placed_by")).join(forks, "node_id", "left").withColumn("forked", F.coalesce("forked", F.lit(False)))
+    in_order = Window.partitionBy("leaf").orderBy("step")
+    chains = turns.select("leaf", "step", "node_id").distinct().join(flagged, "node_id").withColumn("is_head", F.coalesce(F.lag("forked").over(in_order), F.lit(True)))
+    own_head = F.last(F.when(F.col("is_head"), F.col("node_id")), ignorenulls=True).over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    chains = saved(chains.withColumn("head_id", own_head).drop("forked"), "chains")
+    places = chains.where(F.col("leaf") == F.col("placed_by")).select("node_id", "head_id", "step")
     heads = chains.where("is_head").groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("step", "node_id", "placed_by"))).alias("heads"))
     own = F.filter("heads", lambda x: x["placed_by"] == F.col("leaf"))
     # A conversation places what it doesn't share with those before it: the last ones of its heads.
