@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vistaloom.llm import chat_format, classify, decontaminate, exact_dedup, ngram_join, packing, prefix_trie, sharding, substring_dedup, tokens
+from vistaloom.llm import chat_format, classify, decontaminate, exact_dedup, language_model, ngram_join, packing, prefix_trie, sharding, substring_dedup, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,11 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = classify.remainder("doc_id", 7)
+    return language_model.score(table(spark, sf_dir, "documents"), fold != 2, fold == 2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_exact_dedup": op2_exact_dedup,
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_lm_scoring": op13_lm_scoring,
 }
 
 ORACLE: dict[str, str] = {

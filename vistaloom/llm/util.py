@@ -123,7 +123,9 @@ def maybe_in(df: DataFrame, key: str, keys: DataFrame, their_key: str) -> tuple[
 
 _U = np.uint64
 _MASK = (1 << 64) - 1
-_BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
+_WORD_BASE = 0xC2B2AE3D27D4EB4F | 1
+#: Runs of words are polynomials in the words' hashes modulo 2**64, which are safe up to this length (two words in a certain pattern of 1,024 or more collide).
+MOST_WORDS = 512
 _powers: dict[int, np.ndarray] = {}
 BLOCK = 1 << 18
 
@@ -177,16 +179,25 @@ class Words:
         self.counts = np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        """64 bits of each word. Bytes are widened to 64 bits in blocks of about BLOCK, which bounds the memory."""
+        """64 bits of each word: the sum of what each byte and its place in the word scramble to. A polynomial in the bytes would give the
+        same bits to different long words of a certain pattern. Bytes are widened in blocks of about BLOCK, which bounds the memory."""
         h = np.empty(len(self.starts), _U)
         cuts = np.flatnonzero(np.r_[True, np.diff(self.starts // BLOCK) > 0, True]) if len(h) else np.zeros(1, int)
         for a, b in zip(cuts, cuts[1:]):
             low, high = self.starts[a], self.ends[b - 1]
-            h[a:b] = _spans(self.data[low:high].astype(_U) + _U(1), _BYTE_BASE, self.starts[a:b] - low, self.ends[a:b] - low)
+            own = self.starts[a:b] - low
+            place = np.ones(high - low, np.int64)
+            place[0] = 0
+            place[own[1:]] = own[:-1] - own[1:] + 1
+            sums = np.zeros(high - low + 1, _U)
+            np.cumsum(mix((np.cumsum(place) << 8 | self.data[low:high]).view(_U), 11), out=sums[1:])
+            h[a:b] = sums[self.ends[a:b] - low] - sums[own]
         return mix(h ^ ((self.ends - self.starts).astype(_U) << _U(40)))
 
     def grams(self, k: int, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(places, 64-bit hashes) of all runs of k words inside one text; a place counts words of the batch."""
+        if k > MOST_WORDS:
+            raise ValueError(f"runs of more than {MOST_WORDS} words aren't hashed")
         h = self.hashes() if hashes is None else hashes
         last = np.repeat(self.first[1:], self.counts)
         at = np.flatnonzero(np.arange(len(h)) + k <= last)
