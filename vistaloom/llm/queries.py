@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vistaloom.llm import chat_format, classify, decontaminate, exact_dedup, language_model, ngram_join, packing, prefix_trie, sharding, substring_dedup, tokens
+from vistaloom.llm import chat_format, classify, decontaminate, exact_dedup, language_model, ngram_join, packing, prefix_trie, sharding, spelling_variants, substring_dedup, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold != 0, fold == 0)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_lm_scoring": op13_lm_scoring,
 }
@@ -88,5 +93,6 @@ ORACLE: dict[str, str] = {
     "op3_ngram_jaccard_join": ngram_join.ORACLE,
     "op6_decontaminate": decontaminate.ORACLE,
     "op8_substring_dedup": substring_dedup.ORACLE,
+    "op11_spelling_variants": spelling_variants.ORACLE,
     "op12_prefix_trie": prefix_trie.ORACLE,
 }
