@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vistaloom.functions.vectors import dot, normalised
+from vistaloom.operators import forest
 
 #: Vectors of a block.
 BLOCK = 512
@@ -81,12 +82,14 @@ def retrieve_with_feedback(faces: DataFrame, centers: DataFrame, n: int = 5, thr
     """video, face_id, frame_num, cluster_id, rank, adjusted, similarity: of each face's 2n nearest centres the n best above threshold after temporal adjustment.
 
     adjusted is (1 - weight) * similarity (0 at least) + weight * mean of the centre's last `size` values quality * similarity, 0
-    without any; only accepted faces add theirs. Faces pass in the order of frames (unknown ones, not above 0, last) and ids; a
+    without any; only accepted faces add theirs. The nearest centres come from a forest (exact up to a leaf of centres). Faces pass in the order of frames (unknown ones, not above 0, last) and ids; a
     video's (all, without one) through one task, since each decision depends on those before. The state is `size` numbers a centre.
+    The nearest centres come from a forest, which is exact for as many as a leaf holds.
     """
-    own = faces.select((F.lit(0) if video is None else video).alias("video"), "face_id", "frame_num", F.col("quality").cast("double").alias("quality"), "enc", F.lit(0).alias("cluster_id"))
-    near = ranked_centers(own, centers).where(F.col("rank") <= 2 * n)
-    rows = near.groupBy("video", "face_id", "frame_num", "quality").agg(F.array_sort(F.collect_list(F.struct("rank", "cluster_id", "similarity"))).alias("near"))
+    own = faces.select((F.lit(0) if video is None else video).alias("video"), "face_id", "frame_num", F.col("quality").cast("double").alias("quality"), "enc")
+    near = forest.nearest(own.select(F.col("face_id").alias("id"), "enc"), centers.select(F.col("cluster_id").alias("id"), F.col("center").alias("enc")), 2 * n)
+    lists = near.groupBy(F.col("query").alias("face_id")).agg(F.array_sort(F.collect_list(F.struct("rank", F.col("id").cast(centers.schema["cluster_id"].dataType).alias("cluster_id"), "similarity"))).alias("near"))
+    rows = own.select("video", "face_id", "frame_num", "quality").join(lists, "face_id")
     dealt = rows.select("video", "face_id", "frame_num", "quality", "near", F.when(F.col("frame_num") > 0, F.col("frame_num")).alias("_f")).repartition("video").sortWithinPartitions("video", F.asc_nulls_last("_f"), "face_id").drop("_f")
     types = dealt.schema
     schema = T.StructType([types["video"], types["face_id"], types["frame_num"], types["near"].dataType.elementType["cluster_id"], T.StructField("rank", T.IntegerType()), T.StructField("adjusted", T.DoubleType()), T.StructField("similarity", T.DoubleType())])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vistaloom.functions.vectors import angular_similarity, dot, verdict
-from vistaloom.operators import graph
+from vistaloom.operators import forest, graph
 from vistaloom.operators import vectors as V
 from vistaloom.sources.tables import FACES, faces
 
@@ -40,6 +40,24 @@ def knn_centers(s, d):
     return out.select("face_id", "cluster_id", "rank", F.round(angular_similarity(F.col("similarity")), 6).alias("similarity"))
 
 
+def knn_centers_by_forest(s, d):
+    f = faces(s, d)
+    near = forest.nearest(f.select(F.col("face_id").alias("id"), "enc"), _centers(f).select(F.col("cluster_id").alias("id"), F.col("center").alias("enc")), 3)
+    return near.select(F.col("query").alias("face_id"), F.col("id").alias("cluster_id"), "rank", F.round(angular_similarity(F.col("similarity")), 6).alias("similarity"))
+
+
+def nearest_faces(s, d):
+    """The 10 faces nearest to each one whose id is divisible by 50, of all faces."""
+    f = faces(s, d).select(F.col("face_id").alias("id"), "enc")
+    return forest.nearest(f.where("id % 50 = 0"), f, 10)
+
+
+def temporal_retrieval(s, d):
+    f = faces(s, d)
+    found = V.retrieve_with_feedback(f, V.centroids(f, "cluster_id"), threshold=0.1, video=F.expr("frame_num div 100"))
+    return _round(found, "adjusted", "similarity")
+
+
 def pair_verdicts(s, d):
     pairs = V.similar_pairs(faces(s, d), T)
     return pairs.groupBy(verdict(F.col("similarity")).alias("verdict")).agg(F.count("*").alias("n"))
@@ -60,7 +78,9 @@ QUERIES = {
     "intra_cluster_consistency": lambda s, d: _round(V.intra_cluster_consistency(faces(s, d)), "consistency"),
     "representative_face": lambda s, d: _round(V.representatives(f := faces(s, d), _centers(f)), "score"),
     "cluster_frame_ranges": lambda s, d: V.frame_ranges(faces(s, d)),
-    "temporal_retrieval": lambda s, d: _round(V.retrieve_with_feedback(faces(s, d), V.centroids(faces(s, d), "cluster_id"), threshold=0.1).drop("video"), "adjusted", "similarity"),
+    "temporal_retrieval": temporal_retrieval,
+    "knn_centers_by_forest": knn_centers_by_forest,
+    "nearest_faces_by_forest": nearest_faces,
     "feedback_rerank": lambda s, d: _round(V.rerank_with_history(faces(s, d), V.centroids(faces(s, d), "cluster_id"), F.col("face_id") % 40, threshold=0.2, floor=0.1), "similarity"),
     "cluster_overlap_candidates": lambda s, d: _round(V.overlap_candidates(faces(s, d), 0.0), "similarity"),
     "small_to_large_merge": lambda s, d: _round(V.merge_small_into_large(faces(s, d), large=50, small=50, threshold=-0.2, cap=2), "similarity"),
@@ -97,3 +117,4 @@ ORACLE = {
     "label_propagation_3_rounds": f"WITH e AS (SELECT * FROM {_EDGES}), arcs AS (SELECT src, dst, weight FROM e UNION ALL SELECT dst, src, weight FROM e), l0 AS (SELECT face_id AS node, quality, face_id AS label FROM {FACES}), " + ", ".join(_ROUND.format(n=n, p=n - 1) for n in (1, 2, 3)) + " SELECT node, label FROM l3",
     "merge_components": f"WITH RECURSIVE e AS (SELECT src, dst FROM {_PAIRS} WHERE s >= 0.38), a AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e), r AS (SELECT face_id AS node, face_id AS far FROM {FACES} UNION SELECT r.node, a.dst FROM r JOIN a ON a.src = r.far) SELECT node, min(far) AS component FROM r GROUP BY 1",
 }
+ORACLE["knn_centers_by_forest"] = ORACLE["knn_centers_angular"]
