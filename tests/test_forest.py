@@ -26,7 +26,7 @@ def test_recall_on_the_given_faces(spark, fit, looked_at):
 
 def test_copies_ties_and_few_items(spark):
     rng = np.random.default_rng(2)
-    rows = [(i, rng.normal(size=6).round(3).tolist()) for i in range(20)] + [(100 + i, [1.0, 0, 0, 0, 0, 0]) for i in range(90)]
+    rows = [(i, rng.normal(size=6).round(3).tolist()) for i in range(20)] + [(100 + i, [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]) for i in range(90)]
     table = spark.createDataFrame(rows, "id long, enc array<double>")
     got = forest.nearest(table, table, 4, looked_at=10_000).collect()
     want = exact(rows, rows, 4)

@@ -10,13 +10,13 @@ carried along is a = 0 where there is a new one.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,8 +67,8 @@ def _compose(a: np.ndarray, b: np.ndarray, new: np.ndarray) -> None:
         step *= 2
 
 
-def _local(keys: list[str], pairs: list[tuple[str, str]], kind: str):
-    """Adds to sorted rows, for each (a, b), the map since the partition's first row of the key, whether that key began before, and the place."""
+def _local(keys: list[str], names: list[str], kind: str, held: bool):
+    """Adds to sorted rows the maps since the partition's first row of the key, what they give from nothing (if held), whether that key began before, and the place."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, state, part, at, head = None, None, TaskContext.get().partitionId(), 0, True
@@ -80,49 +80,76 @@ def _local(keys: list[str], pairs: list[tuple[str, str]], kind: str):
             changed = begins.copy()
             changed[0] &= last is not None
             heads = head & (np.cumsum(changed) == 0)
-            a, b = (np.stack([batch.column(p[i]).to_numpy(zero_copy_only=False).astype(kind) for p in pairs], axis=1) for i in (0, 1))
+            take = lambda x: np.stack([batch.column(f"_s{i}{x}").to_numpy(zero_copy_only=False).astype(kind) for i in range(len(names))], axis=1)
+            a, b = take("a"), take("b")
+            on = np.cumsum(begins) == 0
+            fresh = np.full_like(b, np.nan if held else 0)
+            if held:
+                # The first value that is there counts as it is, and the steps go on from it.
+                first = take("f")
+                run_at = np.maximum.accumulate(np.where(begins, np.arange(n), 0))
+                for i in range(len(names)):
+                    some = ~np.isnan(first[:, i])
+                    seen = np.cumsum(some)
+                    before = seen - some - (seen - some)[run_at]
+                    c, d = a[:, i : i + 1].copy(), b[:, i : i + 1].copy()
+                    start = some & (before == 0)
+                    c[start], d[start, 0] = 0, first[start, i]
+                    _compose(c, d, begins)
+                    fresh[:, i] = np.where(before + some > 0, d[:, 0], np.nan)
             _compose(a, b, begins)
-            if state is not None and not begins[0]:
-                on = np.cumsum(begins) == 0
+            if state is not None and on.any():
+                if held:
+                    known = ~np.isnan(state[2])
+                    fresh[np.ix_(on, known)] = a[np.ix_(on, known)] * state[2][known] + b[np.ix_(on, known)]
                 b[on] += a[on] * state[1]
                 a[on] *= state[0]
-            last, state, head = last_now, (a[-1].copy(), b[-1].copy()), bool(heads[-1])
+            last, state, head = last_now, (a[-1].copy(), b[-1].copy(), fresh[-1].copy()), bool(heads[-1])
             added = [pa.array(part + np.zeros(n, np.int32)), pa.array(at + np.arange(n)), pa.array(heads)]
-            added += [pa.array(np.ascontiguousarray(x[:, i])) for i in range(len(pairs)) for x in (a, b)]
+            added += [pa.array(np.ascontiguousarray(x[:, i]), from_pandas=held) for i in range(len(names)) for x in (a, b, fresh)]
             at += n
-            yield pa.record_batch([*batch.columns, *added], [*batch.schema.names, "_part", "_at", "_head", *(f"_{x}{i}" for i in range(len(pairs)) for x in "ab")])
+            yield pa.record_batch([*batch.columns, *added], [*batch.schema.names, "_part", "_at", "_head", *(f"_{x}{i}" for i in range(len(names)) for x in "abf")])
 
     return run
 
 
-def affine(rows: DataFrame, keys: list[str], order: list[str | Column], steps: dict[str, tuple[Column, Column]], whole: bool = False) -> DataFrame:
-    """rows with, for each name of steps (a, b), its value after the row: a * (value of the key's row before, 0 ahead of the first) + b.
+def affine(rows: DataFrame, keys: list[str], order: list[str | Column], steps: dict[str, tuple[Column, ...]], whole: bool = False) -> DataFrame:
+    """rows with, for each name of steps (a, b) or (a, b, first), its value after the row: a * (value of the key's row before) + b.
 
-    Values are doubles, or with `whole` longs, whose sums wrap around. Rows of a key come in the given order, nulls first; equal ones in any.
-    Steps must not be null. A null key is a key. An empty table gives an empty result.
+    Ahead of a key's first row the value is 0. With `first` (for all names or none) there is none: it stays null until a row's `first` isn't null, which then
+    is the value itself. Values are doubles, or with `whole` longs, whose sums wrap around. Rows of a key come in the given order, nulls first; equal ones in any.
+    a and b must not be null. A null key is a key. An empty table gives an empty result.
     """
     kind, sql = ("i8", T.LongType()) if whole else ("f8", T.DoubleType())
-    names = list(steps)
-    own = rows.withColumns({f"_s{i}{x}": c.cast(sql) for i, n in enumerate(names) for x, c in zip("ab", steps[n])})
+    names, held = list(steps), len(next(iter(steps.values()))) == 3
+    own = rows.withColumns({f"_s{i}{x}": c.cast(sql) for i, n in enumerate(names) for x, c in zip("abf", steps[n])})
     sorted_rows = ordered(own, keys, order)
-    added = [("_part", T.IntegerType()), ("_at", T.LongType()), ("_head", T.BooleanType()), *((f"_{x}{i}", sql) for i in range(len(names)) for x in "ab")]
+    added = [("_part", T.IntegerType()), ("_at", T.LongType()), ("_head", T.BooleanType()), *((f"_{x}{i}", sql) for i in range(len(names)) for x in "abf")]
     schema = T.StructType([*sorted_rows.schema.fields, *(T.StructField(n, t) for n, t in added)])
-    local = written(sorted_rows.mapInArrow(_local(keys, [(f"_s{i}a", f"_s{i}b") for i in range(len(names))], kind), schema), "scan")
-    values = [f"_{x}{i}" for i in range(len(names)) for x in "ab"]
+    local = written(sorted_rows.mapInArrow(_local(keys, names, kind, held), schema), "scan")
+    values = [f"_{x}{i}" for i in range(len(names)) for x in "abf"]
     ends = local.groupBy("_part").agg(
         F.min_by(F.struct(*keys), "_at").alias("first"), F.max_by(F.struct(*keys), "_at").alias("last"), F.max_by(F.struct(*values), "_at").alias("to"), F.bool_and("_head").alias("single"))
+    nothing = None if held else 0
     carry, before, state = [], None, None
     for row in sorted(ends.collect(), key=lambda r: r["_part"]):  # a row for each partition
         goes_on = before is not None and tuple(before) == tuple(row["first"])
         if goes_on:
             carry.append((row["_part"], *state))
-        start = state if goes_on and row["single"] else [0] * len(names)
-        state = [_wrapped(row["to"][f"_a{i}"] * start[i] + row["to"][f"_b{i}"], whole) for i in range(len(names))]
+        start = state if goes_on and row["single"] else [nothing] * len(names)
+        to = row["to"]
+        state = [to[f"_f{i}"] if start[i] is None else _wrapped(to[f"_a{i}"] * start[i] + to[f"_b{i}"], whole) for i in range(len(names))]
         before = row["last"]
     found = ", ".join(f"_c{i} {'long' if whole else 'double'}" for i in range(len(names)))
     handed = F.broadcast(rows.sparkSession.createDataFrame(carry, f"_part int, {found}"))
     out = local.join(handed, "_part", "left")
-    after = {n: _sum(F.col(f"_b{i}"), F.when(F.col("_head") & F.col(f"_c{i}").isNotNull(), F.col(f"_a{i}") * F.col(f"_c{i}")).otherwise(F.lit(0).cast(sql)), whole) for i, n in enumerate(names)}
+    after = {}
+    for i, n in enumerate(names):
+        given = F.col("_head") & F.col(f"_c{i}").isNotNull()
+        if held:
+            after[n] = F.when(given, F.col(f"_a{i}") * F.col(f"_c{i}") + F.col(f"_b{i}")).otherwise(F.col(f"_f{i}"))
+        else:
+            after[n] = _sum(F.col(f"_b{i}"), F.when(given, F.col(f"_a{i}") * F.col(f"_c{i}")).otherwise(F.lit(0).cast(sql)), whole)
     return out.withColumns(after).select(*(f"`{c}`" for c in rows.columns if c not in names), *names)
 
 
@@ -152,3 +179,16 @@ def numbered(rows: DataFrame, order: list[str | Column], name: str) -> DataFrame
     ahead = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
     at = F.col("_id").bitwiseAND((1 << 33) - 1)
     return own.withColumn("_part", part).join(F.broadcast(ahead), "_part").select(*(f"`{c}`" for c in rows.columns), (F.col("_ahead") + at).alias(name))
+
+
+def sliding(rows: DataFrame, keys: list[str], order: list[str], reach: int, values: dict[str, Callable[[WindowSpec], Column]], block: int = 4096) -> DataFrame:
+    """rows with values over windows of a key's last `reach` rows and the row itself; values make a column of the window they are given.
+
+    A key's rows are cut into blocks, each of which gets the last `reach` rows ahead of it as well, so no task sorts a whole key.
+    """
+    placed = running_sums(rows, keys, order, {"_place": F.lit(1)}).withColumn("_place", F.col("_place") - 1)
+    own = F.expr(f"_place div {block}")
+    lent = F.when(F.col("_place") % block >= block - reach, F.array(own, own + 1)).otherwise(F.array(own))
+    dealt = placed.withColumn("_own", own).withColumn("_block", F.explode(lent))
+    window = Window.partitionBy(*keys, "_block").orderBy("_place").rowsBetween(-reach, 0)
+    return dealt.withColumns({n: make(window) for n, make in values.items()}).where("_own = _block").drop("_own", "_block", "_place")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vistaloom.operators.intervals import points_in_intervals
+
 from vistaloom.functions.texts import dialogue_parts, effective_length, format_time, parse_time
 
 
@@ -59,6 +61,6 @@ def context_or_dialogue(subs: DataFrame, short_ms: int = 1000, stay_ms: int = 50
 def shown_at(moments: DataFrame, subs: DataFrame) -> DataFrame:
     """moments (video, t_ms) -> video, t_ms, idx, status of what is shown: all context notes, and the first standard subtitle."""
     known = context_or_dialogue(subs).select("video", "idx", "start_ms", "end_ms", "status")
-    hits = moments.join(known, "video").where(F.col("t_ms").between(F.col("start_ms"), F.col("end_ms")))
+    hits = points_in_intervals(moments, known, ["video"], "t_ms", "start_ms", "end_ms")
     first = F.row_number().over(Window.partitionBy("video", "t_ms", "status").orderBy("start_ms", "idx"))
     return hits.withColumn("_r", first).where((F.col("status") == "context_note") | (F.col("_r") == 1)).select("video", "t_ms", "idx", "status")

@@ -1,7 +1,7 @@
 """Ordered operators over observations of tracks: votes, smoothing, speech segments, intervals, nearest in time.
 
-Everything is partitioned by track. Where a later row depends on earlier decisions, a track's rows are folded in order with
-aggregate() over a sorted array; windows do the rest.
+Smoothing and sliding means are scans over ranges of rows, so a long track is many tasks' work. Where a later row depends on
+earlier decisions, a track's rows are folded in order with aggregate() over a sorted array; windows by track do the rest.
 """
 
 from __future__ import annotations
@@ -10,6 +10,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vistaloom.operators.intervals import means_around, points_in_intervals
+from vistaloom.operators.scan import affine, sliding
+
 ORDER = ["ts", "event_id"]
 
 
@@ -41,16 +44,23 @@ def _folded(rows: DataFrame, columns: list[str], start: Column, step, result: st
     return held.select("track", F.explode(F.arrays_zip(F.col("rows.event_id").alias("event_id"), folded["outs"].alias(result))).alias("x")).select("track", "x.*")
 
 
+def _smoothed(value: Column, alpha: float) -> tuple[Column, Column, Column]:
+    """The step of exponential smoothing: the first value as it is, then alpha * value + (1 - alpha) * last; a null holds the last."""
+    none = value.isNull()
+    return F.when(none, 1.0).otherwise(round(1 - alpha, 12)), F.when(none, 0.0).otherwise(alpha * value), value
+
+
 def ema(rows: DataFrame, alpha: float = 0.3, value: str = "value") -> DataFrame:
     """track, event_id, smooth: alpha * value + (1 - alpha) * last, from the first value on; a null holds the last."""
-    rest = round(1 - alpha, 12)
-    start = F.struct(F.lit(None).cast("double").alias("s"), F.array().cast("array<double>").alias("outs"))
+    return affine(rows, ["track"], ORDER, {"smooth": _smoothed(F.col(value), alpha)}).select("track", "event_id", "smooth")
 
-    def step(state, row):
-        now = F.when(state["s"].isNull(), row[value]).when(row[value].isNull(), state["s"]).otherwise(alpha * row[value] + rest * state["s"])
-        return F.struct(now.alias("s"), F.concat(state["outs"], F.array(now)).alias("outs"))
 
-    return _folded(rows, [value], start, step, "smooth")
+def smooth_boxes(rows: DataFrame, alpha: float = 0.3, sides: tuple[str, ...] = ("x1", "y1", "x2", "y2")) -> DataFrame:
+    """track, event_id and each side of a box, smoothed as in ema() and only then rounded, halves to the even number; rows without a box hold the last one."""
+    missing = F.greatest(*(F.col(c).isNull().cast("int") for c in sides)) == 1
+    steps = {f"_{c}": _smoothed(F.when(~missing, F.col(c).cast("double")), alpha) for c in sides}
+    out = affine(rows.select("track", *ORDER, *sides), ["track"], ORDER, steps)
+    return out.select("track", "event_id", *(F.rint(f"_{c}").cast("int").alias(c) for c in sides))
 
 
 def feedback_boost(rows: DataFrame, weight: float = 0.3, size: int = 5, threshold: float = 0.5) -> DataFrame:
@@ -68,9 +78,24 @@ def feedback_boost(rows: DataFrame, weight: float = 0.3, size: int = 5, threshol
 
 def energy_smoothing(rows: DataFrame, share: float = 0.7, size: int = 10) -> DataFrame:
     """track, event_id, smooth, mean: share * value + (1 - share) * last smooth, and its mean over the last `size` rows."""
-    smooth = ema(rows, share).withColumnRenamed("smooth", "s")
-    joined = rows.join(smooth, ["track", "event_id"])
-    return joined.select("track", "event_id", F.col("s").alias("smooth"), F.avg("s").over(by_track().rowsBetween(-(size - 1), 0)).alias("mean"))
+    smooth = affine(rows.select("track", *ORDER, "value"), ["track"], ORDER, {"smooth": _smoothed(F.col("value"), share)})
+    return sliding(smooth, ["track"], ORDER, size - 1, {"mean": lambda w: F.avg("smooth").over(w)}).select("track", "event_id", "smooth", "mean")
+
+
+def loudest_face(faces: DataFrame, share: float = 0.7, size: int = 10) -> DataFrame:
+    """video, frame_num, face_idx, face, mean: of each frame's faces (video, frame_num, face_idx, face, energy: null while nobody speaks) the one with the largest mean.
+
+    The energy of a face is smoothed over the frames that it is in while somebody speaks (energy_smoothing), and mean is over its last `size` ones. Ties go to
+    the lower face_idx; a mean that isn't above 0 names nobody.
+    """
+    heard = faces.where("energy IS NOT NULL").select("video", "face", "frame_num", "face_idx", F.col("energy").alias("value"))
+    order = ["frame_num", "face_idx"]
+    smooth = affine(heard, ["video", "face"], order, {"smooth": _smoothed(F.col("value"), share)})
+    means = sliding(smooth, ["video", "face"], order, size - 1, {"mean": lambda w: F.avg("smooth").over(w)})
+    # A face that is in a frame twice counts with all its values of that frame.
+    after = means.groupBy("video", "frame_num", "face").agg(F.max_by("mean", "face_idx").alias("mean"), F.min("face_idx").alias("face_idx"))
+    best = after.where("mean > 0").groupBy("video", "frame_num").agg(F.max(F.struct("mean", (-F.col("face_idx")).alias("i"), "face")).alias("b"))
+    return best.select("video", "frame_num", (-F.col("b.i")).alias("face_idx"), "b.face", "b.mean")
 
 
 def thresholds(rows: DataFrame) -> DataFrame:
@@ -120,8 +145,8 @@ def consecutive_runs(rows: DataFrame, least: int = 3) -> DataFrame:
 
 def movement(rows: DataFrame, size: int = 5, scale: float = 0.01) -> DataFrame:
     """track, event_id, movement: population variance of the last `size` values, scaled and cut at 1."""
-    w = by_track().rowsBetween(-(size - 1), 0)
-    return rows.select("track", "event_id", F.least(F.var_pop("value").over(w) * scale, F.lit(1.0)).alias("movement"))
+    own = rows.select("track", *ORDER, "value")
+    return sliding(own, ["track"], ORDER, size - 1, {"movement": lambda w: F.least(F.var_pop("value").over(w) * scale, F.lit(1.0))}).select("track", "event_id", "movement")
 
 
 def carry_forward(rows: DataFrame, value: Column) -> DataFrame:
@@ -143,15 +168,32 @@ def nearest(points: DataFrame, marks: DataFrame) -> DataFrame:
     return both.withColumn("_b", behind).withColumn("_a", ahead).where("_p = 1").select("track", "event_id", F.least(F.col("_t") - F.col("_b"), F.col("_a") - F.col("_t")).alias("distance"))
 
 
+def _micros(column: str) -> Column:
+    return F.unix_micros(F.col(column).cast("timestamp"))
+
+
 def inside_segments(points: DataFrame, found: DataFrame, tolerance_s: float = 0.2) -> DataFrame:
-    """points (track, event_id, ts) with island: the first segment whose span, widened by the tolerance, holds the point; null without one.
+    """points (track, event_id, ts) with island: the first segment whose span, widened by the tolerance, holds the point; null without one."""
+    wide = int(tolerance_s * 1e6)
+    spans = found.select("track", "island", (_micros("start") - wide).alias("_lo"), (_micros("end") + wide).alias("_hi"))
+    hits = points_in_intervals(points.select("track", "event_id", _micros("ts").alias("_t")), spans, ["track"], "_t", "_lo", "_hi")
+    first = hits.groupBy("track", "event_id").agg(F.min("island").alias("island"))
+    return points.select("track", "event_id").join(first, ["track", "event_id"], "left")
+
+
+def speech_at(points: DataFrame, found: DataFrame, samples: DataFrame, window_s: float = 0.2, rms: bool = False) -> DataFrame:
+    """points (track, event_id, ts) with active, energy: whether one of the segments found, widened by window_s, holds the point, and the energy around it.
 
-    A range join within a track.
+    energy is the mean of |value| of the samples (track, ts, value) from window_s / 2 before to window_s / 2 after the point, or, with rms, ten times their root mean
+    square, 1 at most. Without segment or samples a point is inactive, with energy 0.
     """
-    t = F.unix_micros(F.col("ts").cast("timestamp"))
-    wide = found.select(F.col("track").alias("_track"), "island", (F.unix_micros(F.col("start").cast("timestamp")) - int(tolerance_s * 1e6)).alias("_lo"), (F.unix_micros(F.col("end").cast("timestamp")) + int(tolerance_s * 1e6)).alias("_hi"))
-    hits = points.join(wide, (F.col("track") == F.col("_track")) & t.between(F.col("_lo"), F.col("_hi")), "left")
-    return hits.groupBy("track", "event_id").agg(F.min("island").alias("island"))
+    held = inside_segments(points, found, window_s)
+    value = F.col("value") * F.col("value") if rms else F.abs(F.col("value"))
+    timed = samples.withColumn("_t", _micros("ts"))
+    means = means_around(points.select("track", "event_id", _micros("ts").alias("_t")), timed, ["track"], "event_id", "_t", int(window_s * 1e6), value)
+    energy = F.least(F.sqrt("mean") * 10, F.lit(1.0)) if rms else F.col("mean")
+    out = held.join(means, ["track", "event_id"], "left").withColumn("active", F.col("island").isNotNull() & F.col("mean").isNotNull())
+    return out.select("track", "event_id", "active", F.when(F.col("active"), energy).otherwise(0.0).alias("energy"))
 
 
 def best_offset(starts: DataFrame, marks: DataFrame, steps: int = 500, step: float = 0.02, reach: float = 0.5) -> DataFrame:
@@ -198,7 +240,7 @@ def speaker_votes(frames: DataFrame, spans: DataFrame) -> DataFrame:
 
     A span's speaker is the commonest in it (ends included); ties to the first to appear. speakers: all of them, sorted.
     """
-    votes = spans.join(frames.where("speaker >= 0"), "video").where(F.col("t_ms").between(F.col("start_ms"), F.col("end_ms")))
+    votes = points_in_intervals(frames.where("speaker >= 0").select("video", "t_ms", "frame", "speaker"), spans.select("video", "idx", "start_ms", "end_ms"), ["video"], "t_ms", "start_ms", "end_ms")
     counts = votes.groupBy("video", "idx", "speaker").agg(F.count("*").alias("votes"), F.min("frame").alias("first"))
     top = counts.groupBy("video", "idx").agg(F.max(F.struct("votes", (-F.col("first")).alias("f"), "speaker")).alias("b"), F.sort_array(F.collect_set("speaker")).alias("speakers"))
     return spans.select("video", "idx").join(top, ["video", "idx"], "left").select("video", "idx", F.coalesce("b.votes", F.lit(0)).alias("votes"), F.col("b.speaker").alias("speaker"), F.coalesce("speakers", F.array().cast("array<int>")).alias("speakers"))
