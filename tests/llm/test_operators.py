@@ -457,8 +457,11 @@ def test_follow_regularised_leader():
     assert np.allclose(classify._tfidf(np.array([1.0, 3.0]), np.array([2.0, 0.5])), [5.0, 3.75])
     scores = rng.normal(size=(200, 3)) * 4
     labels = (scores + rng.gumbel(size=(200, 3)) * 2).argmax(axis=1)
-    t, loss = classify.temperature(scores, labels), lambda t: -np.log([np.exp(r[c] / t) / np.exp(r / t).sum() for r, c in zip(scores, labels)]).mean()
+    t, loss = classify.temperature(scores, labels, 0.0), lambda t: -np.log([np.exp(r[c] / t) / np.exp(r / t).sum() for r, c in zip(scores, labels)]).mean()
     assert loss(t) <= min(loss(t * 1.05), loss(t / 1.05), loss(1.0)) and classify.temperature(scores[:0], labels[:0]) == 1.0
+    right = np.eye(3)[labels] * 5  # all rows right: the temperature is inside its grid all the same
+    assert 0.1 < classify.temperature(right, labels) < 10
+    assert classify.calibration_error(np.array([0.9] * 10), np.array([1] * 9 + [0])) < 1e-9 < 0.48 < classify.calibration_error(np.array([0.99] * 10), np.array([1, 0] * 5))
 
 
 def test_ratios_and_fit():
@@ -487,5 +490,16 @@ def test_sample_is_bounded_by_bytes(spark):
     rows = spark.createDataFrame([(i, "x" * (i + 1), i % 2) for i in range(60)], "doc_id long, text string, grp int")
     got = classify.bounded_sample(rows, "grp", 10, 1).collect()
     assert Counter(r.grp for r in got) == {0: 10, 1: 10}
-    less = classify.bounded_sample(rows, "grp", 10, 1, most_bytes=100).collect()
-    assert all(sum(len(r.text) for r in less if r.grp == g) <= 100 for g in (0, 1)) and {r.doc_id for r in less} < {r.doc_id for r in got}
+    less = classify.bounded_sample(rows, "grp", 10, 1, most_bytes=320).collect()
+    assert all(0 < sum(len(r.text) for r in less if r.grp == g) <= 320 for g in (0, 1))
+    # Large texts don't end the sample, a class of large texts only keeps one, equal rows count once.
+    mixed = spark.createDataFrame([(i, "x" * (10 if i % 2 else 1000), i % 3 // 2) for i in range(100)] + [(None, "same", 0)] * 50 + [(500 + i, "y" * 5000, 7) for i in range(3)], "doc_id long, text string, grp int")
+    got = classify.bounded_sample(mixed, "grp", 40, 1, most_bytes=900).collect()
+    assert Counter(r.grp for r in got) == {0: sum(1 for i in range(100) if i % 2 and i % 3 < 2) + 1, 1: sum(1 for i in range(100) if i % 2 and i % 3 == 2), 7: 1}
+
+
+def test_languages_have_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(classify, "LANGUAGES", 2)
+    rows = [(i, "der die das und nicht" if i % 2 else "the and of that with", "de" if i % 2 else "en") for i in range(60)] + [(100 + i, "le la les et", f"x{i}") for i in range(9)]
+    names, table, _ = classify.train_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert names == ["de", "en"] and table.shape[1] == 2

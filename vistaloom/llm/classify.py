@@ -153,20 +153,23 @@ SAMPLE_BYTES = 32 << 20
 def bounded_sample(rows: DataFrame, group: str, per_group: int, seed: int, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """At most per_group rows and most_bytes of text of each group, those with the smallest seeded hash of doc_id and text.
 
-    A first cut by the hash leaves about twice as many rows, so no window holds more than that of a group. Rows that tie in the hash
-    go by doc_id, then length; equal ones are interchangeable.
+    Texts of more than a sixteenth of most_bytes come after all others, so none of them ends a sample early; the first row stays whatever its size, so no
+    group is lost. Equal rows count once. A first cut by the hash leaves about twice as many rows, so no window holds more than that of a group. Rows that
+    tie in the hash go by doc_id, then length.
     """
     keyed = rows.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "text"))
-    sizes = {r[group]: r["n"] for r in rows.groupBy(group).agg(F.count("*").alias("n")).collect()}
+    size = F.octet_length("text")
+    large = size > most_bytes // 16
+    sizes = {(r[group], r["large"]): r["n"] for r in rows.groupBy(group, large.alias("large")).agg(F.count("*").alias("n")).collect()}
     cut = F.lit(False)
-    for value, n in sizes.items():
+    for (value, is_large), n in sizes.items():
         share = min(1.0, (2 * per_group + 200) / n)
         limit = int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1
-        cut = cut | ((F.col(group) == F.lit(value)) & (F.col("_h") <= F.lit(limit)))
-    size = F.octet_length("text")
-    ahead = Window.partitionBy(group).orderBy("_h", "doc_id", size).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = keyed.where(cut).withColumn("_n", F.count("*").over(ahead)).withColumn("_b", F.sum(size).over(ahead))
-    return ranked.where((F.col("_n") <= per_group) & (F.col("_b") <= most_bytes)).drop("_n", "_b", "_h")
+        cut = cut | ((F.col(group) == F.lit(value)) & (large == F.lit(is_large)) & (F.col("_h") <= F.lit(limit)))
+    ahead = Window.partitionBy(group).orderBy(large, "_h", "doc_id", size).rowsBetween(Window.unboundedPreceding, 0)
+    once = keyed.where(cut).dropDuplicates([group, "_h", "doc_id"])
+    ranked = once.withColumn("_n", F.count("*").over(ahead)).withColumn("_b", F.sum(size).over(ahead))
+    return ranked.where((F.col("_n") == 1) | ((F.col("_n") <= per_group) & (F.col("_b") <= most_bytes))).drop("_n", "_b", "_h")
 
 
 def _features(grams: Grams):
@@ -194,7 +197,9 @@ def features(sample: DataFrame, grams: Grams) -> list[tuple[int, np.ndarray, np.
 LANGUAGE_GRAMS = Grams((1, 2, 3), 16)
 #: Labelled rows learnt from at most, of each language; a tenth of them is held back for the temperature.
 PER_LANGUAGE, EPOCHS = 600, 4
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.0002, 0.00001
+ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.2, 0.00001
+#: Languages learnt at most, those with the most rows; the part of a label that is shared out when the temperature is sought.
+LANGUAGES, SMOOTH = 200, 0.01
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -222,13 +227,27 @@ def follow_regularised_leader(rows: list[tuple[int, np.ndarray, np.ndarray]], cl
     return weights(slice(None))
 
 
-def temperature(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The temperature, of a fixed grid, under which the labels are likeliest."""
+def temperature(scores: np.ndarray, labels: np.ndarray, smooth: float = SMOOTH) -> float:
+    """The temperature, of a fixed grid, under which the labels are likeliest.
+
+    A label counts as `smooth` shared out over all classes, the rest its own; else rows that are all right would ask for the least temperature there is.
+    """
     if not len(labels):
         return 1.0
-    grid = np.exp(np.linspace(np.log(0.02), np.log(20), 200))
-    loss = [-np.log(np.maximum(_softmax(scores / t)[np.arange(len(labels)), labels], 1e-12)).mean() for t in grid]
-    return float(grid[int(np.argmin(loss))])
+    grid = np.exp(np.linspace(np.log(0.001), np.log(20), 300))
+    own = np.arange(len(labels)), labels
+
+    def loss(t: float) -> float:
+        logs = np.log(np.maximum(_softmax(scores / t), 1e-12))
+        return float(-((1 - smooth) * logs[own] + smooth * logs.mean(axis=1)).mean())
+
+    return float(grid[int(np.argmin([loss(t) for t in grid]))])
+
+
+def calibration_error(scores: np.ndarray, right: np.ndarray, steps: int = 10) -> float:
+    """The expected calibration error: how far the mean score of a step of scores is from the share of right answers in it, weighted by rows."""
+    at = np.minimum((scores * steps).astype(int), steps - 1)
+    return float(sum(abs(scores[at == k].mean() - right[at == k].mean()) * (at == k).mean() for k in range(steps) if (at == k).any()))
 
 
 def _tfidf(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -272,11 +291,12 @@ def _languages(shared):
 
 def train_languages(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray, float]:
     """labelled (doc_id, text, lang without null) -> languages, weight of a slot's one occurrence for each, temperature."""
-    names = sorted(r.lang for r in labelled.select("lang").distinct().collect())
+    frequent = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    names = sorted(r.lang for r in frequent.collect())
     if not names:
         return [], np.zeros((1 << LANGUAGE_GRAMS.log2, 0), np.float32), 1.0
     number = F.array_position(F.array(*map(F.lit, names)), F.col("lang")).cast("int") - 1
-    rows = labelled.select("doc_id", "text", number.alias("grp"))
+    rows = labelled.select("doc_id", "text", number.alias("grp")).where("grp >= 0")
     texts, counts = document_counts(rows.select(F.lit(0).alias("grp"), "text"), LANGUAGE_GRAMS, 1)
     idf = np.log((1 + texts[0]) / (1 + counts[0])) + 0.1
     sample = [(g, s, _tfidf(c, idf[s])) for g, s, c in features(bounded_sample(rows, "grp", per_language, 3), LANGUAGE_GRAMS) if len(s)]
