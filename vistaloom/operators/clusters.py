@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from vistaloom.functions.vectors import dot
 from vistaloom.operators import graph
+from vistaloom.operators.scan import numbered
 from vistaloom.operators.vectors import capped_offers, inter_cluster_similarity, overlap_candidates, small_to_large_offers
 
 
@@ -91,7 +92,7 @@ def choose_method(sizes: DataFrame) -> DataFrame:
 
 def pages(rows: DataFrame, key: str, size: int = 16) -> DataFrame:
     """Adds page (from 0) in the order of key."""
-    return rows.withColumn("page", F.floor((F.row_number().over(Window.orderBy(key)) - 1) / size).cast("int"))
+    return numbered(rows, [key], "_n").withColumn("page", F.expr(f"int(_n div {size})")).drop("_n")
 
 
 def seeded_sample(rows: DataFrame, group: str, key: str, n: int, seed: int = 0) -> DataFrame:

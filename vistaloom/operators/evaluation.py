@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vistaloom.operators.quantiles import quantiles
+from vistaloom.operators.scan import numbered
+from vistaloom.storage import written
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0."""
@@ -102,14 +106,28 @@ def outliers(table: DataFrame, key: str, metric: str, sigmas: float = 2.0) -> Da
 
 def ranking(table: DataFrame, key: str, metric: str, ends: int = 3) -> DataFrame:
     """key, metric, rank (by metric, descending; ties by key) and place: top or bottom for the first and last `ends`."""
-    ranked = table.select(key, metric, F.row_number().over(Window.orderBy(F.desc(metric), key)).alias("rank"), F.count("*").over(Window.partitionBy()).alias("_n"))
-    return ranked.select(key, metric, "rank", F.when(F.col("rank") <= ends, "top").when(F.col("rank") > F.col("_n") - ends, "bottom").alias("place"))
+    ranked = written(numbered(table.select(key, metric), [F.desc(metric), key], "rank").withColumn("rank", F.col("rank") + 1), "ranked")
+    return ranked.withColumn("place", F.when(F.col("rank") <= ends, "top").when(F.col("rank") > ranked.count() - ends, "bottom"))
 
 
 def centred_average(table: DataFrame, key: str, metric: str) -> DataFrame:
     """key, metric, smooth: mean with both neighbours; null at the ends."""
-    around = Window.orderBy(key).rowsBetween(-1, 1)
-    return table.select(key, metric, F.when(F.count(metric).over(around) == 3, F.avg(metric).over(around)).alias("smooth"))
+    placed = written(numbered(table.select(key, metric), [key], "_n"), "placed")
+    around = placed.select(F.explode(F.array(F.col("_n") - 1, F.col("_n"), F.col("_n") + 1)).alias("_n"), F.col(metric).alias("_v"))
+    means = around.groupBy("_n").agg(F.avg("_v").alias("_mean"), F.count("_v").alias("_c"))
+    return placed.join(means, "_n").select(key, metric, F.when(F.col("_c") == 3, F.col("_mean")).alias("smooth"))
+
+
+def accuracy_by_class(marked: DataFrame, ignored: tuple[str, ...] = ("unknown", "skipped")) -> DataFrame:
+    """class, total, correct, accuracy of annotations (true_id, predicted_id, status): those of an ignored status are left out, a null status isn't one.
+
+    A row for each true_id (null is a class of its own; a null prediction is right there), and one of class `all`, with an accuracy of 0 if nothing is left.
+    """
+    kept = marked.where(~F.coalesce(F.col("status").isin(*ignored), F.lit(False)))
+    right = F.count_if(F.col("true_id").eqNullSafe(F.col("predicted_id")))
+    each = kept.groupBy(F.coalesce(F.col("true_id").cast("string"), F.lit("none")).alias("class")).agg(F.count("*").alias("total"), right.alias("correct"))
+    whole = kept.agg(F.lit("all").alias("class"), F.count("*").alias("total"), right.alias("correct"))
+    return each.unionByName(whole).withColumn("accuracy", F.when(F.col("total") > 0, F.col("correct") / F.col("total")).otherwise(0.0))
 
 
 def trend(table: DataFrame, x: str, y: str) -> DataFrame:
@@ -138,4 +156,5 @@ def unexplained_error(table: DataFrame, overall: DataFrame) -> DataFrame:
 
 
 def quartiles(table: DataFrame, metric: str) -> DataFrame:
-    return table.agg(F.percentile(metric, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).select(*(F.col("q")[i].alias(f"q{i + 1}") for i in range(3)))
+    found = quantiles(table.select(F.lit(0).alias("_all"), metric), ["_all"], metric, [0.25, 0.5, 0.75])
+    return found.select(*(F.col(f"q{i}").alias(f"q{i + 1}") for i in range(3)))

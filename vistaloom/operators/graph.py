@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vistaloom.operators.scan import numbered
+from vistaloom.storage import shared_dir
+
 
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a checkpoint in the shared folder (spark.checkpoint.dir; one of our own where it is unset)."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="vistaloom-"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
@@ -85,4 +86,4 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def clusters(labels: DataFrame, least: int = 3) -> DataFrame:
     """label, n, cluster_id of labels with enough nodes; cluster_id counts from 0 by size, then label."""
     sizes = labels.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    return sizes.withColumn("cluster_id", F.row_number().over(Window.orderBy(F.desc("n"), "label")) - 1)
+    return numbered(sizes, [F.desc("n"), "label"], "cluster_id")

@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vistaloom.operators.intervals import means_around, points_in_intervals
+from vistaloom.operators.quantiles import quantiles
 from vistaloom.operators.scan import affine, sliding
+from vistaloom.storage import written
 
 ORDER = ["ts", "event_id"]
 
@@ -100,9 +102,11 @@ def loudest_face(faces: DataFrame, share: float = 0.7, size: int = 10) -> DataFr
 
 def thresholds(rows: DataFrame) -> DataFrame:
     """track, mean_std (mean + 0.5 * population std), mad_3 and mad_25 (median + 3 or 2.5 times the median absolute deviation)."""
-    base = rows.groupBy("track").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.median("value").alias("median"))
-    off = rows.join(base.select("track", "median"), "track").groupBy("track").agg(F.median(F.abs(F.col("value") - F.col("median"))).alias("mad"))
-    return base.join(off, "track").select("track", (F.col("mean") + 0.5 * F.col("std")).alias("mean_std"), (F.col("median") + 3 * F.col("mad")).alias("mad_3"), (F.col("median") + 2.5 * F.col("mad")).alias("mad_25"))
+    base = rows.groupBy("track").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    middle = written(quantiles(rows, ["track"], "value", [0.5]).withColumnRenamed("q0", "median"), "medians")
+    off = quantiles(rows.join(middle, "track").select("track", F.abs(F.col("value") - F.col("median")).alias("off")), ["track"], "off", [0.5]).withColumnRenamed("q0", "mad")
+    both = base.join(middle, "track").join(off, "track")
+    return both.select("track", (F.col("mean") + 0.5 * F.col("std")).alias("mean_std"), (F.col("median") + 3 * F.col("mad")).alias("mad_3"), (F.col("median") + 2.5 * F.col("mad")).alias("mad_25"))
 
 
 def islands(rows: DataFrame, active: Column) -> DataFrame:

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vistaloom.functions.vectors import dot, normalised
-from vistaloom.operators import forest
+from vistaloom.operators import forest, scan
+from vistaloom.storage import written
 
 #: Vectors of a block.
 BLOCK = 512
@@ -247,11 +248,34 @@ def merge_small_into_large(members: DataFrame, large: int = 50, small: int = 15,
     return capped_offers(small_to_large_offers(members, large, small, threshold), cap)
 
 
+def _frame_before(faces: DataFrame) -> DataFrame:
+    """video, frame_num, prev: the frame before, of those of the video that have faces (null for its first one)."""
+    frames = written(scan.numbered(faces.select("video", "frame_num").distinct(), ["video", "frame_num"], "n"), "frames")
+    before = frames.select("video", (F.col("n") + 1).alias("n"), F.col("frame_num").alias("prev"))
+    return frames.join(before, ["video", "n"], "left").select("video", "frame_num", "prev")
+
+
 def track_pairs(faces: DataFrame, threshold: float = 0.6) -> DataFrame:
     """Each face with its most similar face of the frame before (the previous one that has faces), if above threshold."""
-    frames = faces.groupBy("frame_num").agg(F.count("*").alias("n"))
-    blocks = frames.withColumn("prev", F.lag("frame_num").over(Window.orderBy("frame_num")))
+    blocks = _frame_before(faces.withColumn("video", F.lit(0)))
     now = faces.join(blocks.select("frame_num", "prev"), "frame_num").select("face_id", "frame_num", "prev", "enc")
     before = faces.select(F.col("frame_num").alias("prev"), F.col("face_id").alias("prev_id"), F.col("enc").alias("prev_enc"))
     best = now.join(before, "prev").groupBy("face_id", "frame_num").agg(F.max(F.struct(dot("enc", "prev_enc").alias("s"), (-F.col("prev_id")).alias("p"))).alias("b"))
     return best.where(F.col("b.s") > threshold).select("frame_num", "face_id", (-F.col("b.p")).alias("prev_id"), F.col("b.s").alias("similarity"))
+
+
+def speaking_face(faces: DataFrame, similar: float = 0.6, moved: float = 0.03) -> DataFrame:
+    """video, frame_num, face_idx: of each frame's faces (video, frame_num, face_idx, enc, mouth_ratio) the one whose mouth moved most, -1 where none moved more than `moved`.
+
+    A face is held against the most similar face of the frame before (the last one of the video that has faces; ties to the lower face_idx), if that similarity is above
+    `similar`; how far it moved is the difference of the two mouth ratios, nothing if either is null. Ties go to the lower face_idx. Faces without enc are
+    matched with none. A video's first frame has -1.
+    """
+    frames = _frame_before(faces)
+    now = faces.where("enc IS NOT NULL").join(frames.where("prev IS NOT NULL"), ["video", "frame_num"]).select("video", "frame_num", "face_idx", "prev", "enc", "mouth_ratio")
+    before = faces.where("enc IS NOT NULL").select("video", F.col("frame_num").alias("prev"), F.col("face_idx").alias("i"), F.col("enc").alias("e"), F.col("mouth_ratio").alias("was"))
+    pairs = now.join(before, ["video", "prev"]).select("video", "frame_num", "face_idx", "mouth_ratio", F.struct(dot("enc", "e").alias("s"), (-F.col("i")).alias("i"), "was").alias("b"))
+    best = pairs.groupBy("video", "frame_num", "face_idx").agg(F.max("b").alias("b"), F.first("mouth_ratio").alias("mouth_ratio")).where(F.col("b.s") > similar)
+    change = best.withColumn("change", F.abs(F.col("mouth_ratio") - F.col("b.was"))).where(F.col("change") > moved)
+    most = change.groupBy("video", "frame_num").agg(F.max(F.struct("change", (-F.col("face_idx")).alias("i"))).alias("m"))
+    return frames.join(most, ["video", "frame_num"], "left").select("video", "frame_num", F.coalesce(-F.col("m.i"), F.lit(-1)).alias("face_idx"))

@@ -52,7 +52,14 @@ def _spoken(s, d):
     return labels.select(F.col("quality").alias("t"), F.col("toxic").alias("p"))
 
 
+def _annotated(s, d):
+    """Orders as annotations: the priority is the truth, the day of the month the guess; some are unknown or skipped, some without a status."""
+    status = F.when(F.col("o_orderkey") % 7 == 0, "unknown").when(F.col("o_orderkey") % 5 == 0, "skipped").when(F.col("o_orderkey") % 3 > 0, "confirmed")
+    return table(s, d, "orders").select(F.substring("o_orderpriority", 1, 1).cast("int").alias("true_id"), (F.dayofmonth("o_orderdate") % 5 + 1).alias("predicted_id"), status.alias("status"))
+
+
 QUERIES = {
+    "accuracy_by_class": lambda s, d: _round(E.accuracy_by_class(_annotated(s, d)), "accuracy"),
     "confusion_long": lambda s, d: E.confusion(_pairs(s, d)),
     "confusion_matrix_wide": lambda s, d: E.confusion_wide(E.confusion(_pairs(s, d)), [-1, *range(10)]),
     "confusion_from_wide": lambda s, d: E.from_wide(E.confusion_wide(E.confusion(_pairs(s, d)), list(range(10))), "true_label"),
@@ -107,3 +114,6 @@ ORACLE = {
     "metric_quartiles": f"{_E} SELECT round(quantile_cont(accuracy, 0.25), 6) AS q1, round(quantile_cont(accuracy, 0.5), 6) AS q2, round(quantile_cont(accuracy, 0.75), 6) AS q3 FROM ep",
     "overall_success": f"{_E} SELECT round(sum(correct) / sum(total), 6) AS success FROM ep",
 }
+ORACLE["accuracy_by_class"] = """WITH a AS (SELECT substr(o_orderpriority, 1, 1)::INT AS t, day(o_orderdate) % 5 + 1 AS p, CASE WHEN o_orderkey % 7 = 0 THEN 'unknown' WHEN o_orderkey % 5 = 0 THEN 'skipped' WHEN o_orderkey % 3 > 0 THEN 'confirmed' END AS status FROM orders),
+k AS (SELECT * FROM a WHERE status IS NULL OR status NOT IN ('unknown', 'skipped'))
+SELECT class, total, correct, round(correct / total, 6) AS accuracy FROM (SELECT t::VARCHAR AS class, count(*) AS total, count(*) FILTER (t = p) AS correct FROM k GROUP BY 1 UNION ALL SELECT 'all', count(*), count(*) FILTER (t = p) FROM k)"""

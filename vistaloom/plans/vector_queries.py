@@ -58,6 +58,12 @@ def temporal_retrieval(s, d):
     return _round(found, "adjusted", "similarity")
 
 
+def _mouthed(s, d):
+    """Faces with a mouth ratio made of their ids; some have none."""
+    ratio = F.when(F.col("face_id") % 11 > 0, (F.col("face_id") * 13) % 29 / 100.0)
+    return faces(s, d).select(F.expr("frame_num div 50").alias("video"), "frame_num", "face_idx", "enc", ratio.alias("mouth_ratio"))
+
+
 def pair_verdicts(s, d):
     pairs = V.similar_pairs(faces(s, d), T)
     return pairs.groupBy(verdict(F.col("similarity")).alias("verdict")).agg(F.count("*").alias("n"))
@@ -85,6 +91,7 @@ QUERIES = {
     "cluster_overlap_candidates": lambda s, d: _round(V.overlap_candidates(faces(s, d), 0.0), "similarity"),
     "small_to_large_merge": lambda s, d: _round(V.merge_small_into_large(faces(s, d), large=50, small=50, threshold=-0.2, cap=2), "similarity"),
     "track_pairs": lambda s, d: _round(V.track_pairs(faces(s, d), 0.1), "similarity"),
+    "speaking_face": lambda s, d: V.speaking_face(_mouthed(s, d), similar=0.05),
     "cluster_size_dispersion": cluster_sizes,
     "label_propagation_3_rounds": lambda s, d: graph.propagate_rounds(_nodes(s, d), _edges(s, d)),
     "label_propagation_converged": lambda s, d: graph.propagate(_nodes(s, d), _edges(s, d)),
@@ -118,3 +125,9 @@ ORACLE = {
     "merge_components": f"WITH RECURSIVE e AS (SELECT src, dst FROM {_PAIRS} WHERE s >= 0.38), a AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e), r AS (SELECT face_id AS node, face_id AS far FROM {FACES} UNION SELECT r.node, a.dst FROM r JOIN a ON a.src = r.far) SELECT node, min(far) AS component FROM r GROUP BY 1",
 }
 ORACLE["knn_centers_by_forest"] = ORACLE["knn_centers_angular"]
+ORACLE["speaking_face"] = f"""WITH f AS (SELECT frame_num // 50 AS video, frame_num, face_id % 3 AS face_idx, enc, CASE WHEN face_id % 11 > 0 THEN (face_id * 13) % 29 / 100.0::DOUBLE END AS ratio FROM {FACES}),
+p AS (SELECT video, frame_num, lag(frame_num) OVER (PARTITION BY video ORDER BY frame_num) AS prev FROM (SELECT DISTINCT video, frame_num FROM f)),
+b AS (SELECT * FROM (SELECT a.video, a.frame_num, a.face_idx, a.ratio, q.ratio AS was, list_dot_product(a.enc, q.enc) AS s, row_number() OVER (PARTITION BY a.video, a.frame_num, a.face_idx ORDER BY list_dot_product(a.enc, q.enc) DESC, q.face_idx) AS r
+  FROM f a JOIN p USING (video, frame_num) JOIN f q ON q.video = p.video AND q.frame_num = p.prev) WHERE r = 1 AND s > 0.05 AND abs(ratio - was) > 0.03),
+m AS (SELECT *, row_number() OVER (PARTITION BY video, frame_num ORDER BY abs(ratio - was) DESC, face_idx) AS k FROM b)
+SELECT p.video::INT AS video, p.frame_num, coalesce(m.face_idx, -1)::INT AS face_idx FROM p LEFT JOIN m ON m.video = p.video AND m.frame_num = p.frame_num AND k = 1"""
