@@ -173,12 +173,12 @@ def test_queries_reach_rows_of_all_ids(spark, tmp_path):
     spark.createDataFrame([(v, i, "user", x) for v, i, x in turns], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     run = lambda name: catalogue.QUERIES[name](spark, str(tmp_path)).collect()
     assert sorted(r.id for r in run("previous_track")) == ids
-    assert {r.event_id: r.seconds for r in run("media_info_parse_all")} == {e: e // 100 * 3600 + e % 60 * 60 + e * 7 % 60 + 0.5 for e in ids}
+    assert {r.event_id: r.seconds for r in run("media_info_parse")} == {e: e // 100 * 3600 + e % 60 * 60 + e * 7 % 60 + 0.5 for e in ids}
     begun = [sum(len(y) for w, j, y in turns if w == v and j < i) / 100 for v, i, _ in turns]
     marks = {t + 0.62 for t, (_, i, _) in zip(begun, turns) if i > 0}
     score = lambda k: sum(max(0, max(1 - abs(t + k * 0.02 - m) / 0.5 for m in marks)) for t in begun) / len(begun)
     best, step = max((round(score(k), 9), -k) for k in range(-250, 251))
-    got = run("offset_grid_search_all")
+    got = run("offset_grid_search")
     assert [r.offset_step for r in got] == [-step] and got[0].score == pytest.approx(best, abs=1e-6)
 
 

@@ -26,8 +26,8 @@ def _quality(s, d):
     return observations(s, d).select("event_id", R.face_quality(v, n(17) * 1.2, n(11), (e % 40) * 1000).alias("v1"), R.retrieval_quality(v, n(17) * 1.2, (e % 40) * 500).alias("v2"), R.colour(e % 15 - 1, F.lit(12)).alias("c"))
 
 
-def _media(s, d, some="true"):
-    rows = observations(s, d).where(some)
+def _media(s, d):
+    rows = observations(s, d)
     e = F.col("event_id")
     text = F.format_string("Duration: %02d:%02d:%02d.50, start: 0\n Video: h264, %dx%d, %d fps", (e / 100).cast("int"), e % 60, (e * 7) % 60, e % 50 + 100, e % 30 + 90, e % 30 + 24)
     return rows.select("event_id", R.duration_of(text).alias("seconds"), R.resolution_of(text).alias("size"), R.frame_rate_of(text).alias("fps"), R.area_of(R.resolution_of(text)).alias("area"))
@@ -61,8 +61,7 @@ QUERIES = {
     "frame_arithmetic": _arithmetic,
     "face_quality_scores": lambda s, d: _round(_quality(s, d).withColumns({"v1": F.col("v1") + 1e-9, "v2": F.col("v2") + 1e-9}), "v1", "v2").drop("c"),
     "color_by_id": lambda s, d: _quality(s, d).select("event_id", F.array_join(F.transform("c", lambda x: x.cast("string")), ",").alias("bgr")),
-    "media_info_parse": lambda s, d: _media(s, d, "event_id < 500"),
-    "media_info_parse_all": _media,
+    "media_info_parse": _media,
     "previous_track": _tracks,
     "cluster_method_choice": lambda s, d: C.choose_method(_sizes(s, d)),
     "merge_safety": lambda s, d: _round(C.merge_safety(faces(s, d), _all_pairs(s, d), threshold=-0.01), "c_small", "c_union", "cross"),
@@ -89,7 +88,7 @@ ORACLE = {
     "frame_arithmetic": f"WITH a AS (SELECT video, idx, start_ms, start_ms % 640 AS x, idx * 31 + 40 AS size, round_even(start_ms / 1000 * 25, 0)::BIGINT AS frame FROM {SUBTITLES}) SELECT video, idx, frame, trunc(frame / 24.0::DOUBLE * 1000)::BIGINT AS back, start_ms + 340 AS shifted, ((x + x + size) // 2) || '_' || ((x + 1 + x + 2 * size) // 2) AS position, trunc(44 * size / 160)::INT AS margin, trunc(size * 0.2)::INT AS margin_plain, greatest(0, least(x - trunc(44 * size / 160), 480))::BIGINT AS left FROM a",
     "face_quality_scores": f"SELECT event_id, round(0.3 * least(value / 300, 1) + 0.2 * least((event_id % 17) / 17 * 1.2, 1) + 0.4 * (event_id % 11) / 11 + 0.1 * least((event_id % 40) * 1000 / 25600, 1) + 1e-9, 6) AS v1, round(least(1, 1.2 * (0.35 * least(value / 300, 1) + 0.35 * least((event_id % 17) / 17 * 1.2, 1) + 0.3 * least((event_id % 40) * 500 / 12544, 1))) + 1e-9, 6) AS v2 FROM {OBSERVATIONS}",
     "color_by_id": f"SELECT event_id, CASE WHEN i BETWEEN 0 AND 11 THEN ({_hsv('b')}) || ',' || ({_hsv('g')}) || ',' || ({_hsv('r')}) ELSE '128,128,128' END AS bgr FROM (SELECT event_id, event_id % 15 - 1 AS i FROM events)",
-    "media_info_parse": "SELECT event_id, (event_id // 100) * 3600 + (event_id % 60) * 60 + (event_id * 7) % 60 + 0.5::DOUBLE AS seconds, (event_id % 50 + 100) || 'x' || (event_id % 30 + 90) AS size, (event_id % 30 + 24)::DOUBLE AS fps, (event_id % 50 + 100) * (event_id % 30 + 90) AS area FROM events WHERE event_id < 500",
+    "media_info_parse": "SELECT event_id, (event_id // 100) * 3600 + (event_id % 60) * 60 + (event_id * 7) % 60 + 0.5::DOUBLE AS seconds, (event_id % 50 + 100) || 'x' || (event_id % 30 + 90) AS size, (event_id % 30 + 24)::DOUBLE AS fps, (event_id % 50 + 100) * (event_id % 30 + 90) AS area FROM events",
     "cluster_method_choice": "SELECT CASE WHEN b.k <= 0.7 * a.k OR (b.k <= a.k AND b.cv < 0.8 * a.cv) THEN 'adjusted' ELSE 'original' END AS chosen FROM (SELECT count(*) AS k, stddev_pop(n) / avg(n) AS cv FROM (SELECT count(*) AS n FROM embeddings GROUP BY label)) a, (SELECT count(*) AS k, stddev_pop(n) / avg(n) AS cv FROM (SELECT count(*) AS n FROM embeddings GROUP BY label // 2)) b",
     "merge_safety": f"""WITH f AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY face_id) AS r FROM {FACES}), n AS (SELECT cluster_id, count(*) AS n FROM f GROUP BY 1),
 s AS (SELECT a.cluster_id, avg(list_dot_product(a.enc, b.enc)) AS c, avg(list_dot_product(a.enc, b.enc)) FILTER (b.r <= 30) AS h FROM f a JOIN f b ON a.cluster_id = b.cluster_id AND a.r < b.r GROUP BY 1),

@@ -59,8 +59,8 @@ def _loud_faces(s, d):
     return f.select(F.expr("frame_num div 100").alias("video"), "frame_num", "face_idx", F.col("cluster_id").alias("face"), energy.alias("energy"))
 
 
-def _grid(s, d, some="true"):
-    rows = subtitles(s, d).where(some)
+def _grid(s, d):
+    rows = subtitles(s, d)
     starts = rows.select((F.col("start_ms") / 1000.0).alias("t"))
     marks = rows.where("idx > 0").select((F.col("start_ms") / 1000.0 + 0.62).alias("m")).distinct()
     return T.best_offset(starts, marks)
@@ -69,7 +69,7 @@ def _grid(s, d, some="true"):
 QUERIES = {
     "history_vote_fill": lambda s, d: _round(T.history_vote(_matched(s, d)), "filled_similarity"),
     "ema_smoothing": lambda s, d: _round(T.ema(observations(s, d)).withColumn("smooth", F.col("smooth") + NUDGE), "smooth"),
-    "temporal_boost_retrieval": lambda s, d: _round(T.feedback_boost(_scaled(s, d)).withColumn("adjusted", F.col("adjusted") + NUDGE), "adjusted"),
+    "feedback_boost": lambda s, d: _round(T.feedback_boost(_scaled(s, d)).withColumn("adjusted", F.col("adjusted") + NUDGE), "adjusted"),
     "energy_smoothing": lambda s, d: _round(T.energy_smoothing(observations(s, d)).withColumn("smooth", F.col("smooth") + NUDGE).withColumn("mean", F.col("mean") + NUDGE), "smooth", "mean"),
     "consecutive_runs": lambda s, d: T.consecutive_runs(observations(s, d)),
     "speech_segments_v1": lambda s, d: _segments(s, d, end_rule="first_inactive", keep_tail=False),
@@ -85,8 +85,7 @@ QUERIES = {
     "box_smoothing": lambda s, d: T.smooth_boxes(_boxes(s, d)),
     "loudest_face": lambda s, d: _round(T.loudest_face(_loud_faces(s, d)).withColumn("mean", F.col("mean") + NUDGE), "mean"),
     "nearest_onset": lambda s, d: T.nearest(observations(s, d), T.onsets(observations(s, d), _active())),
-    "offset_grid_search": lambda s, d: _round(_grid(s, d, "video < 40"), "score"),
-    "offset_grid_search_all": lambda s, d: _round(_grid(s, d), "score"),
+    "offset_grid_search": lambda s, d: _round(_grid(s, d), "score"),
     "carry_forward": lambda s, d: T.carry_forward(observations(s, d), F.when(F.col("kind") == "click", F.col("value"))),
     "speaker_vote": _votes,
 }
@@ -119,7 +118,7 @@ t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY
 f AS (SELECT m.*, t.match AS top, coalesce((m.match < 0 OR similarity < 0.5) AND m.r >= 3 AND votes >= 3, false) AS fill FROM m LEFT JOIN t USING (event_id))
 SELECT track, event_id, (CASE WHEN fill THEN top ELSE match END)::INT AS filled_match, round(CASE WHEN fill THEN greatest(similarity, 0.4) ELSE similarity END, 6) AS filled_similarity, fill AS from_history FROM f""",
     "ema_smoothing": _EMA.format(a=0.3, b=0.7) + f" SELECT track, event_id, round(smooth + {NUDGE}, 6) AS smooth FROM e",
-    "temporal_boost_retrieval": f"""WITH RECURSIVE n AS (SELECT track, event_id, least(value / 100, 1.0) AS v, row_number() OVER ({_BY}) AS r FROM {_O}),
+    "feedback_boost": f"""WITH RECURSIVE n AS (SELECT track, event_id, least(value / 100, 1.0) AS v, row_number() OVER ({_BY}) AS r FROM {_O}),
 e AS (SELECT track, event_id, r, v AS adj, CASE WHEN v > 0.5 THEN [v] ELSE []::DOUBLE[] END AS h FROM n WHERE r = 1
 UNION ALL SELECT track, event_id, r, adj, CASE WHEN adj > 0.5 THEN list_concat([adj], h)[1:5] ELSE h END FROM (SELECT n.track, n.event_id, n.r, CASE WHEN len(e.h) > 0 THEN 0.7 * n.v + 0.3 * (list_reduce(e.h, lambda a, x: a + x) / len(e.h)) ELSE n.v END AS adj, e.h FROM e JOIN n ON n.track = e.track AND n.r = e.r + 1))
 SELECT track, event_id, round(adj + {NUDGE}, 6) AS adjusted FROM e""",
@@ -145,7 +144,7 @@ m AS (SELECT *, avg(s) OVER (PARTITION BY video, face ORDER BY r ROWS BETWEEN 9
 a AS (SELECT video, frame_num, face, arg_max(mean, face_idx) AS mean, min(face_idx) AS face_idx FROM m GROUP BY 1, 2, 3)
 SELECT video::INT AS video, frame_num, face_idx::INT AS face_idx, face, round(mean + {NUDGE}, 6) AS mean FROM (SELECT *, row_number() OVER (PARTITION BY video, frame_num ORDER BY mean DESC, face_idx) AS k FROM a WHERE mean > 0) WHERE k = 1""",
     "nearest_onset": f"WITH {_I}, g AS (SELECT track, ts FROM i WHERE act AND NOT coalesce(bef, false)) SELECT o.track, o.event_id, min(abs(epoch_us(o.ts) - epoch_us(g.ts))) AS distance FROM {_O} o LEFT JOIN g USING (track) GROUP BY 1, 2",
-    "offset_grid_search": f"WITH s AS (SELECT row_number() OVER () AS id, start_ms / 1000.0 AS t FROM {SUBTITLES} WHERE video < 40), m AS (SELECT DISTINCT start_ms / 1000.0 + 0.62 AS m FROM {SUBTITLES} WHERE video < 40 AND idx > 0), x AS (SELECT id, k, max(greatest(0, 1 - abs(t + k * 0.02::DOUBLE - m) / 0.5)) AS sc FROM s, m, range(-250, 251) AS r(k) WHERE abs(m - t) <= 5.5 GROUP BY 1, 2) SELECT k::INT AS offset_step, round(score, 6) AS score FROM (SELECT k, round(sum(sc) / (SELECT count(*) FROM s), 9) AS score FROM x GROUP BY 1) ORDER BY score DESC, k LIMIT 1",
+    "offset_grid_search": f"WITH s AS (SELECT start_ms / 1000.0 AS t, count(*) AS n FROM {SUBTITLES} GROUP BY 1), m AS (SELECT DISTINCT start_ms / 1000.0 + 0.62 AS m FROM {SUBTITLES} WHERE idx > 0), x AS (SELECT t, n, k, max(greatest(0, 1 - abs(t + k * 0.02::DOUBLE - m) / 0.5)) AS sc FROM s JOIN m ON m BETWEEN t - 5.5 AND t + 5.5, range(-250, 251) AS r(k) WHERE abs(t + k * 0.02 - m) < 0.5 GROUP BY 1, 2, 3) SELECT k::INT AS offset_step, round(score, 6) AS score FROM (SELECT k, round(sum(sc * n) / (SELECT sum(n) FROM s), 9) AS score FROM x GROUP BY 1) ORDER BY score DESC, k LIMIT 1",
     "carry_forward": f"SELECT track, event_id, last_value(CASE WHEN kind = 'click' THEN value END IGNORE NULLS) OVER ({_BY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried FROM {_O}",
     "speaker_vote": f"""WITH f AS (SELECT track AS video, event_id AS frame, ((epoch_us(ts) // 1000) % 40000) AS t, (event_id % 4 - 1)::INT AS speaker FROM {_O}), v AS (SELECT s.video, s.idx, speaker, count(*) AS votes, min(frame) AS first FROM {SUBTITLES} s JOIN f ON f.video = s.video AND t BETWEEN start_ms AND end_ms WHERE speaker >= 0 GROUP BY 1, 2, 3),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video, idx ORDER BY votes DESC, first) AS r FROM v) WHERE r = 1), l AS (SELECT video, idx, string_agg(speaker::VARCHAR, ',' ORDER BY speaker) AS speakers FROM v GROUP BY 1, 2)
