@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vistaloom.operators.scan import numbered
-from vistaloom.storage import shared_dir
+from vistaloom.storage import shared_dir, written
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -70,17 +70,31 @@ def propagate(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> Data
     return labels.select("node", "label")
 
 
+def _star(arcs: DataFrame, large: bool) -> DataFrame:
+    """arcs (u, v) from u: each u links what it sees (of larger nodes only, if large) with the least of these and itself."""
+    least = arcs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+    seen = arcs.join(least, "u")
+    if large:
+        return seen.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return seen.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, component (the smallest node reachable): labels fall along edges and along the labels themselves until none does."""
-    arcs, now = cut(_both_ways(edges.withColumn("weight", F.lit(1.0))).select("src", "dst")), cut(nodes.select("node", F.col("node").alias("component")))
+    """node, component (the smallest node reachable) of all nodes, by alternating large and small stars.
+
+    A pass is a few joins and grouped minima, written once to the shared folder; passes grow with the logarithm of the longest chain, and a hub's edges are
+    never in one task.
+    """
+    links = written(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct(), "links")
+    shape = None
     while True:
-        least = arcs.join(now.select(F.col("node").alias("dst"), F.col("component").alias("c")), "dst").groupBy("src").agg(F.min("c").alias("c"))
-        step = now.join(least, now.node == least.src, "left").select("node", F.least("component", "c").alias("next"), "component")
-        jump = step.join(step.select(F.col("node").alias("next"), F.col("next").alias("far")), "next").select("node", F.least("next", "far").alias("component"), F.col("component").alias("old"))
-        jump = cut(jump)
-        if not jump.where("component < old").limit(1).count():
-            return jump.select("node", "component")
-        now = jump.select("node", "component")
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        links = written(_star(_star(both, True).distinct(), False).where("u <> v").distinct(), "stars")
+        now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == shape:
+            break
+        shape = now
+    return nodes.join(links.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def clusters(labels: DataFrame, least: int = 3) -> DataFrame:

@@ -97,30 +97,60 @@ def retrieve_with_feedback(faces: DataFrame, centers: DataFrame, n: int = 5, thr
     return dealt.mapInArrow(_feedback(n, threshold, weight, size), schema)
 
 
-def similar_pairs(faces: DataFrame, floor: float) -> DataFrame:
-    """src, dst, src_frame, dst_frame, similarity of all pairs src < dst with a similarity of at least floor, by blocks."""
+def _blocks(faces: DataFrame, *columns: str) -> DataFrame:
+    """block, rows, other, others: each pair of blocks of vectors once, a block with itself too; rows are (columns, enc)."""
     blocks = max(1, math.ceil(faces.count() / BLOCK))
-    dealt = faces.select(F.pmod(F.xxhash64("face_id"), F.lit(blocks)).cast("int").alias("block"), "face_id", F.col("frame_num").alias("frame"), "enc")
-    held = dealt.groupBy("block").agg(F.collect_list(F.struct("face_id", "frame", "enc")).alias("rows"))
+    dealt = faces.select(F.pmod(F.xxhash64("face_id"), F.lit(blocks)).cast("int").alias("block"), F.struct(*columns, "enc").alias("row"))
+    held = dealt.groupBy("block").agg(F.collect_list("row").alias("rows"))
     met = held.withColumn("other", F.explode(F.sequence(F.col("block"), F.lit(blocks - 1))))
-    pairs = met.join(held.select(F.col("block").alias("other"), F.col("rows").alias("others")), "other")
+    return met.join(held.select(F.col("block").alias("other"), F.col("rows").alias("others")), "other")
+
 
-    def products(parts):
-        import pandas as pd
+def _products(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[bool, pa.StructArray, pa.StructArray, np.ndarray]]:
+    """(whether it is one block with itself, rows, other rows, their products) of each pair of blocks, straight from the flat values."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            a, b = (batch.column(c).slice(i, 1).flatten() for c in ("rows", "others"))
+            x, y = (forest.matrix(side.field("enc")) for side in (a, b))
+            yield batch.column("block")[i].as_py() == batch.column("other")[i].as_py(), a, b, np.einsum("ik,jk->ij", x, y)
 
-        for part in parts:
-            for block, other, rows, others in zip(part["block"], part["other"], part["rows"], part["others"]):
-                a, b = (np.array([list(r["enc"]) for r in x], float) for x in (rows, others))
-                product = np.einsum("ik,jk->ij", a, b)
-                i, j = np.nonzero(product >= floor)
-                ids, frames = ([np.array([r[c] for r in x]) for x in (rows, others)] for c in ("face_id", "frame"))
-                x, y, fx, fy, s = ids[0][i], ids[1][j], frames[0][i], frames[1][j], product[i, j]
-                keep = x < y if block == other else x != y
-                x, y, fx, fy, s = (v[keep] for v in (x, y, fx, fy, s))
-                turn = x > y
-                yield pd.DataFrame({"src": np.where(turn, y, x), "dst": np.where(turn, x, y), "src_frame": np.where(turn, fy, fx), "dst_frame": np.where(turn, fx, fy), "similarity": s})
 
-    return pairs.mapInPandas(products, "src long, dst long, src_frame int, dst_frame int, similarity double")
+def similar_pairs(faces: DataFrame, floor: float) -> DataFrame:
+    """src, dst, src_frame, dst_frame, similarity of all pairs src < dst with a similarity of at least floor, by blocks."""
+
+    def above(batches):
+        for same, a, b, product in _products(batches):
+            i, j = np.nonzero(product >= floor)
+            (x, fx), (y, fy) = ([side.field(c).to_numpy(zero_copy_only=False)[at] for c in ("face_id", "frame_num")] for side, at in ((a, i), (b, j)))
+            keep = x < y if same else x != y
+            x, y, fx, fy, s = (v[keep] for v in (x, y, fx, fy, product[i, j]))
+            turn = x > y
+            columns = (np.where(turn, y, x), np.where(turn, x, y), np.where(turn, fy, fx).astype(np.int32), np.where(turn, fx, fy).astype(np.int32), s)
+            yield pa.record_batch([pa.array(c) for c in columns], ["src", "dst", "src_frame", "dst_frame", "similarity"])
+
+    return _blocks(faces, "face_id", "frame_num").mapInArrow(above, "src long, dst long, src_frame int, dst_frame int, similarity double")
+
+
+def cluster_maxima(members: DataFrame) -> DataFrame:
+    """cluster_i < cluster_j, max_sim: the largest similarity of a member of one with a member of the other. A task sends a row for each pair of clusters."""
+
+    def largest(batches):
+        best: dict[tuple[int, int], float] = {}
+        for _, a, b, product in _products(batches):
+            (x, of_x), (y, of_y) = (np.unique(side.field("cluster_id").to_numpy(zero_copy_only=False), return_inverse=True) for side in (a, b))
+            rows, columns = np.argsort(of_x, kind="stable"), np.argsort(of_y, kind="stable")
+            starts = [np.searchsorted(np.sort(of), np.arange(len(v))) for of, v in ((of_x, x), (of_y, y))]
+            most = np.maximum.reduceat(np.maximum.reduceat(product[rows], starts[0], axis=0)[:, columns], starts[1], axis=1)
+            for i, j in zip(*(v.ravel() for v in np.indices(most.shape))):
+                if x[i] != y[j]:
+                    key = (int(min(x[i], y[j])), int(max(x[i], y[j])))
+                    best[key] = max(best.get(key, -np.inf), float(most[i, j]))
+        if best:
+            yield pa.record_batch([pa.array([k[0] for k in best], pa.int64()), pa.array([k[1] for k in best], pa.int64()), pa.array(list(best.values()))], ["cluster_i", "cluster_j", "max_sim"])
+
+    kind = members.schema["cluster_id"].dataType
+    found = _blocks(members.where("cluster_id IS NOT NULL"), "cluster_id").mapInArrow(largest, "cluster_i long, cluster_j long, max_sim double")
+    return found.groupBy(F.col("cluster_i").cast(kind).alias("cluster_i"), F.col("cluster_j").cast(kind).alias("cluster_j")).agg(F.max("max_sim").alias("max_sim"))
 
 
 def similarity_edges(faces: DataFrame, threshold: float = 0.52, temporal_weight: float = 0.1, max_frame_diff: int = 3) -> DataFrame:
@@ -138,9 +168,7 @@ def inter_cluster_similarity(members: DataFrame) -> DataFrame:
     a = sides.select(F.col("cluster_id").alias("cluster_i"), F.col("center").alias("ca"), F.col("mean").alias("ma"))
     b = sides.select(F.col("cluster_id").alias("cluster_j"), F.col("center").alias("cb"), F.col("mean").alias("mb"))
     pairs = a.join(_small(b), F.col("cluster_i") < F.col("cluster_j")).select("cluster_i", "cluster_j", dot("ca", "cb").alias("centroid_sim"), dot("ma", "mb").alias("mean_sim"))
-    known = members.select("face_id", "cluster_id")
-    best = similar_pairs(members, 0.0).join(known.select(F.col("face_id").alias("src"), F.col("cluster_id").alias("x")), "src").join(known.select(F.col("face_id").alias("dst"), F.col("cluster_id").alias("y")), "dst")
-    best = best.where("x <> y").groupBy(F.least("x", "y").alias("cluster_i"), F.greatest("x", "y").alias("cluster_j")).agg(F.max("similarity").alias("max_sim"))
+    best = cluster_maxima(members)
     return pairs.join(best, ["cluster_i", "cluster_j"], "left").withColumn("max_sim", F.greatest(F.coalesce("max_sim", F.lit(0.0)), F.lit(0.0)))
 
 
