@@ -10,6 +10,8 @@ from vistaloom.operators import subtitles as S
 from vistaloom.operators.temporal import carry_forward
 from vistaloom.plans.vector_queries import _round
 from vistaloom.sources.tables import OBSERVATIONS, SUBTITLES, observations, subtitles, table
+from vistaloom.sources.trees import read_metrics_tree, report_fields
+from vistaloom.storage import place
 
 #: Labels and their numbers, as text labels map in a report.
 LABELS = {"click": 1, "view": 2, "purchase": 3}
@@ -60,6 +62,23 @@ def _parsed(s, d):
         X.report_section_number(r, "Macro Average", "Precision").alias("macro_precision"), X.report_section_number(r, "Weighted Average", "F1-Score").alias("weighted_f1"), X.report_section_number(r, "Nothing", "Recall").alias("missing"))
 
 
+#: The years that the tree is asked for; it holds more, and not all of these.
+_YEARS = (1993, 1994, 1996, 2050)
+
+
+def _metrics_tree(s, d):
+    """Reports written as a tree of methods (order states) and episodes (years), of which two methods and some episodes are read back."""
+    made = table(s, d, "orders").groupBy(F.col("o_orderstatus").alias("method"), F.year("o_orderdate").alias("y")).agg(F.count("*").alias("n"), F.count_if(F.col("o_custkey") % 2 == 0).alias("c"))
+    share = F.col("n") / (F.col("n") + F.col("y"))
+    body = F.format_string(
+        "Total samples: %d\nCorrect predictions: %d\nOverall Accuracy: %.4f\n\nMacro Average:\n  Precision: %.4f\n  Recall: %.4f\n  F1-Score: %.4f\n\nWeighted Average:\n  Precision: %.4f\n  Recall: %.4f\n\nBest performing class: %.1f\nF1-Score: 9.9\nWorst performing class: %.1f\n",
+        "n", "c", share, share / 2, share / 3, share / 4, share / 5, share / 6, F.col("y") % 10 + 0.5, F.col("y") % 7 + 0.0)
+    path = place(s, "metrics-tree")
+    made.select("method", F.format_string("result_ep%d", "y").alias("folder"), body.alias("value")).write.partitionBy("method", "folder").text(path)
+    found = read_metrics_tree(s, path, ["method=F", "method=O", "method=none"], [f"folder=result_ep{y}" for y in _YEARS], "*.txt")
+    return found.select(F.substring("method", 8, 99).alias("method"), "episode", *(c.alias(n) for n, c in report_fields(F.col("report")).items()))
+
+
 def _round_trip(s, d):
     """Subtitles written as SRT text and parsed again."""
     return S.parse_blocks(S.to_blocks(subtitles(s, d).withColumn("text", F.regexp_replace("text", r"\n\s*\n", "\n")))).select("video", "idx", "start_ms", "end_ms")
@@ -96,6 +115,7 @@ QUERIES = {
     "repair_results": lambda s, d: _round(R.repaired(_matches(s, d, ["click"]), _matches(s, d, ["view"])), "similarity"),
     "repair_results_frames_first": lambda s, d: _round(R.repaired(_matches(s, d, ["purchase"]), _matches(s, d, ["view"]), False), "similarity"),
     "metrics_text_parse": _parsed,
+    "metrics_tree": _metrics_tree,
     "missing_centers": lambda s, d: observations(s, d).select("track").distinct().join(observations(s, d).where("value > 300").select("track").distinct(), "track", "left_anti"),
     "kind_carried": lambda s, d: carry_forward(observations(s, d), F.when(F.col("value") > 100, F.col("kind"))),
 }
@@ -155,3 +175,6 @@ SELECT video, idx, len(l) AS n, array_to_string(l, '|') AS lines FROM (SELECT vi
     "missing_centers": f"SELECT DISTINCT track FROM {OBSERVATIONS} WHERE track NOT IN (SELECT track FROM {OBSERVATIONS} WHERE value > 300)",
     "kind_carried": f"SELECT track, event_id, last_value(CASE WHEN value > 100 THEN kind END IGNORE NULLS) OVER (PARTITION BY track ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried FROM {OBSERVATIONS}",
 }
+ORACLE["metrics_tree"] = f"""WITH m AS (SELECT o_orderstatus AS method, year(o_orderdate) AS y, count(*) AS n, count(*) FILTER (o_custkey % 2 = 0) AS c, count(*) / (count(*) + year(o_orderdate)) AS s FROM orders WHERE o_orderstatus IN ('F', 'O') AND year(o_orderdate) IN {_YEARS} GROUP BY 1, 2)
+SELECT method, y::INT AS episode, n AS total_samples, c AS correct_predictions, round(s, 4) AS overall_accuracy, round(s / 5, 4) AS weighted_precision, round(s / 6, 4) AS weighted_recall, NULL::DOUBLE AS weighted_f1,
+round(s / 2, 4) AS macro_precision, round(s / 3, 4) AS macro_recall, round(s / 4, 4) AS macro_f1, y % 10 + 0.5::DOUBLE AS best_class, (y % 7)::DOUBLE AS worst_class FROM m"""
