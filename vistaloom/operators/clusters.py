@@ -82,6 +82,26 @@ def merge_scores(members: DataFrame, small: int = 50, threshold: float = 0.45) -
     return best.select((-F.col("b.i")).alias("cluster_i"), "cluster_j", F.col("b.s").alias("score"))
 
 
+def merge_by_score(members: DataFrame, small: int = 50, threshold: float = 0.45, ratio: float = 0.02, fewest: int = 5, drop: float = 0.15) -> DataFrame:
+    """The merges of merge_scores that are safe: cluster_i, cluster_j, score, faces_added.
+
+    One isn't if cluster_j has fewer than `fewest` faces and less than `ratio` of the target's; if its mean pair is below the threshold less 0.1; or if the mean pair of the
+    target's first 50 members (by face_id) exceeds that of the first 25 of both by more than `drop`. A small cluster whose best target isn't safe joins none.
+    Means are over all pairs, in place of random samples of them.
+    """
+    ranked = members.withColumn("r", F.row_number().over(Window.partitionBy("cluster_id").orderBy("face_id")))
+    sums = _sums(ranked, "cluster_id", {"all": F.lit(True), "head": F.col("r") <= 50, "first": F.col("r") <= 25})
+    side = lambda x: sums.select(*(F.col(c).alias(f"{c}_{x}" if c != "cluster_id" else f"cluster_{x}") for c in sums.columns))
+    both = merge_scores(members, small, threshold).join(side("i"), "cluster_i").join(side("j"), "cluster_j")
+    own = _mean_pair(F.col("all_s_j"), F.col("all_q_j"), F.col("all_n_j"))
+    target = _mean_pair(F.col("head_s_i"), F.col("head_q_i"), F.col("head_n_i"))
+    union = F.zip_with("first_s_i", "first_s_j", lambda x, y: x + y)
+    after = _mean_pair(union, F.col("first_q_i") + F.col("first_q_j"), F.col("first_n_i") + F.col("first_n_j"))
+    tiny = (F.col("all_n_j") < ratio * F.col("all_n_i")) & (F.col("all_n_j") < fewest)
+    safe = both.where(~tiny & (own >= threshold - 0.1) & (target - after <= drop))
+    return safe.select("cluster_i", "cluster_j", "score", F.col("all_n_j").alias("faces_added"))
+
+
 def choose_method(sizes: DataFrame) -> DataFrame:
     """sizes (method original or adjusted, n a cluster) -> chosen: adjusted if it has 0.7 of the clusters at most, or no more of them at 0.8 of the dispersion."""
     per = sizes.groupBy("method").agg(F.count("*").alias("k"), (F.stddev_pop("n") / F.avg("n")).alias("cv"))

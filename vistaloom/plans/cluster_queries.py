@@ -69,6 +69,7 @@ QUERIES = {
     "overlap_merge": lambda s, d: C.merge_overlapping(faces(s, d), 0.01),
     "mouth_aspect_ratio": lambda s, d: _round(_mouths(s, d), "mar"),
     "intelligent_merge": lambda s, d: _round(C.merge_scores(faces(s, d), 60, 0.0), "score"),
+    "intelligent_merge_safe": lambda s, d: _round(C.merge_by_score(faces(s, d), 70, 0.0, drop=0.002), "score"),
     "center_pages": lambda s, d: C.pages(V.frame_ranges(faces(s, d)), "cluster_id", 4).select("cluster_id", "n", "page"),
     "matches_per_center": lambda s, d: _round(C.center_summary(observations(s, d).select(F.col("track").alias("center_id"), (F.col("value") / 100).alias("similarity")), 60), "mean"),
     "seeded_sample": lambda s, d: C.seeded_sample(faces(s, d), "cluster_id", "face_id", 20).groupBy("cluster_id").agg(F.count("*").alias("n")),
@@ -118,3 +119,12 @@ SELECT i AS cluster_i, j AS cluster_j, round(s, 6) AS similarity, nj AS faces_ad
     "matches_per_center": f"SELECT track AS center_id, count(*) AS n, round(avg(value / 100), 6) AS mean FROM {OBSERVATIONS} GROUP BY 1 HAVING count(*) >= 60",
     "seeded_sample": "SELECT label AS cluster_id, least(count(*), 20) AS n FROM embeddings GROUP BY 1",
 }
+ORACLE["intelligent_merge_safe"] = ORACLE["intelligent_merge"].replace("b.n < 60", "b.n < 70").replace("SELECT i AS cluster_i, j AS cluster_j, round(s, 6) AS score FROM (", ", o AS (SELECT i, j, s FROM (") + f"""),
+f AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY face_id) AS r FROM {FACES}),
+own AS (SELECT a.cluster_id AS k, avg(list_dot_product(a.enc, b.enc)) AS c FROM f a JOIN f b ON a.cluster_id = b.cluster_id AND a.face_id < b.face_id GROUP BY 1),
+head AS (SELECT a.cluster_id AS k, avg(list_dot_product(a.enc, b.enc)) AS c FROM f a JOIN f b ON a.cluster_id = b.cluster_id AND a.face_id < b.face_id AND a.r <= 50 AND b.r <= 50 GROUP BY 1),
+u AS (SELECT o.i, o.j, face_id, enc FROM o JOIN f ON cluster_id IN (o.i, o.j) AND r <= 25),
+un AS (SELECT a.i, a.j, avg(list_dot_product(a.enc, b.enc)) AS c FROM u a JOIN u b ON a.i = b.i AND a.j = b.j AND a.face_id < b.face_id GROUP BY 1, 2),
+n AS (SELECT cluster_id AS k, count(*) AS n FROM f GROUP BY 1)
+SELECT o.i AS cluster_i, o.j AS cluster_j, round(s, 6) AS score, nj.n AS faces_added FROM o JOIN un USING (i, j) JOIN n ni ON ni.k = o.i JOIN n nj ON nj.k = o.j LEFT JOIN own ON own.k = o.j LEFT JOIN head ON head.k = o.i
+WHERE NOT (nj.n < 0.02 * ni.n AND nj.n < 5) AND coalesce(own.c, 1) >= -0.1 AND coalesce(head.c, 1) - un.c <= 0.002"""
