@@ -15,6 +15,16 @@ from vistaloom.llm.util import intermediate, maybe_in, record, saved
 from vistaloom.shipping import ship
 
 
+#: Characters of each executed plan's text that the driver keeps; it keeps a thousand plans, and those of the joins are long.
+PLAN_TEXT = 4096
+
+
+def _lean(spark: SparkSession) -> None:
+    """Ships the package, and bounds what the driver keeps of plans that it has run."""
+    ship(spark)
+    spark.conf.set("spark.sql.maxPlanStringLength", PLAN_TEXT)
+
+
 def _numbered(docs: DataFrame) -> DataFrame:
     """record (all columns of docs) and row (a number of its own for each row); written once, so that numbers stay."""
     return saved(docs.select(record(docs), F.monotonically_increasing_id().alias("row")), "numbered")
@@ -35,7 +45,7 @@ def _without(numbered: DataFrame, rows: DataFrame) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below one half stay, all columns unchanged, whatever their ids; null and empty texts get the score of no features."""
-    ship(spark)
+    _lean(spark)
     return classify.drop_toxic(docs, table(spark, sf_dir, "labels"), classify.remainder("doc_id", 5) != 0)
 
 
@@ -75,7 +85,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
+    _lean(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         with intermediate(spark):
