@@ -132,8 +132,10 @@ def test_files_round_trip(spark, tmp_path):
 
 
 def test_face_names(spark):
-    names = spark.createDataFrame([("a/frame_000012_face_3.jpg",), ("retrieval_frame_000007_mainface_1.jpg",), ("x.png",)], "path string")
-    assert [tuple(r) for r in names.select(*files.face_of(F.col("path"))).collect()] == [(12, 3), (7, 1), (-1, -1)]
+    names = spark.createDataFrame([("a/frame_000012_face_3.jpg",), ("retrieval_frame_000007_mainface_1.jpg",), ("b/retrieval_frame_000008_face_2.jpg.bak",), ("x.png",), (None,)], "path string")
+    got = {form: [tuple(r) for r in names.select(*files.face_of(F.col("path"), form)).collect()] for form in files.FACE_NAMES}
+    none = (-1, -1)
+    assert got == {"detection": [(12, 3), none, none, none, none], "retrieval": [(12, 3), none, (8, 2), none, none], "legacy": [none, (7, 1), none, none, none]}
 
 
 def test_follow_against_a_plain_loop(spark):

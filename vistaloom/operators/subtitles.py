@@ -16,7 +16,7 @@ def parse_blocks(files: DataFrame) -> DataFrame:
     lines = F.split(F.trim("b"), "\n")
     times = F.split(lines[1], " --> ")
     rows = blocks.where((F.size(lines) >= 2) & F.trim(F.get(lines, F.lit(0))).rlike("^[0-9]+$") & F.contains(F.get(lines, F.lit(1)), F.lit(" --> ")))
-    out = rows.select("video", F.trim(lines[0]).cast("int").alias("idx"), parse_time(F.trim(times[0])).alias("start_ms"), parse_time(F.trim(F.get(times, F.lit(1)))).alias("end_ms"), F.array_join(F.slice(lines, 3, 10000), "\n").alias("text"))
+    out = rows.select("video", F.trim(lines[0]).cast("int").alias("idx"), parse_time(F.trim(times[0])).alias("start_ms"), parse_time(F.trim(F.get(times, F.lit(1)))).alias("end_ms"), F.array_join(F.slice(lines, F.lit(3), F.size(lines)), "\n").alias("text"))
     return out.where(F.col("start_ms").isNotNull() & F.col("end_ms").isNotNull())
 
 

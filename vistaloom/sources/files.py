@@ -67,8 +67,12 @@ def every_nth_frame(frames: DataFrame, n: int) -> DataFrame:
     return frames.where(F.col("frame_idx") % n == 0).withColumn("path", F.format_string("frame_%06d.jpg", "frame_idx"))
 
 
-def face_of(path) -> list:
-    """frame_num and face_idx from a face's file name; -1 where it has another form."""
+#: How the names of faces begin, by where they come from; all are matched from the start of the name, and may go on after it.
+FACE_NAMES = {"detection": r"^frame_(\d+)_face_(\d+)\.jpg", "retrieval": r"^.*frame_(\d+)_face_(\d+)\.jpg", "legacy": r"^retrieval_frame_(\d+)_mainface_(\d+)\.jpg"}
+
+
+def face_of(path, form: str = "detection") -> list:
+    """frame_num and face_idx from a face's file name of one of FACE_NAMES; -1 where it has another form."""
     name = F.element_at(F.split(path, "/"), -1)
-    fits = name.rlike(r"^(?:retrieval_)?frame_(\d+)_(?:main)?face_(\d+)\.jpg$")
-    return [F.when(fits, F.regexp_extract(name, r"frame_(\d+)_(?:main)?face_(\d+)\.jpg", i).cast("int")).otherwise(-1).alias(c) for i, c in ((1, "frame_num"), (2, "face_idx"))]
+    found = lambda i: F.regexp_extract(name, FACE_NAMES[form], i)
+    return [F.when(found(1) != "", found(i).try_cast("int")).otherwise(-1).alias(c) for i, c in ((1, "frame_num"), (2, "face_idx"))]
