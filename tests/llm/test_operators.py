@@ -92,6 +92,20 @@ def test_merge_index_grows_by_batches(spark):
     assert runs == 3 and sum(len(r.runs) for r in asked) < sum(map(len, holders.values())) + 4
 
 
+@pytest.mark.parametrize("largest", [False, True])
+def test_look_up_loses_no_text(spark, largest):
+    """Digests that clash everywhere, and texts kept under a null identifier."""
+    clash = lambda c: F.length(c).cast("long")
+    old = [(1, "aaa"), (2, "bbb"), (3, "BBB"), (None, "ccc"), (None, "ddd"), (7, "ddd")]
+    index = None
+    for part in (old[:3], old[3:]):
+        index = exact_dedup.add(index, spark.createDataFrame(part, "doc_id long, text string"), digest=clash)
+    new = spark.createDataFrame([(10, "AAA"), (11, "bbb"), (12, "ccc"), (13, "ddd"), (14, "xxx"), (None, "ccc"), (15, None)], "doc_id long, text string")
+    got = exact_dedup.look_up(index, spark.createDataFrame(old, "doc_id long, text string"), new, clash, largest).collect()
+    want = [(10, 1), (11, 3 if largest else 2), (12, None), (13, 7 if largest else None), (None, None)]
+    assert sorted(((r.doc_id, r.keep_id) for r in got), key=repr) == sorted(want, key=repr)
+
+
 def shingles(t):
     w = re.findall(SPACE, low(t))
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])

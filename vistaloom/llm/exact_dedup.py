@@ -98,21 +98,20 @@ def add(index: DataFrame | None, docs: DataFrame, largest: bool = False, digest:
     return index
 
 
-def look_up(index: DataFrame, known: DataFrame, docs: DataFrame, digest: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
-    """doc_id, text_sha256 and keep_id of the rows of docs (doc_id, text) whose text is in the index; known (doc_id, text) are the texts that it was made of.
+def look_up(index: DataFrame, known: DataFrame, docs: DataFrame, digest: Callable[[Column], Column] = F.xxhash64, largest: bool = False) -> DataFrame:
+    """doc_id, text_sha256, keep_id of the rows of docs (doc_id, text) whose text is in the index; known (doc_id, text) are the texts that it was made of.
 
-    Digests go only to the runs whose filters they hit. A hit counts if the bytes of a known row with the identifier that its run keeps are
-    the same; keep_id is the smallest such identifier. Not found are texts kept under a null identifier and, of
-    different texts that share a digest in a run, those that it doesn't keep.
+    Digests go only to the runs whose filters they hit. A hit counts if a known text of that digest has the same bytes, whichever of several texts that share the digest a run
+    keeps; so no text is lost. keep_id is the smallest identifier of the known rows with that text, or the `largest`; a null one is smaller than all others.
     """
+    pick = F.max if largest else F.min
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("bytes"), digest(normalised()).alias("digest"), F.monotonically_increasing_id().alias("row"))
     keyed = saved(keyed, "dedup-asked")
-    asked = probed(keyed, index).select("row", "digest", F.explode("runs").alias("run"))
-    found = asked.join(index.select("run", "digest", F.col("keep.doc_id").alias("keep_id")), ["run", "digest"]).select("row", "keep_id").distinct()
-    held = known.select(F.col("doc_id").cast("long").alias("keep_id"), normalised().alias("held"))
-    held = held.join(found.select("keep_id").distinct(), "keep_id", "left_semi")
-    same = keyed.join(found, "row").join(held, "keep_id").where(F.col("bytes") == F.col("held"))
-    return same.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sha2(F.first("bytes").cast("binary"), 256).alias("text_sha256"), F.min("keep_id").alias("keep_id")).drop("row")
+    asked = probed(keyed.select("digest").distinct(), index).select("digest", F.explode("runs").alias("run"))
+    hits = saved(asked.join(index.select("run", "digest"), ["run", "digest"]).select("digest").distinct(), "dedup-hits")
+    held = known.select(F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("bytes"), digest(normalised()).alias("digest")).join(hits, "digest", "left_semi")
+    held = held.groupBy("digest", "bytes").agg(pick(F.struct("doc_id")).alias("keep"))
+    return keyed.join(held, ["digest", "bytes"]).select("doc_id", F.sha2(F.col("bytes").cast("binary"), 256).alias("text_sha256"), F.col("keep.doc_id").alias("keep_id"))
 
 
 def _hits(keyed: DataFrame, compacted: DataFrame) -> tuple[DataFrame, DataFrame]:
