@@ -158,6 +158,24 @@ def test_follow_against_a_plain_loop(spark):
     assert {r.id: r.track for r in got.collect()} == want
 
 
+def test_first_track_against_a_plain_loop(spark):
+    import random
+
+    from vistaloom.operators.clusters import follow_first
+
+    rng = random.Random(6)
+    rows = [(v, f, v * 1000 + f * 10 + i, rng.randint(-20, 20) * 9 + 0.5, rng.randint(0, 20) * 9.0) for v in range(2) for f in range(0, 60, 3) for i in range(rng.randint(0, 3))] + [(0, None, 5000, 1.0, 1.0), (0, 5, 5001, None, 1.0)]
+    want = {5000: None, 5001: None}
+    for v in range(2):
+        history = {}
+        for _, f, i, x, y in sorted(r for r in rows if r[0] == v and None not in r):
+            track = next((t for t, (g, a, b) in history.items() if f - g <= 10 and math.hypot(x - a, y - b) < 50), f"{int(x)}_{int(y)}")
+            history[track] = (f, x, y)
+            want[i] = track
+    got = follow_first(spark.createDataFrame(rows, "video int, frame int, id int, x double, y double"), 50, 10).collect()
+    assert {r.id: r.track for r in got} == want and len(set(want.values())) > 5
+
+
 def test_choice_of_method(spark):
     from vistaloom.operators.clusters import choose_method
 

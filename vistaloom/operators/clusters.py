@@ -156,3 +156,37 @@ def follow(rows: DataFrame, radius: float = 50.0, frames: int = 10) -> DataFrame
     dealt = rows.select("video", *cast).repartition("video").sortWithinPartitions("video", "frame", "id", "x", "y")
     schema = T.StructType([dealt.schema["video"], dealt.schema["id"], T.StructField("track", T.IntegerType())])
     return dealt.mapInArrow(_follow(radius, frames), schema)
+
+
+def _follow_first(radius: float, frames: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        video, live, number = object(), {}, {}
+        for batch in batches:
+            out = []
+            for v, frame, x, y in zip(*(batch.column(c).to_pylist() for c in ("video", "frame", "x", "y"))):
+                if v != video:
+                    video, live, number = v, {}, {}
+                if None in (frame, x, y):
+                    out.append(None)
+                    continue
+                live = {t: p for t, p in live.items() if frame - p[0] <= frames}
+                near = [t for t, p in live.items() if math.hypot(x - p[1], y - p[2]) < radius]
+                track = min(near, key=number.__getitem__) if near else f"{int(x)}_{int(y)}"
+                number.setdefault(track, len(number))
+                live[track] = (frame, x, y)
+                out.append(track)
+            yield pa.record_batch([batch.column("video"), batch.column("id"), pa.array(out, pa.string())], ["video", "id", "track"])
+
+    return run
+
+
+def follow_first(rows: DataFrame, radius: float = 50.0, frames: int = 10) -> DataFrame:
+    """rows (video, frame, id, x, y) with track: the first track, by when it began, whose last place is within radius and at most `frames` back; else a new one, named by its place.
+
+    Faces of one frame may share a track. A track that begins anew at the whole place of an old one goes on under its name and rank. A null frame or place has no track. As in follow(), a
+    video's rows pass in order through one task; what is kept is bounded by the places of a picture.
+    """
+    cast = [F.col("frame").cast("int").alias("frame"), "id", *(F.col(c).cast("double").alias(c) for c in "xy")]
+    dealt = rows.select("video", *cast).repartition("video").sortWithinPartitions("video", "frame", "id", "x", "y")
+    schema = T.StructType([dealt.schema["video"], dealt.schema["id"], T.StructField("track", T.StringType())])
+    return dealt.mapInArrow(_follow_first(radius, frames), schema)

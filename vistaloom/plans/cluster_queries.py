@@ -33,10 +33,13 @@ def _media(s, d):
     return rows.select("event_id", R.duration_of(text).alias("seconds"), R.resolution_of(text).alias("size"), R.frame_rate_of(text).alias("fps"), R.area_of(R.resolution_of(text)).alias("area"))
 
 
-def _tracks(s, d):
+def _places(s, d):
     e = F.col("event_id")
-    rows = observations(s, d).select((F.col("track") % 20).alias("video"), (e / 20).cast("int").alias("frame"), e.alias("id"), ((e * 37) % 200).cast("double").alias("x"), ((e * 53) % 200).cast("double").alias("y"))
-    return C.follow(rows, 50.0, 10)
+    return observations(s, d).select((F.col("track") % 20).alias("video"), (e / 20).cast("int").alias("frame"), e.alias("id"), ((e * 37) % 200).cast("double").alias("x"), ((e * 53) % 200).cast("double").alias("y"))
+
+
+def _tracks(s, d):
+    return C.follow(_places(s, d), 50.0, 10)
 
 
 def _mouths(s, d):
@@ -69,6 +72,7 @@ QUERIES = {
     "overlap_merge": lambda s, d: C.merge_overlapping(faces(s, d), 0.01),
     "mouth_aspect_ratio": lambda s, d: _round(_mouths(s, d), "mar"),
     "intelligent_merge": lambda s, d: _round(C.merge_scores(faces(s, d), 60, 0.0), "score"),
+    "first_track": lambda s, d: C.follow_first(_places(s, d)),
     "intelligent_merge_safe": lambda s, d: _round(C.merge_by_score(faces(s, d), 70, 0.0, drop=0.002), "score"),
     "center_pages": lambda s, d: C.pages(V.frame_ranges(faces(s, d)), "cluster_id", 4).select("cluster_id", "n", "page"),
     "matches_per_center": lambda s, d: _round(C.center_summary(observations(s, d).select(F.col("track").alias("center_id"), (F.col("value") / 100).alias("similarity")), 60), "mean"),
