@@ -147,8 +147,8 @@ def _grouped(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[list[dict]
         yield held
 
 
-def _added(keys: list[np.ndarray], counts: list[np.ndarray | None], kinds: list[int]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """(total, counted only) of each entry's key over all entries, and the ranges of the parts."""
+def _added(keys: list[np.ndarray], counts: list[np.ndarray | None], kinds: list[int]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]], np.ndarray]:
+    """(total, counted only) of each entry's key over all entries, the ranges of the parts, and both kinds of counts of each distinct key."""
     sizes = np.array([len(x) for x in keys])
     at = np.r_[0, np.cumsum(sizes)]
     distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
