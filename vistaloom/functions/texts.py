@@ -73,3 +73,16 @@ def report_number(report: Column, label: str) -> Column:
 def report_section_number(report: Column, section: str, label: str) -> Column:
     """As report_number, of the first such label after the section's title."""
     return F.coalesce(F.nullif(F.regexp_extract(report, rf"(?s){section}:.*?{label}:\s*(\d+(?:\.\d+)?)", 1), F.lit("")).cast("double"), F.lit(0.0))
+
+
+def tolerant_int(text: Column) -> Column:
+    """The whole number that a text is, whatever white space and byte order marks stand around it; null for anything else."""
+    return F.regexp_replace(text, r"^[\s\ufeff]+|\s+$", "").try_cast("long")
+
+
+def named_in(character: Column, *lists: Column) -> Column:
+    """Whether a character is in one of the arrays; null arrays hold nobody."""
+    found = F.lit(False)
+    for own in lists:
+        found = found | F.coalesce(F.array_contains(own, character), F.lit(False))
+    return found

@@ -190,3 +190,11 @@ def follow_first(rows: DataFrame, radius: float = 50.0, frames: int = 10) -> Dat
     dealt = rows.select("video", *cast).repartition("video").sortWithinPartitions("video", "frame", "id", "x", "y")
     schema = T.StructType([dealt.schema["video"], dealt.schema["id"], T.StructField("track", T.StringType())])
     return dealt.mapInArrow(_follow_first(radius, frames), schema)
+
+
+def networks(members: DataFrame, most: int = 30, least: int = 3) -> DataFrame:
+    """cluster_id, src < dst, similarity: all pairs of a cluster's first `most` members by face_id, of clusters of `least` members or more."""
+    ranked = members.withColumn("_r", F.row_number().over(Window.partitionBy("cluster_id").orderBy("face_id"))).where(F.col("_r") <= most)
+    sizes = ranked.groupBy("cluster_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+    own = ranked.join(sizes, "cluster_id").select("cluster_id", F.col("face_id").alias("src"), F.col("enc").alias("a"))
+    return own.join(own.select("cluster_id", F.col("src").alias("dst"), F.col("a").alias("b")), "cluster_id").where("src < dst").select("cluster_id", "src", "dst", dot("a", "b").alias("similarity"))

@@ -130,6 +130,22 @@ def accuracy_by_class(marked: DataFrame, ignored: tuple[str, ...] = ("unknown",
     return each.unionByName(whole).withColumn("accuracy", F.when(F.col("total") > 0, F.col("correct") / F.col("total")).otherwise(0.0))
 
 
+def sample_efficiency(table: DataFrame) -> DataFrame:
+    """episode, efficiency (weighted F1 in percent for each hundred samples), gap (weighted less macro F1, in percent), imbalanced: whether the mean gap of all episodes exceeds 10.
+
+    table: episode, total, weighted_f1, macro_f1. Without samples there is no efficiency.
+    """
+    gap = (F.col("weighted_f1") - F.col("macro_f1")) * 100
+    mean = table.agg(F.avg(gap).alias("_mean"))
+    each = table.crossJoin(F.broadcast(mean))  # one row
+    return each.select("episode", F.when(F.col("total") > 0, F.col("weighted_f1") * 100 / (F.col("total") / 100)).alias("efficiency"), gap.alias("gap"), F.coalesce(F.col("_mean") > 10, F.lit(False)).alias("imbalanced"))
+
+
+def log_counts(confusion: DataFrame, count: str = "n") -> DataFrame:
+    """confusion with log_count: log10 of the count and one, which shows rare cells beside frequent ones."""
+    return confusion.withColumn("log_count", F.log10(F.col(count) + 1))
+
+
 def trend(table: DataFrame, x: str, y: str) -> DataFrame:
     return table.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
 

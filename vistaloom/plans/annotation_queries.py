@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vistaloom.functions import texts as X
 from vistaloom.operators import annotations as A
+from vistaloom.operators import clusters as C
+from vistaloom.operators import evaluation as E
 from vistaloom.plans.vector_queries import _round
-from vistaloom.sources.tables import OBSERVATIONS, SUBTITLES, observations, subtitles
+from vistaloom.sources.tables import FACES, OBSERVATIONS, SUBTITLES, faces, observations, subtitles, table
 
 _BOX = ("x", "y", "w")
 
@@ -41,7 +44,24 @@ def _matched(s, d):
     return observations(s, d).select(F.col("event_id").alias("face_id"), (F.col("track") % 10).alias("center_id"), (F.col("event_id") % 40 - 2).alias("frame"), F.col("value").alias("similarity"))
 
 
+def _efficiency(s, d):
+    years = table(s, d, "orders").groupBy(F.year("o_orderdate").alias("episode")).agg(F.count("*").alias("total"), F.count_if(F.col("o_orderstatus") == "F").alias("c"))
+    return E.sample_efficiency(years.withColumn("weighted_f1", F.col("c") / F.col("total")).withColumn("macro_f1", F.col("c") / (F.col("total") + F.col("c") + 7)))
+
+
+def _members(s, d):
+    """Of each video and character, whether it is one of the first faces or speakers of the video's subtitles."""
+    record = A.speaker_record(_faces(s, d), subtitles(s, d))
+    asked = record.select("video", "idx", "first_faces", F.array("speaker").alias("speakers"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("character_id"))
+    return asked.select("video", "idx", "character_id", X.named_in(F.col("character_id"), F.col("first_faces"), F.col("speakers")).alias("known"))
+
+
 QUERIES = {
+    "sample_efficiency": lambda s, d: _round(_efficiency(s, d), "efficiency", "gap"),
+    "confusion_log": lambda s, d: _round(E.log_counts(observations(s, d).groupBy("kind", (F.col("track") % 10).alias("guess")).agg(F.count("*").alias("n"))), "log_count"),
+    "cluster_networks": lambda s, d: _round(C.networks(faces(s, d)), "similarity"),
+    "subtitle_numbers": lambda s, d: observations(s, d).select("event_id", X.tolerant_int(F.concat(F.lit("\ufeff "), F.col("event_id").cast("string"), F.when(F.col("event_id") % 7 == 0, "x").otherwise(" \n"))).alias("number")),
+    "known_characters": _members,
     "annotation_points": lambda s, d: _round(A.annotation_points(subtitles(s, d).withColumn("text", F.concat(F.lit(" \n"), "text", F.lit("\t"))), 0.25).withColumn("text", F.md5("text")), "ts", "duration"),
     "character_names": lambda s, d: _named(s, d).select("event_id", "name"),
     "speaker_record": _record,
@@ -65,3 +85,10 @@ SELECT s.video, s.idx, t.match AS speaker, coalesce(votes, 0) AS votes, b.x AS x
     "status_histogram": f"SELECT CASE WHEN kind = 'view' THEN 'none' ELSE kind END AS status, count(*) AS n FROM {OBSERVATIONS} GROUP BY 1",
     "center_timelines": f"SELECT track % 10 AS center_id, row_number() OVER (PARTITION BY track % 10 ORDER BY CASE WHEN event_id % 40 - 2 > 0 THEN event_id % 40 - 2 ELSE 99 END, value DESC, event_id) AS place, event_id % 40 - 2 AS frame, event_id AS face_id, value AS similarity FROM {OBSERVATIONS}",
 }
+ORACLE |= {
+    "sample_efficiency": "WITH t AS (SELECT year(o_orderdate) AS episode, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS c FROM orders GROUP BY 1), f AS (SELECT episode, n, c / n AS w, c / (n + c + 7) AS m FROM t) SELECT episode::INT AS episode, round(w * 100 / (n / 100), 6) AS efficiency, round((w - m) * 100, 6) AS gap, (SELECT avg(w - m) * 100 > 10 FROM f) AS imbalanced FROM f",
+    "confusion_log": f"SELECT kind, track % 10 AS guess, count(*) AS n, round(log10(count(*) + 1), 6) AS log_count FROM {OBSERVATIONS} GROUP BY 1, 2",
+    "cluster_networks": f"WITH f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY face_id) AS r FROM {FACES}) WHERE r <= 30) SELECT a.cluster_id, a.face_id AS src, b.face_id AS dst, round(list_dot_product(a.enc, b.enc), 6) AS similarity FROM f a JOIN f b ON a.cluster_id = b.cluster_id AND a.face_id < b.face_id WHERE a.cluster_id IN (SELECT cluster_id FROM f GROUP BY 1 HAVING count(*) >= 3)",
+    "subtitle_numbers": f"SELECT event_id, CASE WHEN event_id % 7 > 0 THEN event_id END AS number FROM {OBSERVATIONS}",
+}
+ORACLE["known_characters"] = f"SELECT video, idx, c::INT AS character_id, coalesce(list_contains(string_split(first_faces, ','), c::VARCHAR), false) OR coalesce(speaker = c, false) AS known FROM ({ORACLE['speaker_record']}), range(0, 5) AS r(c)"
