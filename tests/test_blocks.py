@@ -52,3 +52,44 @@ def test_components_of_chains_and_hubs(spark):
     nodes = spark.createDataFrame([(n,) for n in parent], "node long")
     got = graph.components(nodes, spark.createDataFrame(pairs, "src long, dst long, weight double")).collect()
     assert {r.node: r.component for r in got} == {n: root(n) for n in parent} and len(got) == len(parent)
+
+
+def _fixpoint(labels, arcs, quality):
+    """Nodes whose label isn't the one that their neighbours vote for."""
+    votes = {}
+    for (a, b), w in arcs.items():
+        for i, j in ((a, b), (b, a)):
+            votes.setdefault(i, {}).setdefault(labels[j], []).append(w * (0.5 + 0.5 * quality[j]))
+    return [i for i, v in votes.items() if min(v, key=lambda label: (-round(sum(v[label]), 9), label)) != labels[i]]
+
+
+def test_labels_settle_in_a_few_rounds_of_a_dense_graph(spark):
+    """Forty nodes that all know each other took forty steps a round, one for each colour."""
+    rng = random.Random(8)
+    quality = {i: rng.random() for i in range(80)}
+    arcs = {(i, j): 0.3 + rng.random() for i in range(80) for j in range(i + 1, 80) if j < 40 or (i >= 40 and rng.random() < 0.1) or rng.random() < 0.01}
+    nodes = spark.createDataFrame(list(quality.items()), "node long, quality double")
+    edges = spark.createDataFrame([(i, j, w) for (i, j), w in arcs.items()], "src long, dst long, weight double")
+    both = graph.cut(graph._both_ways(edges))
+    asked = []
+
+    def vote(labels):
+        asked.append(1)
+        return graph._vote(labels, both)
+
+    got = {r.node: r.label for r in graph.settled(nodes, vote, lambda movers: graph._hindered(movers, both), 100).collect()}
+    assert not _fixpoint(got, arcs, quality) and got.keys() == quality.keys() and len(asked) < 30
+
+
+@pytest.mark.parametrize("tile", [1 << 21, 300])
+def test_labels_by_panels(spark, tile, monkeypatch):
+    monkeypatch.setattr(V, "TILE", tile)
+    rng = np.random.default_rng(5)
+    rows = [(i, int(i % 40), i % 11 / 10, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(rng.normal(size=(150, 6)))]
+    faces = spark.createDataFrame(rows, "face_id long, frame_num int, quality double, enc array<double>")
+    edges = V.similarity_edges(faces, 0.4)
+    want = {r.node: r.label for r in graph.propagate_rounds(faces.selectExpr("face_id AS node", "quality"), edges, 3).collect()}
+    assert {r.node: r.label for r in V.propagate_labels(faces, 0.4, rounds=3).collect()} == want and len(set(want.values())) > 3
+    ends = {r.node: r.label for r in V.propagate_labels(faces, 0.4).collect()}
+    assert not _fixpoint(ends, {(r.src, r.dst): r.weight for r in edges.collect()}, {r[0]: r[2] for r in rows}) and ends.keys() == want.keys()
+    assert V.propagate_labels(faces.limit(0), 0.4).count() == 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +33,8 @@ def _vote(labels: DataFrame, arcs: DataFrame) -> DataFrame:
 
 def propagate_rounds(nodes: DataFrame, edges: DataFrame, rounds: int = 3) -> DataFrame:
     """node, label after so many synchronous rounds; nodes (node, quality) without edges keep their own."""
-    arcs, labels = cut(_both_ways(edges)), nodes.select("node", "quality", F.col("node").alias("label"))
-    for _ in range(rounds):
-        labels = cut(labels.join(_vote(labels, arcs), "node", "left").select("node", "quality", F.coalesce("new", "label").alias("label")))
-    return labels.select("node", "label")
+    arcs = cut(_both_ways(edges))
+    return synchronous(nodes, lambda labels: _vote(labels, arcs), rounds)
 
 
 def colours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -52,24 +52,45 @@ def colours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return done
 
 
-def propagate(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """node, label at a fixpoint (or after max_rounds). One colour class at a time is updated, so neighbours never swap labels."""
-    arcs = cut(_both_ways(edges))
-    labels = cut(nodes.select("node", "quality", F.col("node").alias("label")).join(colours(nodes, edges), "node"))
-    classes = labels.agg(F.max("colour")).first()[0]
-    for _ in range(max_rounds):
-        changed = 0
-        for colour in range((classes or 0) + 1):
-            voted = _vote(labels, arcs)
-            after = labels.join(voted, "node", "left").withColumn("next", F.when((F.col("colour") == colour) & F.col("new").isNotNull(), F.col("new")).otherwise(F.col("label")))
-            after = cut(after.select("node", "quality", "colour", F.col("next").alias("label"), (F.col("next") != F.col("label")).alias("moved")))
-            changed += after.where("moved").count()
-            labels = after.drop("moved")
-        if not changed:
+def _hindered(movers: DataFrame, arcs: DataFrame) -> DataFrame:
+    """node of the movers (node, label, new, rank) that have to wait for a neighbour of lower rank: one whose label they want, or who wants theirs."""
+    a, b = (movers.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}_{x}") for c in ("label", "new", "rank"))) for end, x in (("src", "a"), ("dst", "b")))
+    met = arcs.select("src", "dst").join(a, "src").join(b, "dst")
+    return met.where("rank_b < rank_a AND (new_a = label_b OR new_b = label_a)").select(F.col("src").alias("node")).distinct()
+
+
+def synchronous(nodes: DataFrame, vote: Callable[[DataFrame], DataFrame], rounds: int) -> DataFrame:
+    """node, label after so many rounds in which all nodes (node, quality) take what vote(labels) says (node, new); one without a vote keeps its own."""
+    labels = nodes.select("node", "quality", F.col("node").alias("label"))
+    for _ in range(rounds):
+        labels = written(labels.join(vote(labels), "node", "left").select("node", "quality", F.coalesce("new", "label").alias("label")), "labels")
+    return labels.select("node", "label")
+
+
+def settled(nodes: DataFrame, vote: Callable[[DataFrame], DataFrame], hindered: Callable[[DataFrame], DataFrame], max_rounds: int) -> DataFrame:
+    """node, label at a fixpoint of vote(labels) (node, new), or after max_rounds.
+
+    In a round all nodes move whose vote differs from their label, but those that hindered(movers) names: of two neighbours of which one wants the label
+    that the other one gives up, one waits. So the weight between neighbours of equal label grows by at least what each mover gains, as in
+    moves one after another; labels are never swapped, and the rounds come to an end. Ranks change with the round.
+    """
+    labels = nodes.select("node", "quality", F.col("node").alias("label"))
+    for n in range(max_rounds):
+        asked = written(labels.join(vote(labels), "node", "left").select("node", "quality", "label", F.coalesce("new", "label").alias("new")), "asked")
+        movers = asked.where("new <> label").select("node", "label", "new", F.xxhash64(F.lit(n), "node").alias("rank"))
+        if not movers.limit(1).count():
             break
+        wait = hindered(movers).select("node", F.lit(True).alias("wait"))
+        labels = written(asked.join(wait, "node", "left").select("node", "quality", F.when(F.col("wait"), F.col("label")).otherwise(F.col("new")).alias("label")), "labels")
     return labels.select("node", "label")
 
 
+def propagate(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """node, label at a fixpoint (or after max_rounds). Neighbours never swap labels: see settled()."""
+    arcs = cut(_both_ways(edges))
+    return settled(nodes, lambda labels: _vote(labels, arcs), lambda movers: _hindered(movers, arcs), max_rounds)
+
+
 def _star(arcs: DataFrame, large: bool) -> DataFrame:
     """arcs (u, v) from u: each u links what it sees (of larger nodes only, if large) with the least of these and itself."""
     least = arcs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
