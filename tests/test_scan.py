@@ -63,3 +63,25 @@ def test_numbered_and_empty(table):
     assert all(r.n == r.o for r in scan.numbered(table, ["o"], "n").collect())
     nothing = table.limit(0)
     assert scan.numbered(nothing, ["o"], "n").count() == 0 == scan.running_sums(nothing, ["k"], ["o"], {"s": F.col("v")}).count()
+
+
+def test_exponential_has_the_bits_of_a_loop(spark):
+    """Stretches over many partitions, values that stay put (ends that differ in the last bit don't meet), nulls ahead."""
+    rng = random.Random(9)
+    rows = [(0 if i < 3000 else 1 if i < 3010 else 2, i, None if i < 3 or rng.random() < 0.1 else 100.1 if 500 < i < 2500 else rng.randrange(50_000) / 100) for i in range(4000)]
+    last, want = {}, {}
+    for k, i, v in rows:
+        if v is not None:
+            last[k] = v if last.get(k) is None else 0.3 * v + 0.7 * last[k]
+        want[i] = last.get(k)
+    table = spark.createDataFrame(rows, "k long, o long, v double").repartition(5)
+    adaptive, parts = (spark.conf.get(c) for c in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        got = scan.exponential(table, ["k"], ["o"], {"s": F.col("v")}, 0.3).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert {r.o: r.s for r in got} == want and len(got) == len(rows)
+    assert scan.exponential(table.limit(0), ["k"], ["o"], {"s": F.col("v")}, 0.3).count() == 0

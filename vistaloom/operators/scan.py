@@ -4,6 +4,8 @@ Rows are dealt by range partitions over key and order, so a hot key is spread ov
 nothing came before, with state of a few numbers. The task's last value is then handed to the partitions behind it (a
 row for each partition, combined on the driver) and applied to the rows that go on with the same key.
 
+exponential() folds row by row in the very arithmetic of a loop: a partition is folded from nothing first, and its first key's rows again from the value they go on from.
+
 A step of a scan is an affine map y -> a * y + b, which composes: sums are a = 1, exponential smoothing is a = 1 - alpha, a value
 carried along is a = 0 where there is a new one.
 """
@@ -166,6 +168,91 @@ def _sum(x: Column, y: Column, whole: bool) -> Column:
     return F.shiftleft(high + F.shiftright(low, 32), 32).bitwiseOR(low.bitwiseAND((1 << 32) - 1))
 
 
+def _smooth(values: list[float | None], begins: Iterable[bool], last: float | None, alpha: float, rest: float) -> tuple[list[float | None], float | None]:
+    out = []
+    for v, new in zip(values, begins):
+        if new:
+            last = None
+        if v is not None:
+            last = v if last is None else alpha * v + rest * last
+        out.append(last)
+    return out, last
+
+
+def _fold(keys: list[str], n: int, alpha: float, rest: float):
+    """Adds to sorted rows the place, whether the partition's first key goes on, and the smoothed values, begun from nothing or (if _c0, .. are there) from these."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state, at, head, part = None, [None] * n, 0, True, TaskContext.get().partitionId()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            begins, now = _starts(batch, keys, last)
+            changed = begins.copy()
+            changed[0] &= last is not None
+            heads = head & (np.cumsum(changed) == 0)
+            last, head = now, bool(heads[-1])
+            out, new = [], begins.tolist()
+            for i in range(n):
+                column, state[i] = _smooth(batch.column(f"_v{i}").to_pylist(), new, state[i], alpha, rest)
+                out.append(pa.array(column, pa.float64()))
+            added = [pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(at + np.arange(batch.num_rows)), pa.array(heads), *out]
+            at += batch.num_rows
+            yield pa.record_batch([*batch.columns, *added], [*batch.schema.names, "_part", "_at", "_head", *(f"_y{i}" for i in range(n))])
+
+    return run
+
+
+def _fold_on(starts: dict[int, tuple], n: int, alpha: float, rest: float):
+    """The same for the heads of partitions (_part), which go on from what starts says."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, state = None, [None] * n
+        for batch in batches:
+            of = batch.column("_part").to_numpy()
+            for start, stop in zip(cuts := np.flatnonzero(np.diff(of, prepend=-1)), [*cuts[1:], len(of)]):
+                rows = batch.slice(start, stop - start)
+                if part != of[start]:
+                    part, state = int(of[start]), list(starts[int(of[start])])
+                columns = {c: rows.column(c) for c in batch.schema.names}
+                for i in range(n):
+                    column, state[i] = _smooth(rows.column(f"_v{i}").to_pylist(), [False] * rows.num_rows, state[i], alpha, rest)
+                    columns[f"_y{i}"] = pa.array(column, pa.float64())
+                yield pa.record_batch(list(columns.values()), list(columns))
+
+    return run
+
+
+def exponential(rows: DataFrame, keys: list[str], order: list[str | Column], values: dict[str, Column], alpha: float) -> DataFrame:
+    """rows with each of values smoothed along its key: the first one as it is, then alpha * value + (1 - alpha) * last; a null holds the last.
+
+    Other than affine() this gives the bits of a loop over the key's rows. A partition whose first key goes on from the one before is begun from that one's end, as folded
+    from nothing; the bits of two such runs soon are the same, so a second pass over these rows mostly is the last, and passes go on where an end still changed.
+    """
+    n, rest = len(values), round(1 - alpha, 12)
+    own = ordered(rows.withColumns({f"_v{i}": c.cast("double") for i, c in enumerate(values.values())}), keys, order)
+    ys = [f"_y{i}" for i in range(n)]
+    schema = T.StructType([*own.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_at", T.LongType()), T.StructField("_head", T.BooleanType()), *(T.StructField(y, T.DoubleType()) for y in ys)])
+    local = written(own.mapInArrow(_fold(keys, n, alpha, rest), schema), "fold")
+    ends = local.groupBy("_part").agg(F.min_by(F.struct(*keys), "_at").alias("first"), F.max_by(F.struct(*keys), "_at").alias("last"), F.max_by(F.struct(*ys), "_at").alias("to"), F.bool_and("_head").alias("single"))
+    ends = sorted(ends.collect(), key=lambda r: r["_part"])  # a row for each partition
+    end = {r["_part"]: tuple(r["to"]) for r in ends}
+    before = {b["_part"]: a["_part"] for a, b in zip(ends, ends[1:]) if tuple(a["last"]) == tuple(b["first"])}
+    single, used, mended = {r["_part"] for r in ends if r["single"]}, {}, []
+    while again := {p: end[q] for p, q in before.items() if repr(end[q]) != repr(used.get(p, (None,) * n))}:
+        heads = local.where(F.col("_head") & F.col("_part").isin(list(again))).repartition("_part").sortWithinPartitions("_part", "_at")
+        heads = written(heads.mapInArrow(_fold_on(again, n, alpha, rest), schema), "heads")
+        mended = [(df, parts - again.keys()) for df, parts in mended] + [(heads, set(again))]
+        used |= again
+        if on := list(again.keys() & single):
+            end |= {r["_part"]: tuple(r["to"]) for r in heads.where(F.col("_part").isin(on)).groupBy("_part").agg(F.max_by(F.struct(*ys), "_at").alias("to")).collect()}
+    out = local.where(~(F.col("_head") & F.col("_part").isin(list(used)))) if used else local
+    for df, parts in mended:
+        if parts:
+            out = out.unionByName(df.where(F.col("_part").isin(list(parts))))
+    return out.select(*(f"`{c}`" for c in rows.columns if c not in values), *(F.col(y).alias(name) for y, name in zip(ys, values)))
+
+
 def running_sums(rows: DataFrame, keys: list[str], order: list[str | Column], values: dict[str, Column]) -> DataFrame:
     """rows with the sums of longs over the key's rows so far, modulo 2**64."""
     return affine(rows, keys, order, {n: (F.lit(1), c) for n, c in values.items()}, whole=True)

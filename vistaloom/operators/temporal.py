@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vistaloom.operators.intervals import means_around, points_in_intervals
 from vistaloom.operators.quantiles import quantiles
-from vistaloom.operators.scan import affine, sliding
+from vistaloom.operators.scan import affine, exponential, sliding
 from vistaloom.storage import written
 
 ORDER = ["ts", "event_id"]
@@ -60,8 +60,8 @@ def ema(rows: DataFrame, alpha: float = 0.3, value: str = "value") -> DataFrame:
 def smooth_boxes(rows: DataFrame, alpha: float = 0.3, sides: tuple[str, ...] = ("x1", "y1", "x2", "y2")) -> DataFrame:
     """track, event_id and each side of a box, smoothed as in ema() and only then rounded, halves to the even number; rows without a box hold the last one."""
     missing = F.greatest(*(F.col(c).isNull().cast("int") for c in sides)) == 1
-    steps = {f"_{c}": _smoothed(F.when(~missing, F.col(c).cast("double")), alpha) for c in sides}
-    out = affine(rows.select("track", *ORDER, *sides), ["track"], ORDER, steps)
+    # Rounding shows the last bit of a half, so the arithmetic is that of a loop.
+    out = exponential(rows.select("track", *ORDER, *sides), ["track"], ORDER, {f"_{c}": F.when(~missing, F.col(c)) for c in sides}, alpha)
     return out.select("track", "event_id", *(F.rint(f"_{c}").cast("int").alias(c) for c in sides))
 
 
