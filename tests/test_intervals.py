@@ -72,3 +72,14 @@ def test_a_scan_of_several_values_across_many_partitions(spark):
         held = r.id - r.id % 3
         assert r["last"] == (held if held >= first else None)
         assert r.late == (None if r.id < 1700 else r.id - max(1700, first))
+
+
+def test_means_around_forget_what_lies_before(spark):
+    """A window's mean doesn't depend on large values ahead of it."""
+    samples = [(1, i, 1e6 / 3 + i) for i in range(500)] + [(1, 1000 + i, (i + 1) * 1e-9 / 7) for i in range(20)] + [(2, 5, float("inf")), (2, 100, 1.0), (2, 200, float("nan"))]
+    points = [(1, 1, 1010), (1, 2, 1003), (2, 3, 5), (2, 4, 100), (2, 5, 200)]
+    got = {r.p: r["mean"] for r in means_around(spark.createDataFrame(points, "k long, p long, t long"), spark.createDataFrame(samples, "k long, t long, v double"), ["k"], "p", "t", 4, F.col("v")).collect()}
+    for p, t in ((1, 1010), (2, 1003)):
+        own = [v for k, u, v in samples if k == 1 and t - 2 <= u <= t + 2]
+        assert got[p] == pytest.approx(sum(own) / len(own), rel=1e-6, abs=0)
+    assert got[3] == float("inf") and got[4] == 1.0 and got[5] != got[5]

@@ -7,10 +7,16 @@ that are about as near as they are long.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vistaloom.operators.scan import affine
+from vistaloom.operators.scan import running_sums
+
+
+#: Bits of a part of a value; sums of so many parts as a long holds beside them, 2**27, are whole.
+PART = 36
 
 
 def _level(length: Column) -> Column:
@@ -34,12 +40,27 @@ def points_in_intervals(points: DataFrame, intervals: DataFrame, keys: list[str]
 def means_around(points: DataFrame, samples: DataFrame, keys: list[str], name: str, at: str, width: int, value: Column) -> DataFrame:
     """keys, name, mean, n: over the samples (keys, at) of a point's keys from width / 2 before the point (keys, name, at) to width / 2 after it, both included.
 
-    Sums along time, one scan over samples and the two ends of each point's window, whose difference is the window's sum. Null without samples.
+    Sums along time, one scan over samples and the two ends of each point's window, whose difference is the window's sum. Sums are of whole numbers, two parts of
+    PART bits to a value, so that what lies before a window leaves no trace in it: values count to 72 bits below the largest. Not finite ones are counted by kind.
+    Null without samples.
     """
     half = width // 2
     own = samples.select(*keys, F.lit(None).cast(points.schema[name].dataType).alias(name), F.col(at).cast("long").alias("_t"), F.lit(1).alias("_side"), value.cast("double").alias("_v")).where("_v IS NOT NULL")
+    finite = F.abs("_v") < float("inf")
+    largest, odd = own.agg(F.max(F.when(finite, F.abs("_v"))), F.count_if(~finite)).first()
+    unit = math.ldexp(1.0, max(math.frexp(largest or 0.0)[1] - PART, -900))
     end = lambda side, move: points.select(*keys, name, (F.col(at) + move).cast("long").alias("_t"), F.lit(side).alias("_side"), F.lit(0.0).alias("_v"))
     both = own.unionByName(end(0, -half)).unionByName(end(2, half))
-    summed = affine(both, keys, ["_t", "_side"], {"_sum": (F.lit(1), F.col("_v")), "_count": (F.lit(1), (F.col("_side") == 1).cast("int"))})
-    sides = summed.where("_side <> 1").groupBy(*keys, name).agg(*(F.sum(F.when(F.col("_side") == 2, F.col(c)).otherwise(-F.col(c))).alias(c) for c in ("_sum", "_count")))
-    return sides.select(*keys, name, F.when(F.col("_count") > 0.5, F.col("_sum") / F.col("_count")).alias("mean"), F.round("_count").cast("long").alias("n"))
+    left, parts = F.when(finite, F.col("_v") / unit).otherwise(0.0), {}
+    for part in ("_high", "_low"):
+        parts[part] = left.cast("long")
+        left = (left - parts[part].cast("double")) * float(1 << PART)
+    parts["_count"] = (F.col("_side") == 1).cast("long")
+    if odd:
+        parts |= {"_nan": F.isnan("_v").cast("long"), "_up": (F.col("_v") == float("inf")).cast("long"), "_down": (F.col("_v") == float("-inf")).cast("long")}
+    summed = running_sums(both, keys, ["_t", "_side"], parts)
+    sides = summed.where("_side <> 1").groupBy(*keys, name).agg(*(F.sum(F.when(F.col("_side") == 2, F.col(c)).otherwise(-F.col(c))).alias(c) for c in parts))
+    total = (F.col("_high").cast("double") + F.col("_low").cast("double") / float(1 << PART)) * unit
+    if odd:
+        total = total + F.when(F.col("_nan") > 0, float("nan")).otherwise(0.0) + F.when(F.col("_up") > 0, float("inf")).otherwise(0.0) - F.when(F.col("_down") > 0, float("inf")).otherwise(0.0)
+    return sides.select(*keys, name, F.when(F.col("_count") > 0, total / F.col("_count")).alias("mean"), F.col("_count").alias("n"))
