@@ -93,3 +93,19 @@ def test_labels_by_panels(spark, tile, monkeypatch):
     ends = {r.node: r.label for r in V.propagate_labels(faces, 0.4).collect()}
     assert not _fixpoint(ends, {(r.src, r.dst): r.weight for r in edges.collect()}, {r[0]: r[2] for r in rows}) and ends.keys() == want.keys()
     assert V.propagate_labels(faces.limit(0), 0.4).count() == 0
+
+
+def test_blocks_send_a_vector_so_often_at_most(spark, members, monkeypatch):
+    """Pairs of many small blocks sent every vector as often as there were blocks; null frames count as unknown; links hold the same components together."""
+    monkeypatch.setattr(V, "BLOCK", 4)
+    monkeypatch.setattr(V, "BLOCKS", 5)
+    monkeypatch.setattr(V, "TILE", 100)
+    faces = _table(spark, [(i, None if i == 9 else f, c, e) for i, f, c, e in members])
+    assert V._blocks(faces, "face_id").count() == 5 * len(members)
+    v = np.array([m[3] for m in members])
+    s = v @ v.T
+    pairs = V.similar_pairs(faces, 4.0)
+    assert {(r.src, r.dst) for r in pairs.collect()} == {(i, j) for i in range(120) for j in range(i + 1, 120) if s[i, j] >= 4.0}
+    nodes = faces.selectExpr("face_id AS node")
+    want = {tuple(r) for r in graph.components(nodes, pairs).collect()}
+    assert {tuple(r) for r in graph.components(nodes, V.similar_links(faces, 4.0)).collect()} == want and len({c for _, c in want}) > 2
