@@ -8,10 +8,11 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vistaloom.llm import chat_format, classify, decontaminate, exact_dedup, ngram_join, packing, queries, sharding, substring_dedup, tokens
+from vistaloom.llm import chat_format, classify, decontaminate, exact_dedup, graph, ngram_join, packing, queries, sharding, substring_dedup, tokens
 
 AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SHA = lambda t: hashlib.sha256(t.encode()).hexdigest()
@@ -146,6 +147,39 @@ def test_ngram_join_bounds():
     assert low[0] >= 0 and low[1] >= 1 and low[2] > 10_000
 
 
+@pytest.mark.parametrize("one_task", [True, False])
+def test_few_links_settle_without_passes(spark, one_task, monkeypatch):
+    """Every pass is a large plan on the driver; few links took two passes at least. Chains, hubs, loops, repeats and nulls."""
+    rng = random.Random(6)
+    links = [(i, i + 1) for i in range(40)] + [(90, j) for j in range(91, 120)] + [(200, 200), (7, None), (None, None)] + [(rng.randrange(300, 340), rng.randrange(300, 340)) for _ in range(30)] * 2 + [(-5, 2**62)]
+    of = {}
+    for a, b in ((a, b) for a, b in links if a is not None and b is not None and a != b):
+        x, y = of.setdefault(a, {a}), of.setdefault(b, {b})
+        if x is not y:
+            x |= y
+            of.update(dict.fromkeys(y, x))
+    rows, written = spark.createDataFrame(links, "a long, b long"), []
+    monkeypatch.setattr(graph, "saved", lambda df, name, keep=graph.saved: written.append(name) or keep(df, name))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", one_task)
+    try:
+        found = graph.components(rows, "a", "b").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r.node: r.component for r in found} == {n: min(own) for n, own in of.items()} and len(found) == len(of)
+    assert ("stars" in written) != one_task
+
+
+def test_contracted_links_of_tasks(monkeypatch):
+    """What a task sends holds the same nodes together, a row for each node but the least; at the bound it begins anew."""
+    pairs = [(9, 4), (4, 1), (9, 1), (7, 6), (8, 7), (6, 1)]
+    batches = lambda: [pa.record_batch([[u], [v]], ["u", "v"]) for u, v in pairs]
+    rows = lambda: [(x["u"], x["v"]) for b in graph._forest(iter(batches())) for x in b.to_pylist()]
+    assert sorted(rows()) == [(4, 1), (6, 1), (7, 1), (8, 1), (9, 1)]
+    monkeypatch.setattr(graph, "HELD", 2)
+    assert sorted(rows()) == [(4, 1), (6, 1), (7, 6), (8, 7), (9, 1), (9, 1)]
+    assert list(graph._forest(iter([]))) == []
+
+
 def test_sharding(docs, empty):
     out = sharding.shard(docs, 4, bucket_bytes=4000)
     rows = out.select("record.doc_id", "record.text", "shard", "slot").collect()

@@ -117,7 +117,7 @@ def _add_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sketch_of(stats: DataFrame) -> np.ndarray:
     """Counts of all shingles in 2**SKETCH_LOG2 slots: 4 MB, whatever the input."""
     parts = stats.where("block is not null").select("block", "counts").repartition("block").mapInArrow(_add_blocks, "block int, counts binary")
-    out = np.zeros(1 << SKETCH_LOG2, np.int64)
+    out = np.zeros(1 << SKETCH_LOG2, np.int32)
     for row in parts.collect():
         out[row.block * BLOCK : (row.block + 1) * BLOCK] = np.frombuffer(bytes(row.counts), "<i4")
     return out
@@ -345,6 +345,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, hot: int = H
     live = able.select("sig").distinct()
     wanted = spark.sparkContext.broadcast(bits(live, "sig"))
     sets = saved(texts.mapInArrow(_chosen_sets(k, percent, wanted, shared), SET_SCHEMA).dropDuplicates(["sig"]), "sets")
+    wanted.destroy()
+    shared.destroy()
     links = tried = label = None
     for i in range(1, rounds + 1):
         pairs = saved(_offers(rows, tried, percent), f"pairs-{i}")
