@@ -24,11 +24,13 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 
 
 def _vote(labels: DataFrame, arcs: DataFrame) -> DataFrame:
-    """node, label: the label with the greatest sum of weight * (0.5 + 0.5 * neighbour's quality), rounded to 9 places; ties to the smaller."""
+    """node, new, gain: the label with the greatest sum of weight * (0.5 + 0.5 * neighbour's quality), rounded to 9 places (ties to the smaller), and by how much that exceeds
+    the sum of the node's own label."""
     votes = arcs.join(labels.select(F.col("node").alias("dst"), "label", "quality"), "dst")
     sums = votes.groupBy("src", "label").agg(F.round(F.sum(F.col("weight") * (0.5 + 0.5 * F.col("quality"))), 9).alias("w"))
-    best = sums.groupBy("src").agg(F.max(F.struct("w", (-F.col("label")).alias("l"))).alias("b"))
-    return best.select(F.col("src").alias("node"), (-F.col("b.l")).alias("new"))
+    own = sums.join(labels.select(F.col("node").alias("src"), F.col("label").alias("own")), "src")
+    best = own.groupBy("src").agg(F.max(F.struct("w", (-F.col("label")).alias("l"))).alias("b"), F.max(F.when(F.col("label") == F.col("own"), F.col("w"))).alias("mine"))
+    return best.select(F.col("src").alias("node"), (-F.col("b.l")).alias("new"), (F.col("b.w") - F.coalesce("mine", F.lit(0.0))).alias("gain"))
 
 
 def propagate_rounds(nodes: DataFrame, edges: DataFrame, rounds: int = 3) -> DataFrame:
@@ -53,10 +55,12 @@ def colours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _hindered(movers: DataFrame, arcs: DataFrame) -> DataFrame:
-    """node of the movers (node, label, new, rank) that have to wait for a neighbour of lower rank: one whose label they want, or who wants theirs."""
-    a, b = (movers.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}_{x}") for c in ("label", "new", "rank"))) for end, x in (("src", "a"), ("dst", "b")))
-    met = arcs.select("src", "dst").join(a, "src").join(b, "dst")
-    return met.where("rank_b < rank_a AND (new_a = label_b OR new_b = label_a)").select(F.col("src").alias("node")).distinct()
+    """node of the movers (node, quality, label, new, gain, rank) that wait: what they gain may be lost to neighbours of lower rank, those whose label they want or who want theirs."""
+    a, b = (movers.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}_{x}") for c in ("quality", "label", "new", "gain", "rank"))) for end, x in (("src", "a"), ("dst", "b")))
+    met = arcs.join(a, "src").join(b, "dst").where("rank_b < rank_a AND (new_a = label_b OR new_b = label_a)")
+    loss = F.col("weight") * (0.5 + 0.5 * F.col("quality_b")) * F.expr("int(new_a = label_b) + int(new_b = label_a)")
+    sums = met.groupBy("src").agg(F.sum(loss).alias("loss"), F.max("gain_a").alias("gain"))
+    return sums.where("loss > 0 AND loss >= gain - 1e-9").select(F.col("src").alias("node"))
 
 
 def synchronous(nodes: DataFrame, vote: Callable[[DataFrame], DataFrame], rounds: int) -> DataFrame:
@@ -68,16 +72,17 @@ def synchronous(nodes: DataFrame, vote: Callable[[DataFrame], DataFrame], rounds
 
 
 def settled(nodes: DataFrame, vote: Callable[[DataFrame], DataFrame], hindered: Callable[[DataFrame], DataFrame], max_rounds: int) -> DataFrame:
-    """node, label at a fixpoint of vote(labels) (node, new), or after max_rounds.
+    """node, label at a fixpoint of vote(labels) (node, new, gain), or after max_rounds.
 
-    In a round all nodes move whose vote differs from their label, but those that hindered(movers) names: of two neighbours of which one wants the label
-    that the other one gives up, one waits. So the weight between neighbours of equal label grows by at least what each mover gains, as in
-    moves one after another; labels are never swapped, and the rounds come to an end. Ranks change with the round.
+    In a round all nodes move whose vote differs from their label, but those that hindered(movers) names. Where of two neighbours one wants the label that the other one gives
+    up, moving both at once loses their weight (twice, if both do); that counts against the one of higher rank, and who would lose all that it gains waits. Each time that all
+    neighbours of a mover count, though some of them wait. So the weight between neighbours of equal label (times both qualities, as in votes) grows with each mover, as in moves one after
+    another, and the rounds come to an end. It doesn't take many: in a dense graph few of a node's neighbours are at odds with it. Ranks change with the round.
     """
     labels = nodes.select("node", "quality", F.col("node").alias("label"))
     for n in range(max_rounds):
-        asked = written(labels.join(vote(labels), "node", "left").select("node", "quality", "label", F.coalesce("new", "label").alias("new")), "asked")
-        movers = asked.where("new <> label").select("node", "label", "new", F.xxhash64(F.lit(n), "node").alias("rank"))
+        asked = written(labels.join(vote(labels), "node", "left").select("node", "quality", "label", F.coalesce("new", "label").alias("new"), "gain"), "asked")
+        movers = asked.where("new <> label").select("node", "quality", "label", "new", "gain", F.xxhash64(F.lit(n), "node").alias("rank"))
         if not movers.limit(1).count():
             break
         wait = hindered(movers).select("node", F.lit(True).alias("wait"))
@@ -86,7 +91,7 @@ def settled(nodes: DataFrame, vote: Callable[[DataFrame], DataFrame], hindered:
 
 
 def propagate(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """node, label at a fixpoint (or after max_rounds). Neighbours never swap labels: see settled()."""
+    """node, label at a fixpoint (or after max_rounds): see settled()."""
     arcs = cut(_both_ways(edges))
     return settled(nodes, lambda labels: _vote(labels, arcs), lambda movers: _hindered(movers, arcs), max_rounds)
 

@@ -28,9 +28,9 @@ def place(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/vistaloom-{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, by: list[str] | None = None, compression: str = "zstd") -> DataFrame:
     """df as Parquet in the shared folder, read again: the lineage is cut and lost executors lose nothing. by: columns that become folders."""
     path = place(df.sparkSession, name)
-    writer = df.write.option("compression", "zstd")
+    writer = df.write.option("compression", compression)
     (writer.partitionBy(*by) if by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
